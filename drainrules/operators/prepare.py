@@ -93,10 +93,15 @@ def filter_app(rates: DataFrame, app: str) -> DataFrame:
     return rates.where(F.array_contains("all_apps", app))
 
 
-def flatten_rates(rates: DataFrame) -> DataFrame:
-    """Nested rate -> flat sample; device fields come from the second reading."""
+def flatten_rates(rates: DataFrame, keep_id: bool = False, extra: list | None = None) -> DataFrame:
+    """Nested rate -> flat sample; device fields come from the second reading.
+
+    ``keep_id`` adds ``reading_id`` of that reading in front.
+    """
     cur = "sp.cur.androidFields"
+    ident = [F.col("sp.cur.reading_id").alias("reading_id")] if keep_id else []
     return rates.select(
+        *ident,
         F.col("rate").cast("double").alias("rate"),
         F.col(f"{cur}.cpuUsage").cast("double").alias("cpu"),
         F.col("sp.cur.distanceTraveled").cast("double").alias("distance"),
@@ -107,4 +112,5 @@ def flatten_rates(rates: DataFrame) -> DataFrame:
         F.col(f"{cur}.networkInfo.networkType").alias("network"),
         F.col(f"{cur}.networkInfo.wifiSignalStrength").cast("double").alias("wifiStrength"),
         F.col(f"{cur}.networkInfo.wifiLinkSpeed").cast("double").alias("wifiSpeed"),
+        *(extra or []),
     )

@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def epoch_micros(name: str) -> Column:
+    """Microseconds since 1970 of a TIMESTAMP_NTZ column, independent of the session zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name})")
+
+
 def _nan() -> Column:
     return F.lit(float("nan")).cast("double")
 
@@ -50,7 +55,7 @@ def device_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (ok % 150 - 5).cast("double").alias("wifiSpeed"),
         F.col("p.p_brand").alias("app1"),
         F.col("p.p_type").alias("app2"),
-        (F.unix_micros(F.col("l.l_shipdate").cast("timestamp")).cast("double") / F.lit(1e6)).alias("ship_time"),
+        (epoch_micros("l_shipdate").cast("double") / F.lit(1e6)).alias("ship_time"),
     )
 
 
@@ -116,9 +121,9 @@ def _uuid_of(user_id: Column) -> Column:
     )
 
 
-def _compressed_time(ts: Column) -> Column:
+def _compressed_time(name: str) -> Column:
     # One time unit = 1000 s, so rates fall in all classes.
-    return F.unix_micros(ts.cast("timestamp")).cast("double") / F.lit(1e9)
+    return epoch_micros(name).cast("double") / F.lit(1e9)
 
 
 def device_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +131,7 @@ def device_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     apps = F.array_distinct(F.array(F.col("event_type"), F.concat(F.lit("app"), F.regexp_extract("props", "([0-9]+)", 1))))
     level = F.when(F.col("value") > 100, F.lit(100.0)).otherwise(F.col("value"))
-    r = _reading_struct(_uuid_of(F.col("user_id")), _compressed_time(F.col("ts")), apps)
+    r = _reading_struct(_uuid_of(F.col("user_id")), _compressed_time("ts"), apps)
     return e.select(
         F.col("event_id").cast("long").alias("reading_id"),
         r.getField("uuid").alias("uuid"),
@@ -143,6 +148,6 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
     return e.select(
         _uuid_of(F.col("user_id")).alias("uuid"),
-        _compressed_time(F.col("ts")).alias("reg_time"),
+        _compressed_time("ts").alias("reg_time"),
         F.regexp_extract("props", "([0-9]+)", 1).alias("os"),
     )
