@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drainrules.functions import discretize as dz
+from drainrules.session import ensure_checkpoint_dir
 
 KEY_SEP = ";"
 
@@ -38,14 +39,28 @@ def itemset_key(arr: Column) -> Column:
 # --------------------------------------------------------------------------- FP-growth
 def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
              num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(freq_itemsets[items, freq], rules[antecedent, consequent, confidence])."""
-    est = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=float(min_confidence))
-    if num_partitions:
-        est = est.setNumPartitions(int(num_partitions))
-    model = est.fit(tx.select("items"))
-    itemsets = model.freqItemsets.select("items", F.col("freq").cast("long").alias("freq"))
-    rules = model.associationRules.select("antecedent", "consequent", "confidence")
-    return itemsets, rules
+    """(freq_itemsets[items, freq], rules[antecedent, consequent, confidence]).
+
+    FP-growth partitions its conditional trees by item, independent of the
+    input splits, so ``num_partitions`` (default: the session's shuffle
+    partitions) sets the mining parallelism.  The frequent itemsets (bounded,
+    see above) are checkpointed to the shared checkpoint folder once, so later
+    actions neither re-mine nor depend on lost executors; rules are derived
+    from them with one join.
+    """
+    spark = tx.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    tx = tx.select("items")
+    if tx.rdd.getNumPartitions() < parts:
+        # FP-growth builds its conditional trees in the input tasks (RDD code,
+        # outside AQE): spread a small input; large inputs keep their splits.
+        tx = tx.repartition(parts)
+    est = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=float(min_confidence),
+                   numPartitions=parts)
+    model = est.fit(tx)
+    itemsets = model.freqItemsets.select("items", F.col("freq").cast("long").alias("freq")).checkpoint(eager=True)
+    return itemsets, rules_from_itemsets(itemsets, min_confidence)
 
 
 # --------------------------------------------------------------------------- CUBE miner
@@ -150,6 +165,8 @@ def mine(tx_items: DataFrame, min_support: float, min_confidence: float, *, mine
         return fpgrowth(tx, min_support, min_confidence, num_partitions)
     if miner == "cube":
         itemsets = cube_itemsets(tx_items, features, min_support)
+        ensure_checkpoint_dir(tx_items.sparkSession)
+        itemsets = itemsets.checkpoint(eager=True)
         return itemsets, rules_from_itemsets(itemsets, min_confidence)
     raise ValueError(f"unknown miner {miner!r}")
 

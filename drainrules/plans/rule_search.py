@@ -63,14 +63,24 @@ def validate(app: str, min_support: float | None, min_confidence: float | None)
 def mine_samples(samples: DataFrame, app: str, min_support: float | None = None,
                  min_confidence: float | None = None, excluded: str | Sequence[str] | None = None, *,
                  exact: bool = False, miner: str = "fpgrowth", num_partitions: int | None = None,
-                 accuracy: int = feat.DEFAULT_ACCURACY) -> RuleResult:
-    """Mine flat samples (already restricted to one app)."""
+                 accuracy: int = feat.DEFAULT_ACCURACY, persist: bool = True) -> RuleResult:
+    """Mine flat samples (already restricted to one app).
+
+    With ``persist`` the app's flat samples (ten columns) are kept
+    (memory, spilling to disk) for the bins pass and the miner's passes, and
+    released once the frequent itemsets are checkpointed.
+    """
     s, c = validate(app, min_support, min_confidence)
     ex = dz.parse_excluded(excluded)
-    bins = feat.compute_bins(samples, ex, exact=exact, accuracy=accuracy)
-    items = feat.item_table(samples, bins, ex)
-    itemsets, rules = mining.mine(items, s, c, miner=miner, num_partitions=num_partitions)
-    return RuleResult(app, s, c, bins, samples, items, itemsets, rules, ex)
+    kept = feat.persist_for_reuse(samples) if persist else samples
+    try:
+        bins = feat.compute_bins(kept, ex, exact=exact, accuracy=accuracy)
+        items = feat.item_table(kept, bins, ex)
+        itemsets, rules = mining.mine(items, s, c, miner=miner, num_partitions=num_partitions)
+    finally:
+        if persist:
+            kept.unpersist()
+    return RuleResult(app, s, c, bins, samples, feat.item_table(samples, bins, ex), itemsets, rules, ex)
 
 
 def mine_rules(rates: DataFrame, app: str, min_support: float | None = None,

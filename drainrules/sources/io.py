@@ -41,17 +41,18 @@ def read_registrations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_recent_rates(rates: DataFrame, path: str) -> str:
-    """Recent rates partitioned by UTC day of the second reading (prunable).
+    """Recent rates partitioned by UTC month of the second reading (prunable;
+    parquet row-group statistics on ``sp.cur.time`` serve finer ranges).
 
-    ``REBALANCE(day)`` lets AQE put each day's rows together (few files per
-    day) while splitting a hot day and merging small ones.
+    ``REBALANCE(month)`` lets AQE put each month's rows together (few files
+    per month) while splitting a hot month and merging small ones.
     """
-    day = F.to_date(F.timestamp_seconds(F.col("sp.cur.time").cast("long")))
-    return write_parquet(rates.withColumn("day", day).hint("rebalance", "day"), path, ["day"])
+    month = F.date_format(F.timestamp_seconds(F.col("sp.cur.time").cast("long")), "yyyy-MM")
+    return write_parquet(rates.withColumn("month", month).hint("rebalance", "month"), path, ["month"])
 
 
 def read_recent_rates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RATE.add("day", "date")).parquet(path)
+    return spark.read.schema(schemas.RATE.add("month", "string")).parquet(path)
 
 
 # ---------------------------------------------------------------- flat samples as text
@@ -100,7 +101,7 @@ def write_app_counts_json(counts: DataFrame, path: str) -> str:
 def read_app_counts_json(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Read ``{app: n}`` objects back as rows: one object per line, or one
     (possibly pretty-printed) object per file with ``whole_files=True``."""
-    text = spark.read.option("wholetext", bool(whole_files)).text(path)
+    text = spark.read.text(path, wholetext=bool(whole_files))
     m = F.from_json(F.col("value"), "map<string,bigint>")
     return text.select(F.explode(m).alias("app", "n"))
 
@@ -120,6 +121,6 @@ RULES_DOC_SCHEMA = (
 
 def read_rules_json(spark: SparkSession, path: str) -> DataFrame:
     """The rules document back as one row per rule with the envelope fields."""
-    doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", RULES_DOC_SCHEMA).alias("d"))
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", RULES_DOC_SCHEMA).alias("d"))
     return doc.select("d.applicationName", "d.minSupport", "d.minConfidence",
                       F.explode("d.rules").alias("rule"))
