@@ -49,6 +49,19 @@ def _mined(spark: SparkSession, sf_dir: str) -> rs.RuleResult:
     return _MEMO[key]
 
 
+def _bins(spark: SparkSession, sf_dir: str, excluded: frozenset = frozenset()) -> dict:
+    """Exact bins of the app (memoised per session; mining not needed)."""
+    key = (spark.sparkContext.applicationId, sf_dir, "bins", excluded)
+    if key not in _MEMO:
+        m = _MEMO.get((spark.sparkContext.applicationId, sf_dir))
+        if m is not None and not excluded:
+            _MEMO[key] = m.bins
+        else:
+            samples = prep.flatten_rates(prep.filter_app(fx.sample_rates(spark, sf_dir), APP))
+            _MEMO[key] = feat.compute_bins(samples, excluded, exact=True)
+    return _MEMO[key]
+
+
 def _app_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.flatten_rates(prep.filter_app(fx.sample_rates(spark, sf_dir), APP), keep_id=True)
 
@@ -175,7 +188,7 @@ def _bins_long(spark, bins):
 
 
 def q_feature_bins(spark, sf_dir):
-    return _bins_long(spark, _mined(spark, sf_dir).bins)
+    return _bins_long(spark, _bins(spark, sf_dir))
 
 
 def q_feature_bins_approx(spark, sf_dir):
@@ -196,8 +209,7 @@ def q_feature_min_max(spark, sf_dir):
 
 
 def _items_with_id(spark, sf_dir, excluded=frozenset()):
-    bins = _mined(spark, sf_dir).bins if not excluded else feat.compute_bins(
-        prep.flatten_rates(prep.filter_app(fx.sample_rates(spark, sf_dir), APP)), excluded, exact=True)
+    bins = _bins(spark, sf_dir, excluded)
     return feat.item_table(_app_samples(spark, sf_dir), bins, excluded, keep=("reading_id",))
 
 
