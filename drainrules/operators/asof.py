@@ -7,10 +7,11 @@ would put all rows of a key into one task; here the work is split on
 
 1. left and right rows are unioned and each ``(key, bucket)`` slice is
    scanned in order with ``last(right, ignorenulls)``;
-2. each right bucket is reduced to its last row (``max_by``, map-side
-   partial aggregation), and a window over the per-bucket summary rows
-   (one row per key and bucket, bounded by time span / bucket width, not by
-   rows) carries the last right row into later buckets;
+2. the same window (second frame) gives each bucket's last right row; one
+   row per ``(key, bucket)`` is kept (no new shuffle: the data is already
+   partitioned that way), and a window over these summary rows (bounded by
+   time span / bucket width per key, not by rows) carries the last right row
+   into later buckets;
 3. left rows without a match in their own bucket take the carried one
    (equi-join on ``(key, bucket)`` with a one-row-per-key summary).
 
@@ -57,14 +58,19 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
         rstruct.alias("__r"),
     )
     both = lside.unionByName(rside)
-    w_slice = Window.partitionBy("__k", "__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_bucket = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w_slice)).where(F.col("__l").isNotNull())
-
-    right_last = rside.groupBy("__k", "__b").agg(F.max_by("__r", "__o").alias("__last"))
-    left_buckets = lside.groupBy("__k", "__b").agg(F.lit(None).cast(right_last.schema["__last"].dataType).alias("__last"))
-    summary = left_buckets.unionByName(right_last).groupBy("__k", "__b").agg(F.max("__last").alias("__last"))
+    # Both frames share one (key, bucket) partitioning and order: one exchange,
+    # one Window operator.  The second frame gives every row its bucket's last
+    # right row, so the bucket summary needs no further shuffle.
+    spec = Window.partitionBy("__k", "__b").orderBy("__o")
+    upto = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    win = both.select("__k", "__b", "__l",
+                      F.last("__r", ignorenulls=True).over(upto).alias("__m"),
+                      F.last("__r", ignorenulls=True).over(whole).alias("__blast"))
+    summary = win.groupBy("__k", "__b").agg(F.first("__blast", ignorenulls=True).alias("__last"))
     w_key = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select("__k", "__b", F.last("__last", ignorenulls=True).over(w_key).alias("__carry"))
+    in_bucket = win.where(F.col("__l").isNotNull())
 
     out = in_bucket.join(carried, ["__k", "__b"], "left")
     return out.select(*[F.col("__l").getField(c).alias(c) for c in lcols],

@@ -60,7 +60,7 @@ def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
                    numPartitions=parts)
     model = est.fit(tx)
     itemsets = model.freqItemsets.select("items", F.col("freq").cast("long").alias("freq")).checkpoint(eager=True)
-    return itemsets, rules_from_itemsets(itemsets, min_confidence)
+    return itemsets, rules_from_itemsets(itemsets, min_confidence).checkpoint(eager=True)
 
 
 # --------------------------------------------------------------------------- CUBE miner
@@ -167,7 +167,7 @@ def mine(tx_items: DataFrame, min_support: float, min_confidence: float, *, mine
         itemsets = cube_itemsets(tx_items, features, min_support)
         ensure_checkpoint_dir(tx_items.sparkSession)
         itemsets = itemsets.checkpoint(eager=True)
-        return itemsets, rules_from_itemsets(itemsets, min_confidence)
+        return itemsets, rules_from_itemsets(itemsets, min_confidence).checkpoint(eager=True)
     raise ValueError(f"unknown miner {miner!r}")
 
 
