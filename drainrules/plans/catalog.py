@@ -149,7 +149,7 @@ def q_app_counts_tsv_roundtrip(spark, sf_dir):
 
 def q_rules_json(spark, sf_dir):
     m = _mined(spark, sf_dir)
-    doc = report.rules_document(spark, m.app, m.min_support, m.min_confidence, m.bins, m.ordered)
+    doc = m.document()
     path = scratch_path(spark, "rules-json")
     io.write_rules_json(doc, path)
     back = io.read_rules_json(spark, path)

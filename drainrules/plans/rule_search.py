@@ -9,6 +9,7 @@ Everything except the bounds stays distributed and lazy.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from typing import Sequence
 
@@ -36,6 +37,14 @@ class RuleResult:
     itemsets: DataFrame         # items array, freq
     rules: DataFrame            # all rules (antecedent, consequent, confidence)
     excluded: frozenset = field(default_factory=frozenset)
+    fp_growth_ms: int = 0       # wall time of mining (itemsets + rules), as in the envelope
+
+    def document(self, execution_ms: int = 0) -> DataFrame:
+        """The JSON envelope (one row, column ``json``) of the ordered rules."""
+        from drainrules.operators import report
+        spark = self.rules.sparkSession
+        return report.rules_document(spark, self.app, self.min_support, self.min_confidence, self.bins,
+                                     self.ordered, self.fp_growth_ms, execution_ms)
 
     @property
     def rate_rules(self) -> DataFrame:
@@ -76,11 +85,13 @@ def mine_samples(samples: DataFrame, app: str, min_support: float | None = None,
     try:
         bins = feat.compute_bins(kept, ex, exact=exact, accuracy=accuracy)
         items = feat.item_table(kept, bins, ex)
+        t0 = time.perf_counter()
         itemsets, rules = mining.mine(items, s, c, miner=miner, num_partitions=num_partitions)
+        fp_ms = int((time.perf_counter() - t0) * 1000)
     finally:
         if persist:
             kept.unpersist()
-    return RuleResult(app, s, c, bins, samples, feat.item_table(samples, bins, ex), itemsets, rules, ex)
+    return RuleResult(app, s, c, bins, samples, feat.item_table(samples, bins, ex), itemsets, rules, ex, fp_ms)
 
 
 def mine_rules(rates: DataFrame, app: str, min_support: float | None = None,

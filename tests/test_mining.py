@@ -116,3 +116,18 @@ def test_order_by_confidence_desc(spark):
     df = spark.createDataFrame(rows, "antecedent array<string>, consequent array<string>, confidence double")
     out = [(r["antecedent"], r["confidence"]) for r in mining.order_rules(df).collect()]
     assert out == [(["a", "b"], 0.9), (["b"], 0.9), (["a"], 0.5)]
+
+
+def test_rules_document_envelope(spark):
+    import json
+
+    rates = fx.sample_rates(spark, SF001)
+    res = rs.mine_rules(rates, "ECONOMY", 0.01, 0.3, exact=True)
+    doc = json.loads(res.document(execution_ms=5).collect()[0]["json"])
+    assert list(doc) == ["applicationName", "minSupport", "minConfidence", "FPGrowthRunTime", "executionTime",
+                         "bins", "rules"]
+    assert doc["applicationName"] == "ECONOMY" and doc["executionTime"] == 5 and doc["FPGrowthRunTime"] > 0
+    assert set(doc["bins"]) == {"rate", "cpu", "temperature", "voltage", "screen", "wifiStrength", "wifiSpeed"}
+    confs = [r["confidence"] for r in doc["rules"]]
+    assert confs == sorted(confs, reverse=True) and len(confs) == res.pruned.count()
+    assert set(doc["rules"][0]) == {"antecedents", "consequents", "confidence"}
