@@ -79,7 +79,7 @@ def _exact_quantiles(df: DataFrame, values: dict[str, Column], counts: dict[str,
             # Summaries of <= threshold values are exact at this accuracy.
             aggs = [
                 F.percentile_approx(F.when(_interval(values[t.name], t.lo, t.hi), values[t.name]),
-                                    (t.r - 0.5) / t.m, 4 * threshold + 4).alias(f"t{k}")
+                                    (t.r - 0.5) / t.m, 4 * t.m + 4).alias(f"t{k}")
                 for k, t in enumerate(small)
             ]
             row = df.agg(*aggs).collect()[0]
@@ -133,23 +133,20 @@ def compute_bins(samples: DataFrame, excluded: frozenset[str] = frozenset(), *,
     specs = binned_specs(excluded)
     values = {s.bin_name: _domain_value(s) for s in specs}
     probs = {s.bin_name: s.probabilities() for s in specs}
-    # In exact mode the first pass already asks for summaries that stay exact up
-    # to ``exact_threshold`` values (they return rank ceil(p*n)); only features
-    # with more in-domain values need the refinement rounds.
-    first_accuracy = 4 * exact_threshold + 4 if exact else accuracy
     aggs = []
     for s in specs:
         v = values[s.bin_name]
         aggs += [F.min(v).alias(f"{s.bin_name}__min"), F.max(v).alias(f"{s.bin_name}__max"),
-                 F.count(v).alias(f"{s.bin_name}__n"),
-                 F.percentile_approx(v, probs[s.bin_name], first_accuracy).alias(f"{s.bin_name}__q")]
+                 F.count(v).alias(f"{s.bin_name}__n")]
+        if not exact:
+            aggs.append(F.percentile_approx(v, probs[s.bin_name], accuracy).alias(f"{s.bin_name}__q"))
     row = samples.agg(*aggs).collect()[0]
     counts = {s.bin_name: int(row[f"{s.bin_name}__n"]) for s in specs}
-    quantiles = {s.bin_name: [float(q) for q in (row[f"{s.bin_name}__q"] or [])] for s in specs}
     if exact:
-        big = {name: ps for name, ps in probs.items() if counts[name] > exact_threshold}
-        if big:
-            quantiles.update(_exact_quantiles(samples, values, counts, big, accuracy, exact_threshold))
+        # counts are known now, so every exact summary is sized to what it holds
+        quantiles = _exact_quantiles(samples, values, counts, probs, accuracy, exact_threshold)
+    else:
+        quantiles = {s.bin_name: [float(q) for q in (row[f"{s.bin_name}__q"] or [])] for s in specs}
     bins: dict[str, list[float]] = {}
     for s in specs:
         if counts[s.bin_name] == 0:
