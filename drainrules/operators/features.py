@@ -76,25 +76,40 @@ def _exact_quantiles(df: DataFrame, values: dict[str, Column], counts: dict[str,
         small = [t for t in open_ if t.m <= threshold]
         big = [t for t in open_ if t.m > threshold]
         if small:
-            # Summaries of <= threshold values are exact at this accuracy.
-            aggs = [
-                F.percentile_approx(F.when(_interval(values[t.name], t.lo, t.hi), values[t.name]),
-                                    (t.r - 0.5) / t.m, 4 * t.m + 4).alias(f"t{k}")
-                for k, t in enumerate(small)
-            ]
+            # Summaries of <= threshold values are exact at this accuracy; targets
+            # of one feature over the same candidates share one summary.
+            groups: dict[tuple, list[_Target]] = {}
+            for t in small:
+                groups.setdefault((t.name, t.lo, t.hi, t.m), []).append(t)
+            aggs = []
+            for k, ((name, lo, hi, m), ts) in enumerate(groups.items()):
+                x = F.when(_interval(values[name], lo, hi), values[name])
+                aggs.append(F.percentile_approx(x, [(t.r - 0.5) / m for t in ts], 4 * m + 4).alias(f"g{k}"))
             row = df.agg(*aggs).collect()[0]
-            for k, t in enumerate(small):
-                t.answer = float(row[f"t{k}"])
+            for k, ts in enumerate(groups.values()):
+                for t, q in zip(ts, row[f"g{k}"]):
+                    t.answer = float(q)
         if not big:
             continue
         eps = 1.0 / accuracy
+        groups = {}
+        for t in big:
+            groups.setdefault((t.name, t.lo, t.hi), []).append(t)
         aggs = []
-        for k, t in enumerate(big):
-            x = F.when(_interval(values[t.name], t.lo, t.hi), values[t.name])
-            q = t.r / t.m
-            aggs.append(F.percentile_approx(x, [max(0.0, q - 3 * eps), min(1.0, q + 3 * eps)], accuracy).alias(f"t{k}"))
+        for k, ((name, lo, hi), ts) in enumerate(groups.items()):
+            x = F.when(_interval(values[name], lo, hi), values[name])
+            ps = []
+            for t in ts:
+                q = t.r / t.m
+                ps += [max(0.0, q - 3 * eps), min(1.0, q + 3 * eps)]
+            aggs.append(F.percentile_approx(x, ps, accuracy).alias(f"g{k}"))
         row = df.agg(*aggs).collect()[0]
-        bounds = [(float(row[f"t{k}"][0]), float(row[f"t{k}"][1])) for k in range(len(big))]
+        found = {}
+        for k, ts in enumerate(groups.values()):
+            qs = row[f"g{k}"]
+            for j, t in enumerate(ts):
+                found[id(t)] = (float(qs[2 * j]), float(qs[2 * j + 1]))
+        bounds = [found[id(t)] for t in big]
         aggs = []
         for k, t in enumerate(big):
             v = values[t.name]
