@@ -52,7 +52,11 @@ def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
     ensure_checkpoint_dir(spark)
     parts = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     tx = tx.select("items")
-    if tx.rdd.getNumPartitions() < parts:
+    try:
+        splits = tx.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. Spark Connect): keep the input as it is
+        splits = parts
+    if splits < parts:
         # FP-growth builds its conditional trees in the input tasks (RDD code,
         # outside AQE): spread a small input; large inputs keep their splits.
         tx = tx.repartition(parts)

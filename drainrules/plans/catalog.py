@@ -41,8 +41,15 @@ def _apps_str(col) -> F.Column:
     return F.array_join(F.array_sort(F.array_distinct(col)), ",")
 
 
+def _session_key(spark: SparkSession):
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext handle (e.g. Spark Connect)
+        return id(spark)
+
+
 def _mined(spark: SparkSession, sf_dir: str) -> rs.RuleResult:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (_session_key(spark), sf_dir)
     if key not in _MEMO:
         rates = fx.sample_rates(spark, sf_dir)
         _MEMO[key] = rs.mine_rules(rates, APP, MIN_SUPPORT, MIN_CONFIDENCE, exact=True)
@@ -51,9 +58,9 @@ def _mined(spark: SparkSession, sf_dir: str) -> rs.RuleResult:
 
 def _bins(spark: SparkSession, sf_dir: str, excluded: frozenset = frozenset()) -> dict:
     """Exact bins of the app (memoised per session; mining not needed)."""
-    key = (spark.sparkContext.applicationId, sf_dir, "bins", excluded)
+    key = (_session_key(spark), sf_dir, "bins", excluded)
     if key not in _MEMO:
-        m = _MEMO.get((spark.sparkContext.applicationId, sf_dir))
+        m = _MEMO.get((_session_key(spark), sf_dir))
         if m is not None and not excluded:
             _MEMO[key] = m.bins
         else:

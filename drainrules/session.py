@@ -38,17 +38,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def _session_checkpoint_dir(spark: SparkSession) -> str | None:
-    sc = spark.sparkContext
     try:
-        found = sc.getCheckpointDir()
-    except Exception:  # pragma: no cover - older PySpark
-        found = None
-    if found:
-        return found
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext handle (e.g. Spark Connect)
+        sc = None
+    if sc is not None:
+        try:
+            found = sc.getCheckpointDir()
+        except Exception:  # pragma: no cover - older PySpark
+            found = None
+        if found:
+            return found
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
-    return sc.getConf().get("spark.checkpoint.dir", None)
+    return sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
