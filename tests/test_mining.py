@@ -131,3 +131,35 @@ def test_rules_document_envelope(spark):
     confs = [r["confidence"] for r in doc["rules"]]
     assert confs == sorted(confs, reverse=True) and len(confs) == res.pruned.count()
     assert set(doc["rules"][0]) == {"antecedents", "consequents", "confidence"}
+
+
+def test_transaction_shape_and_support_monotone(spark):
+    from drainrules.operators import features as feat
+    from drainrules.operators import prepare as prep
+
+    rates = fx.sample_rates(spark, SF001)
+    samples = prep.flatten_rates(prep.filter_app(rates, "ECONOMY"))
+    bins = feat.compute_bins(samples, exact=True)
+    txs = [r["items"] for r in feat.transactions(samples, bins).collect()]
+    for t in txs:
+        names = [i.split("=", 1)[0] for i in t]
+        assert len(t) <= 10 and len(set(names)) == len(names)
+        assert names[0] == "rate"  # every transaction carries a rate item
+    res = rs.mine_samples(samples, "ECONOMY", 0.01, 0.3, exact=True)
+    freq = {tuple(sorted(r["items"])): r["freq"] for r in res.itemsets.collect()}
+    for items, f in freq.items():
+        for k in range(1, len(items)):
+            for sub in combinations(items, k):
+                assert freq[tuple(sorted(sub))] >= f   # every subset is frequent and at least as supported
+    # support counted against the brute-force transactions
+    sample = sorted(freq.items(), key=lambda kv: -len(kv[0]))[:20]
+    for items, f in sample:
+        assert f == sum(1 for t in txs if set(items) <= set(t))
+
+
+def test_excluded_features_leave_transactions(spark):
+    rates = fx.sample_rates(spark, SF001)
+    res = rs.mine_rules(rates, "ECONOMY", 0.01, 0.3, "cpu,temp", exact=True)
+    items = {i for r in res.itemsets.collect() for i in r["items"]}
+    assert not any(i.startswith(("cpu=", "temperature=")) for i in items)
+    assert "cpu" not in res.bins and "temperature" not in res.bins
