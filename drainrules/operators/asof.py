@@ -15,7 +15,9 @@ would put all rows of a key into one task; here the work is split on
 3. left rows without a match in their own bucket take the carried one
    (equi-join on ``(key, bucket)`` with a one-row-per-key summary).
 
-``bucket_width`` changes only the split, never the result.
+``bucket_width`` changes only the split, never the result; ``"auto"`` picks
+it from the densest ``(key, bucket)`` of the left side (see
+``auto_bucket_width``), so a burst of one key is split too.
 """
 
 from __future__ import annotations
@@ -24,8 +26,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+AUTO_BASE_WIDTH = 86400.0
+AUTO_TARGET_ROWS = 2_000_000
+
+
+def auto_bucket_width(df: DataFrame, key: str, time: str, base_width: float = AUTO_BASE_WIDTH,
+                      target_rows: int = AUTO_TARGET_ROWS) -> float:
+    """Widest power-of-two fraction of ``base_width`` whose densest
+    ``(key, bucket)`` holds at most about ``target_rows`` rows.
+
+    One aggregate (partial aggregation, one number to the driver).  Halving
+    the width splits a burst of a hot key; only rows sharing one exact time
+    value cannot be split (they are ordered by their tie-breaker in one task).
+    """
+    width = float(base_width)
+    keyed = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    for _ in range(6):  # each round: one aggregate, one row to the driver
+        b = F.floor(F.col(time) / F.lit(width))
+        per = keyed.groupBy(F.col(key), b.alias("__b")).agg(
+            F.count(F.lit(1)).alias("n"), (F.max(time) - F.min(time)).alias("span"))
+        top = per.orderBy(F.desc("n")).limit(1).collect()
+        if not top or top[0]["n"] <= target_rows or not top[0]["span"]:
+            break
+        # rows of the densest bucket spread over ``span``: aim for target_rows per bucket
+        width = min(width / 2.0, float(top[0]["span"]) * target_rows / top[0]["n"])
+    return width
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
-              left_order: list[Column], right_order: list[Column], *, bucket_width: float,
+              left_order: list[Column], right_order: list[Column], *, bucket_width: float | str,
               match_name: str = "match", right_key: str | None = None) -> DataFrame:
     """Return ``left`` plus a struct column ``match_name`` (all right columns or null).
 
@@ -37,6 +66,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     """
     if len(left_order) != len(right_order):
         raise ValueError("left_order and right_order must have the same fields")
+    if bucket_width == "auto":
+        bucket_width = auto_bucket_width(left, key, left_time)
     width = F.lit(float(bucket_width))
     lcols = left.columns
     rcols = right.columns

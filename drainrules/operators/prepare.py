@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from drainrules import schemas
 from drainrules.operators.asof import asof_join
 
-DEFAULT_BUCKET_WIDTH = 86400.0
+DEFAULT_BUCKET_WIDTH = "auto"  # or a width in time units (a day = 86400.0 s)
 
 
 def filter_android(readings: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def filter_android(readings: DataFrame) -> DataFrame:
     return readings.where(F.length("uuid") <= 16)
 
 
-def pair_readings(readings: DataFrame, *, bucket_width: float = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+def pair_readings(readings: DataFrame, *, bucket_width: float | str = DEFAULT_BUCKET_WIDTH) -> DataFrame:
     """Consecutive readings of a device as ``(uuid, prev, cur)`` (schema PAIR)."""
     cols = [f.name for f in schemas.READING.fields]
     r = readings.select(*cols)
@@ -43,7 +43,7 @@ def pair_readings(readings: DataFrame, *, bucket_width: float = DEFAULT_BUCKET_W
 
 
 def rates_from_pairs(pairs: DataFrame, registrations: DataFrame | None = None, *,
-                     bucket_width: float = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                     bucket_width: float | str = DEFAULT_BUCKET_WIDTH) -> DataFrame:
     """Drain rate per pair with its apps and as-of registration (schema RATE)."""
     rate = (F.col("prev.battery_level") - F.col("cur.battery_level")) / (F.col("cur.time") - F.col("prev.time"))
     base = pairs.select(
@@ -67,7 +67,7 @@ def rates_from_pairs(pairs: DataFrame, registrations: DataFrame | None = None, *
 
 
 def asof_registration(rows: DataFrame, registrations: DataFrame, key: str, time: str, row_id: str, *,
-                      bucket_width: float = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                      bucket_width: float | str = DEFAULT_BUCKET_WIDTH) -> DataFrame:
     """Any rows with the latest registration at or before ``time`` (left, as-of)."""
     regs = registrations.select("uuid", "reg_time", "os")
     return asof_join(rows, regs, key, time, "reg_time",

@@ -24,7 +24,7 @@ def _brute_pairs(readings):
     return out
 
 
-@pytest.mark.parametrize("width", [0.5, 3.0, 1e9])
+@pytest.mark.parametrize("width", [0.5, 3.0, 1e9, "auto"])
 def test_pairing_matches_brute_force(spark, width):
     random.seed(3)
     rows = []
@@ -74,3 +74,13 @@ def test_recent_filter_rejects_nan_and_negative(spark):
     got = sorted((r["rate"], r["sp"]["cur"]["time"]) for r in prep.filter_recent(df, 5.0).collect())
     assert got == [(0.0, 10.0), (0.5, 11.0)]
     assert prep.unix_seconds("2016-06-22") == 1466553600.0
+
+
+def test_auto_width_splits_a_burst(spark):
+    from drainrules.operators.asof import auto_bucket_width
+    rows = [("hot", float(i) / 1000.0) for i in range(5000)] + [("cold", 5.0)]
+    df = spark.createDataFrame(rows, "uuid string, time double")
+    w = auto_bucket_width(df, "uuid", "time", base_width=100.0, target_rows=300)
+    assert w < 100.0
+    dense = df.groupBy("uuid", (df.time / w).cast("long")).count().agg({"count": "max"}).collect()[0][0]
+    assert dense <= 600
