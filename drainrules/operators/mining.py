@@ -21,12 +21,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drainrules.functions import discretize as dz
-from drainrules.session import ensure_checkpoint_dir
+from drainrules.session import ensure_checkpoint_dir, materialize
 
 KEY_SEP = ";"
 
@@ -44,9 +45,10 @@ def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
     FP-growth partitions its conditional trees by item, independent of the
     input splits, so ``num_partitions`` (default: the session's shuffle
     partitions) sets the mining parallelism.  The frequent itemsets (bounded,
-    see above) are checkpointed to the shared checkpoint folder once, so later
+    see above) are stored in the shared checkpoint folder once, so later
     actions neither re-mine nor depend on lost executors; rules are derived
-    from them with one join.
+    from them with one join.  Both are written once as parquet to the shared
+    checkpoint folder (one job each) and read back.
     """
     spark = tx.sparkSession
     ensure_checkpoint_dir(spark)
@@ -60,11 +62,19 @@ def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
         # FP-growth builds its conditional trees in the input tasks (RDD code,
         # outside AQE): spread a small input; large inputs keep their splits.
         tx = tx.repartition(parts)
-    est = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=float(min_confidence),
-                   numPartitions=parts)
-    model = est.fit(tx)
-    itemsets = model.freqItemsets.select("items", F.col("freq").cast("long").alias("freq")).checkpoint(eager=True)
-    return itemsets, rules_from_itemsets(itemsets, min_confidence).checkpoint(eager=True)
+    # Spark ML persists the transactions only while fitting, but the itemsets
+    # are mined lazily afterwards; keep them (spilling to disk) until the
+    # itemsets are stored, so the transactions are built once.
+    tx = tx.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        est = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=float(min_confidence),
+                       numPartitions=parts)
+        model = est.fit(tx)
+        itemsets = materialize(model.freqItemsets.select("items", F.col("freq").cast("long").alias("freq")),
+                               "itemsets")
+    finally:
+        tx.unpersist()
+    return itemsets, materialize(rules_from_itemsets(itemsets, min_confidence), "rules")
 
 
 # --------------------------------------------------------------------------- CUBE miner
@@ -169,9 +179,8 @@ def mine(tx_items: DataFrame, min_support: float, min_confidence: float, *, mine
         return fpgrowth(tx, min_support, min_confidence, num_partitions)
     if miner == "cube":
         itemsets = cube_itemsets(tx_items, features, min_support)
-        ensure_checkpoint_dir(tx_items.sparkSession)
-        itemsets = itemsets.checkpoint(eager=True)
-        return itemsets, rules_from_itemsets(itemsets, min_confidence).checkpoint(eager=True)
+        itemsets = materialize(itemsets, "itemsets")
+        return itemsets, materialize(rules_from_itemsets(itemsets, min_confidence), "rules")
     raise ValueError(f"unknown miner {miner!r}")
 
 
