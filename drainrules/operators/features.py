@@ -145,6 +145,18 @@ def compute_bins(samples: DataFrame, excluded: frozenset[str] = frozenset(), *,
     A feature without in-domain values gets no quantiles and bounds
     ``[0.0, 0.0]`` (its values then all fall in ``q1``).
     """
+    own_copy = exact and not samples.storageLevel.useMemory and not samples.storageLevel.useDisk
+    if own_copy:  # exact mode makes several passes: keep the input for them
+        samples = persist_for_reuse(samples)
+    try:
+        return _compute_bins(samples, excluded, exact, accuracy, exact_threshold)
+    finally:
+        if own_copy:
+            samples.unpersist()
+
+
+def _compute_bins(samples: DataFrame, excluded: frozenset[str], exact: bool, accuracy: int,
+                  exact_threshold: int) -> dict[str, list[float]]:
     specs = binned_specs(excluded)
     values = {s.bin_name: _domain_value(s) for s in specs}
     probs = {s.bin_name: s.probabilities() for s in specs}
