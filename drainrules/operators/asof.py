@@ -7,11 +7,10 @@ would put all rows of a key into one task; here the work is split on
 
 1. left and right rows are unioned and each ``(key, bucket)`` slice is
    scanned in order with ``last(right, ignorenulls)``;
-2. the same window (second frame) gives each bucket's last right row; one
-   row per ``(key, bucket)`` is kept (no new shuffle: the data is already
-   partitioned that way), and a window over these summary rows (bounded by
-   time span / bucket width per key, not by rows) carries the last right row
-   into later buckets;
+2. an aggregate with map-side partial aggregation reduces every
+   ``(key, bucket)`` to its last right row (``max_by``), and a window over
+   these summary rows (bounded by time span / bucket width per key, not by
+   rows) carries the last right row into later buckets;
 3. left rows without a match in their own bucket take the carried one
    (equi-join on ``(key, bucket)`` with a one-row-per-key summary).
 
@@ -89,16 +88,13 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
         rstruct.alias("__r"),
     )
     both = lside.unionByName(rside)
-    # Both frames share one (key, bucket) partitioning and order: one exchange,
-    # one Window operator.  The second frame gives every row its bucket's last
-    # right row, so the bucket summary needs no further shuffle.
-    spec = Window.partitionBy("__k", "__b").orderBy("__o")
-    upto = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    win = both.select("__k", "__b", "__l",
-                      F.last("__r", ignorenulls=True).over(upto).alias("__m"),
-                      F.last("__r", ignorenulls=True).over(whole).alias("__blast"))
-    summary = win.groupBy("__k", "__b").agg(F.first("__blast", ignorenulls=True).alias("__last"))
+    upto = Window.partitionBy("__k", "__b").orderBy("__o").rowsBetween(Window.unboundedPreceding,
+                                                                       Window.currentRow)
+    win = both.select("__k", "__b", "__l", F.last("__r", ignorenulls=True).over(upto).alias("__m"))
+    # last right row per (key, bucket) and every left bucket: partial aggregation
+    # before the shuffle, one small row per key and bucket and map task
+    summary = both.groupBy("__k", "__b").agg(
+        F.max_by("__r", F.when(F.col("__r").isNotNull(), F.col("__o"))).alias("__last"))
     w_key = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select("__k", "__b", F.last("__last", ignorenulls=True).over(w_key).alias("__carry"))
     in_bucket = win.where(F.col("__l").isNotNull())
@@ -106,3 +102,29 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     out = in_bucket.join(carried, ["__k", "__b"], "left")
     return out.select(*[F.col("__l").getField(c).alias(c) for c in lcols],
                       F.coalesce(F.col("__m"), F.col("__carry")).alias(match_name))
+
+
+def previous_row(df: DataFrame, key: str, time: str, order: list[Column], *, bucket_width: float | str,
+                 name: str = "prev") -> DataFrame:
+    """``df`` plus a struct ``name``: the previous row of the same key in ``order``.
+
+    The self-join special case of ``asof_join``: ``lag`` within each
+    ``(key, time bucket)`` slice; the first row of a slice takes the last row
+    of the nearest earlier bucket of its key (bucket summaries carried by a
+    window over one row per key and bucket).  ``order`` must start with the
+    time column so that buckets follow the order.
+    """
+    if bucket_width == "auto":
+        bucket_width = auto_bucket_width(df, key, time)
+    cols = df.columns
+    row = F.struct(*[F.col(c) for c in cols])
+    spec = Window.partitionBy("__k", "__b").orderBy(*order)
+    keyed = df.where(F.col(key).isNotNull()).select(
+        *cols, F.col(key).alias("__k"), F.floor(F.col(time) / F.lit(float(bucket_width))).alias("__b"))
+    win = keyed.select(*cols, "__k", "__b", F.lag(row).over(spec).alias("__m"))
+    # last row per (key, bucket): partial aggregation before the shuffle
+    summary = keyed.groupBy("__k", "__b").agg(F.max_by(row, F.struct(*order)).alias("__last"))
+    w_key = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select("__k", "__b", F.last("__last", ignorenulls=True).over(w_key).alias("__carry"))
+    out = win.join(carried, ["__k", "__b"], "left")
+    return out.select(*cols, F.coalesce(F.col("__m"), F.col("__carry")).alias(name))

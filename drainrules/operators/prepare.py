@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drainrules import schemas
-from drainrules.operators.asof import asof_join
+from drainrules.operators.asof import asof_join, previous_row
 
 DEFAULT_BUCKET_WIDTH = "auto"  # or a width in time units (a day = 86400.0 s)
 
@@ -33,10 +33,8 @@ def pair_readings(readings: DataFrame, *, bucket_width: float | str = DEFAULT_BU
     """Consecutive readings of a device as ``(uuid, prev, cur)`` (schema PAIR)."""
     cols = [f.name for f in schemas.READING.fields]
     r = readings.select(*cols)
-    order_l = [F.col("time"), F.col("reading_id"), F.lit(0)]
-    order_r = [F.col("time"), F.col("reading_id"), F.lit(1)]
-    matched = asof_join(r, r, "uuid", "time", "time", order_l, order_r,
-                        bucket_width=bucket_width, match_name="prev")
+    matched = previous_row(r, "uuid", "time", [F.col("time"), F.col("reading_id")],
+                           bucket_width=bucket_width, name="prev")
     cur = F.struct(*[F.col(c) for c in cols])
     return matched.where(F.col("prev").isNotNull() & (F.col("time") > F.col("prev.time"))).select(
         F.col("uuid"), F.col("prev"), cur.alias("cur"))

@@ -20,6 +20,7 @@ from drainrules.operators import features as feat
 from drainrules.operators import mining
 from drainrules.operators import prepare as prep
 from drainrules.operators import report
+from drainrules.plans import batch
 from drainrules.plans import rule_search as rs
 from drainrules.session import scratch_path
 from drainrules.sources import fixtures as fx
@@ -80,7 +81,7 @@ def _android_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_rates(spark: SparkSession, sf_dir: str, with_regs: bool) -> DataFrame:
     regs = fx.registrations(spark, sf_dir) if with_regs else None
-    return prep.rates_from_pairs(_android_pairs(spark, sf_dir), regs, bucket_width=BUCKET_WIDTH)
+    return batch.build_rates(fx.device_readings(spark, sf_dir), regs, bucket_width=BUCKET_WIDTH)
 
 
 def _rates_flat(rates: DataFrame) -> DataFrame:
