@@ -123,19 +123,15 @@ def q_scan_registrations(spark, sf_dir):
     return io.read_registrations(spark, path).select("uuid", "reg_time", "os")
 
 
-def _samples(spark, sf_dir):
-    return fx.device_samples(spark, sf_dir)
-
-
 def q_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "samples-csv")
-    io.write_samples_csv(_samples(spark, sf_dir), path)
+    io.write_samples_csv(fx.device_samples(spark, sf_dir), path)
     return io.read_samples_csv(spark, path)
 
 
 def q_tsv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "samples-tsv")
-    io.write_samples_tsv(_samples(spark, sf_dir), path)
+    io.write_samples_tsv(fx.device_samples(spark, sf_dir), path)
     return io.read_samples_csv(spark, path, sep="\t", header=True)
 
 

@@ -102,9 +102,3 @@ def mine_rules(rates: DataFrame, app: str, min_support: float | None = None,
     samples = prepare.flatten_rates(prepare.filter_app(rates, app))
     return mine_samples(samples, app, min_support, min_confidence, excluded, exact=exact, miner=miner,
                         num_partitions=num_partitions, accuracy=accuracy)
-
-
-def flat_samples_of_app(samples_with_apps: DataFrame, app: str) -> DataFrame:
-    """Flat fixture rows (with ``app1``/``app2``) of one app, as SAMPLE columns."""
-    from drainrules.schemas import SAMPLE_COLUMNS
-    return samples_with_apps.where(F.array_contains(F.array_distinct(F.array("app1", "app2")), app)).select(*SAMPLE_COLUMNS)
