@@ -17,6 +17,9 @@ would put all rows of a key into one task; here the work is split on
 ``bucket_width`` changes only the split, never the result; ``"auto"`` picks
 it from the densest ``(key, bucket)`` of the left side (see
 ``auto_bucket_width``), so a burst of one key is split too.
+
+``previous_row`` is the self-join case (each row's predecessor in its key):
+``lag`` inside each slice instead of a union, with the same carried summary.
 """
 
 from __future__ import annotations
@@ -31,12 +34,14 @@ AUTO_TARGET_ROWS = 2_000_000
 
 def auto_bucket_width(df: DataFrame, key: str, time: str, base_width: float = AUTO_BASE_WIDTH,
                       target_rows: int = AUTO_TARGET_ROWS) -> float:
-    """Widest power-of-two fraction of ``base_width`` whose densest
-    ``(key, bucket)`` holds at most about ``target_rows`` rows.
-
-    One aggregate (partial aggregation, one number to the driver).  Halving
-    the width splits a burst of a hot key; only rows sharing one exact time
-    value cannot be split (they are ordered by their tie-breaker in one task).
+    """A bucket width whose densest ``(key, bucket)`` holds about ``target_rows`` rows or fewer.
+
+    Each round is one aggregate (partial aggregation; the densest group's
+    count and time span reach the driver) and narrows the width to the span
+    that would hold ``target_rows`` of that group's rows, at least halving
+    it; at most six rounds.  This splits a burst of a hot key; only rows
+    sharing one exact time value cannot be split (they are ordered by their
+    tie-breaker in one task).
     """
     width = float(base_width)
     keyed = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
