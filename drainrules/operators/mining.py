@@ -39,16 +39,16 @@ def itemset_key(arr: Column) -> Column:
 
 # --------------------------------------------------------------------------- FP-growth
 def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
-             num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+             num_partitions: int | None = None, after_fit=None) -> tuple[DataFrame, DataFrame]:
     """(freq_itemsets[items, freq], rules[antecedent, consequent, confidence]).
 
     FP-growth partitions its conditional trees by item, independent of the
     input splits, so ``num_partitions`` (default: the session's shuffle
     partitions) sets the mining parallelism.  The frequent itemsets (bounded,
-    see above) are stored in the shared checkpoint folder once, so later
-    actions neither re-mine nor depend on lost executors; rules are derived
-    from them with one join.  Both are written once as parquet to the shared
-    checkpoint folder (one job each) and read back.
+    see above) and the rules derived from them with one join are each written
+    once as parquet to the shared checkpoint folder and read back, so later
+    actions neither re-mine nor depend on lost executors.  ``after_fit`` runs
+    once the transactions are cached (callers release their own copies).
     """
     spark = tx.sparkSession
     ensure_checkpoint_dir(spark)
@@ -70,6 +70,8 @@ def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
         est = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=float(min_confidence),
                        numPartitions=parts)
         model = est.fit(tx)
+        if after_fit is not None:
+            after_fit()  # the transactions are cached now: upstream copies can go
         itemsets = materialize(model.freqItemsets.select("items", F.col("freq").cast("long").alias("freq")),
                                "itemsets")
     finally:
@@ -168,7 +170,7 @@ def rule_rows(rules: DataFrame) -> DataFrame:
 
 
 def mine(tx_items: DataFrame, min_support: float, min_confidence: float, *, miner: str = "fpgrowth",
-         num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+         num_partitions: int | None = None, after_fit=None) -> tuple[DataFrame, DataFrame]:
     """Frequent itemsets and all rules from an item table (ten item columns).
 
     ``tx_items`` has one nullable string column per feature (``ITEM_ORDER``).
@@ -176,7 +178,7 @@ def mine(tx_items: DataFrame, min_support: float, min_confidence: float, *, mine
     features = list(dz.ITEM_ORDER)
     if miner == "fpgrowth":
         tx = tx_items.select(F.array_compact(F.array(*features)).alias("items"))
-        return fpgrowth(tx, min_support, min_confidence, num_partitions)
+        return fpgrowth(tx, min_support, min_confidence, num_partitions, after_fit)
     if miner == "cube":
         itemsets = cube_itemsets(tx_items, features, min_support)
         itemsets = materialize(itemsets, "itemsets")

@@ -77,7 +77,7 @@ def mine_samples(samples: DataFrame, app: str, min_support: float | None = None,
 
     With ``persist`` the app's flat samples (ten columns) are kept
     (memory, spilling to disk) for the bins pass and the miner's passes, and
-    released once the frequent itemsets are checkpointed.
+    released as soon as the miner has cached its transactions.
     """
     s, c = validate(app, min_support, min_confidence)
     ex = dz.parse_excluded(excluded)
@@ -86,7 +86,8 @@ def mine_samples(samples: DataFrame, app: str, min_support: float | None = None,
         bins = feat.compute_bins(kept, ex, exact=exact, accuracy=accuracy)
         items = feat.item_table(kept, bins, ex)
         t0 = time.perf_counter()
-        itemsets, rules = mining.mine(items, s, c, miner=miner, num_partitions=num_partitions)
+        release = kept.unpersist if persist else None  # once the miner holds its transactions
+        itemsets, rules = mining.mine(items, s, c, miner=miner, num_partitions=num_partitions, after_fit=release)
         fp_ms = int((time.perf_counter() - t0) * 1000)
     finally:
         if persist:
