@@ -41,7 +41,7 @@ def test_pairing_matches_brute_force(spark, width):
     assert got == _brute_pairs(rows)
 
 
-@pytest.mark.parametrize("width", [0.7, 5.0, 1e9])
+@pytest.mark.parametrize("width", [0.7, 5.0, 1e9, "auto"])
 def test_asof_registration_matches_brute_force(spark, width):
     random.seed(5)
     regs = [(f"d{random.randint(0, 4)}", float(random.randint(0, 40)), str(random.randint(0, 3))) for _ in range(30)]
