@@ -69,3 +69,15 @@ def test_parquet_rates_roundtrip_prunes_columns(spark):
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "cpuUsage" in plan and "screenBrightness" not in plan
     assert back.count() == fx.sample_rates(spark, SF001).count()
+
+
+def test_recent_rates_layout_prunes_months(spark):
+    from drainrules.operators import prepare as prep
+
+    p = scratch_path(spark, "t-recent")
+    io.write_recent_rates(prep.filter_recent(fx.sample_rates(spark, SF001), "1996-06-22"), p)
+    back = io.read_recent_rates(spark, p).where(F.col("month") >= "1998-01")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    months = {r["month"] for r in back.select("month").distinct().collect()}
+    assert months and all(m >= "1998-01" for m in months)
