@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drainrules import schemas
 
@@ -52,7 +53,9 @@ def write_recent_rates(rates: DataFrame, path: str) -> str:
 
 
 def read_recent_rates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RATE.add("month", "string")).parquet(path)
+    # a new schema: StructType.add would change the shared RATE in place
+    schema = T.StructType(schemas.RATE.fields + [T.StructField("month", T.StringType(), True)])
+    return spark.read.schema(schema).parquet(path)
 
 
 # ---------------------------------------------------------------- flat samples as text
