@@ -7,6 +7,7 @@ so a Python worker never holds more than one such batch of whole texts.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,9 +27,19 @@ def doc_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def _workers_find_package(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it (as ``spark.executorEnv.PYTHONPATH`` would say)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def map_arrow(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with bounded batches."""
     bounded_batches(df.sparkSession)
+    _workers_find_package(df.sparkSession)
     return df.mapInArrow(batches, schema)
 
 
