@@ -97,7 +97,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     """``doc_id, license_id, dice, unit`` per document and licence with a unit of Dice ``threshold`` or more.
 
     ``dice`` is the best coefficient, rounded to six digits; ``unit`` the normalised words of the best unit (of equal
-    ones the first in text order of its words).  ``templates`` are pairs of licence id and text.
+    ones the last in text order).  ``templates`` are pairs of licence id and text.
     """
     if templates is None:
         templates = [(k, t) for k, ts in TEMPLATES.items() for t in ts]
