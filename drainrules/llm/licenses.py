@@ -6,8 +6,9 @@ line ends and sentence ends to spaces) and cut into units at four levels: senten
 template is ``2 * common / (a + b)`` over their different word bigrams.
 
 **Size bounds.**  As ``common <= min(a, b)``, a coefficient of at least ``t`` needs ``a`` between ``b * t / (2 - t)`` and
-``b * (2 - t) / t``.  Units whose count of separators shows that they fit no template go before their words are
-cut; each other unit is compared with just the templates whose bounds hold its bigram count.
+``b * (2 - t) / t``.  Units with too few separators for any template go before their words are cut, and units without one of the
+templates' anchors (the same counting shows that they cannot reach ``t``) before they are compared; each other unit is compared
+with just the templates whose bounds hold its bigram count.
 
 The templates are a small table of the caller's, checked to have at most ``MAX_TEMPLATES`` rows; they become
 literals of the plan, so nothing is joined or shuffled but the best match per document and licence, which is found
@@ -19,6 +20,8 @@ other row; templates of under two words are refused; an empty table gives no row
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +80,13 @@ def words_of(unit: Column) -> Column:
 
 
 def bigrams_of(words: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def once(value: Column) -> Column:
+    """The value as a generator's only row: computed once, however often later steps use it."""
+    return F.explode(F.array(value))
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -93,6 +101,17 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return fits[0], fits[-1]
 
 
+def anchors(grams: list[str], threshold: float) -> list[str]:
+    """Bigrams of a template of which every unit that reaches the threshold holds at least one.
+
+    Such a unit shares ``need`` bigrams or more, so it cannot miss all of any ``len(grams) - need + 1``; those with
+    the longest words are taken, as they are rare.
+    """
+    least = size_bounds(len(grams), threshold)[0]
+    need = math.ceil(threshold * (least + len(grams)) / 2 - 1e-9)
+    return sorted(grams, key=lambda g: (-max(map(len, g.split())), g))[: len(grams) - need + 1]
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, license_id, dice, unit`` per document and licence with a unit of Dice ``threshold`` or more.
 
@@ -116,16 +135,17 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         F.split("norm", "[\n" + _SENTENCE_END + "]"), F.split("norm", "\n"), F.split("norm", "\n[ \n]*\n"), F.array("norm")
     ))
     separators = F.length("unit") - F.length(F.translate(F.col("unit"), " \n" + _SENTENCE_END, ""))
-    # Words are at most separators + 1; runs of separators hold at most three of them.  Different bigrams may be fewer than words.
+    rare = sorted({a for _, g in grams for a in anchors(g, threshold)})
+    rare_words = sorted({max(g.split(), key=len) for g in rare})
     cut = (
         doc_columns(docs)
-        .select("doc_id", text.alias("norm"))
+        .select("doc_id", once(text).alias("norm"))
         .select("doc_id", F.explode(units).alias("unit"))
         .where(separators >= least)
-        .select("doc_id", words_of(F.col("unit")).alias("words"))
-        .where(F.size("words") > least)
-        .select("doc_id", "words", bigrams_of(F.col("words")).alias("grams"))
-        .where(F.size("grams").between(least, most))
+        .select("doc_id", once(words_of(F.col("unit"))).alias("words"))
+        .where((F.size("words") > least) & F.exists("words", lambda w: w.isin(rare_words)))
+        .select("doc_id", "words", once(bigrams_of(F.col("words"))).alias("grams"))
+        .where(F.size("grams").between(least, most) & F.exists("grams", lambda g: g.isin(rare)))
     )
     size = F.size("grams")
     scores = []

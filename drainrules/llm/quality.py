@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drainrules.llm.common import doc_columns, map_arrow
 from drainrules.session import materialize
@@ -213,8 +214,8 @@ def _with_verdict(stats: DataFrame, forest: Forest, scores: bool) -> DataFrame:
                 names.append("rejected")
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
-    schema = stats.schema.add("score", "double").add("rule", "int")
-    return map_arrow(stats, judge, schema if scores else schema.add("rejected", "boolean"))
+    more = [T.StructField("score", T.DoubleType()), T.StructField("rule", T.IntegerType()), T.StructField("rejected", T.BooleanType())]
+    return map_arrow(stats, judge, T.StructType([*stats.schema.fields, *(more[:2] if scores else more)]))
 
 
 def fit_quality(

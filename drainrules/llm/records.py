@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drainrules.llm.common import doc_columns, map_arrow, shuffle_partitions
 from drainrules.llm.tokens import encoder
@@ -179,5 +180,4 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if open_file is not None:
             open_file.close()
 
-    schema = index.schema.add("ids", "binary")
-    return map_arrow(index, read, schema)
+    return map_arrow(index, read, T.StructType([*index.schema.fields, T.StructField("ids", T.BinaryType())]))
