@@ -115,8 +115,8 @@ def _license_sql() -> str:
         "regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[.!?]+([ \\n])', chr(30) || '\\1', 'g'), "
         "'[^\\p{{L}}\\p{{N}}\\n' || chr(30) || ']+', ' ', 'g')"
     )
-    words = "list_filter(string_split_regex({0}, '[ \\n' || chr(30) || ']+'), x -> x <> '')"
-    grams = "list_distinct(list_transform(range(1, len({0})), i -> {0}[i] || ' ' || {0}[i + 1]))"
+    words = "list_filter(string_split_regex({0}, '[ \\n' || chr(30) || ']+'), lambda x: x <> '')"
+    grams = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
     return f"""
 WITH templates(t, license_id, body) AS (VALUES {values}),
 tw AS (SELECT t, license_id, {words.format(norm.format("body"))} AS w FROM templates),

@@ -19,8 +19,9 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 _ISOLATED = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = ".,;:!?#$%&*|"
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -37,13 +38,19 @@ class _Cache(dict):
     def __init__(self, encode, before: str, limit: int):
         super().__init__()
         self.encode, self.before, self.limit, self.old = encode, before, limit, {}
+        self.marks = functools.lru_cache(maxsize=1000)(encode)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             if self.before and (not piece or piece[0].isspace() or piece[-1].isspace()):
                 raise _Touching
-            ids = self.encode(self.before + piece)
+            word = piece.rstrip(_MARKS)
+            if len(word) < len(piece) and word[-1:].islower():
+                # Marks after a lower-case letter (which lower-casing leaves alone) are pre-tokens of their own.
+                ids = self[word] + self.marks(piece[len(word) :])
+            else:
+                ids = self.encode(self.before + piece)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -81,19 +88,16 @@ class PieceEncoder:
             if any(c in text for c in _CONTROLS):  # Python's white space, not the tokenizer's
                 return self._direct(text)
             return b"".join(map(known, text.split()))
-        parts = text.split(" ")
-        try:
-            return self._first(parts[0]) + b"".join(map(known, parts[1:]))
-        except _Touching:
-            parts = _ISOLATED.split(text)
-            if len(parts) == 1:
-                return self._direct(text)
-            return self._direct(parts[0]) + b"".join(map(known, parts[1:-1])) + self._direct(" " + parts[-1])
-
-    def _first(self, piece: str) -> bytes:
-        if not piece or piece[-1].isspace():
-            raise _Touching
-        return self._direct(piece)
+        first, space, rest = text.partition(" ")
+        if first and not first[-1].isspace():
+            try:
+                return self._direct(first) + b"".join(map(known, rest.split(" ") if space else ()))
+            except _Touching:
+                pass
+        parts = _ISOLATED.split(text)
+        if len(parts) == 1:
+            return self._direct(text)
+        return self._direct(parts[0]) + b"".join(map(known, parts[1:-1])) + self._direct(" " + parts[-1])
 
 
 @functools.lru_cache(maxsize=4)

@@ -1,14 +1,14 @@
 """Toxicity categories by a classifier chain of linear models.
 
 The categories come in a fixed order.  The model of a category sees the words of a text and the first
-letters of longer words (present or not) and the probabilities of all earlier categories.  In training these are **out of fold**: the
+letters that one, two or three of its longer words share (present or not) and the probabilities of all earlier categories.  In training these are **out of fold**: the
 labelled sample is cut into ``folds`` parts by a hash of the id, and a row's probability comes from
 a model fitted without its part, so a later model learns from inputs as good as it will
 get for new texts.  For new texts the models fitted on the whole sample are chained.
 
 Training takes at most ``max_train`` labelled rows (the smallest hashes of their ids; a documented
 bound), from which Spark counts words per category, and the ``words_per_category`` words of highest
-chi-square each, seen in ``min_docs`` or more rows, become features.  The models are logistic
+chi-square each (``MIN_CHI_SQUARE`` or more), seen in ``min_docs`` rows and ``MIN_SHARE`` of all or more, become features.  The models are logistic
 regressions with an L2 penalty, fitted by Newton's method.  The decision threshold of the target category maximises
 F1 over the out-of-fold probabilities of the sample.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -39,18 +40,21 @@ from drainrules.session import materialize
 MAX_TRAIN = 10_000
 WORDS_PER_CATEGORY = 150
 MIN_DOCS = 5
+MIN_SHARE = 0.002  # of the sample's rows
+MIN_CHI_SQUARE = 25.0  # words this far from chance; many words are tried at once
 FOLDS = 5
-PENALTY = 1.0
-STEMS = (5, 7)  # leading letters of longer words, as words of their own
+PENALTY = 0.3
+STEMS = (5, 7)  # leading letters of longer words
+STEM_COUNTS = (1, 2, 3)  # a stem of so many different words is a word of its own
 
 _WORDS = re.compile(r"[^\W_]+")
 
 
 def text_words(text: str) -> set[str]:
-    """The different words of a text, and the stems of its longer words."""
+    """The different words of a text, and the stems of its longer words with how many of them share it."""
     words = set(_WORDS.findall(text.lower()))
-    stems = {w[:n] + "*" for n in STEMS for w in words if len(w) > n}
-    return words | stems
+    stems = Counter([w[:n] for n in STEMS for w in words if len(w) > n])
+    return words | {f"{s}*{k}" for s, n in stems.items() for k in STEM_COUNTS if k <= n}
 
 
 @dataclass
@@ -169,14 +173,14 @@ def fit_toxicity(
         bags.select(F.explode("words").alias("word"), *columns)
         .groupBy("word")
         .agg(F.count("*").alias("df"), *[F.sum(c).alias(c) for c in columns])
-        .where(F.col("df") >= min_docs)
+        .where(F.col("df") >= max(min_docs, MIN_SHARE * n))
     )
     best: set[str] = set()
     for c, pos in zip(columns, positive, strict=True):
         if 0 < pos < n:
             expected = F.col("df") * F.lit(pos / n)
             chi = (F.col(c) - expected) ** 2 / (expected * F.lit(1 - pos / n) * (1 - F.col("df") / F.lit(n)) + F.lit(1e-9))
-            best |= {r["word"] for r in counts.orderBy(chi.desc(), "word").limit(words_per_category).select("word").collect()}
+            best |= {r["word"] for r in counts.where(chi >= MIN_CHI_SQUARE).orderBy(chi.desc(), "word").limit(words_per_category).select("word").collect()}
     features = sorted(best)
     known = {w: i for i, w in enumerate(features)}
     shared = docs.sparkSession.sparkContext.broadcast(known)
