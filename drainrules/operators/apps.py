@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drainrules.session import materialize
+
 # --- fixed values: app picker of the search form -----------------------------
 POPULAR_MIN_COUNT = 1000   # apps shown must have more rates than this
 PICKER_MAX_OPTIONS = 100   # the picker lists at most this many apps
@@ -44,14 +46,16 @@ def by_name_desc(counts: DataFrame) -> DataFrame:
 def with_global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """1-based position in a total order, without moving all rows to one task.
 
-    Rows are range-partitioned by the order; each partition numbers its rows
-    locally, and the per-partition row counts (one small row per partition)
-    give the offsets.
+    Rows are range-partitioned by the order and stored once with the number of
+    their partition, so that numbering and counting see the same partitions
+    (two plans of one sort would each sample bounds of their own).  Each
+    partition numbers its rows locally, and the per-partition row counts (one
+    small row per partition) give the offsets.
     """
-    sorted_df = df.orderBy(*order).withColumn("__pid", F.spark_partition_id())
-    local = sorted_df.withColumn(
+    stored = materialize(df.orderBy(*order).withColumn("__pid", F.spark_partition_id()), "ranked")
+    local = stored.withColumn(
         "__local", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
-    sizes = sorted_df.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = stored.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select(
         "__pid",
         (F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))).alias("__off"))

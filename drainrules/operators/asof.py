@@ -7,23 +7,27 @@ would put all rows of a key into one task; here the work is split on
 
 1. left and right rows are unioned and each ``(key, bucket)`` slice is
    scanned in order with ``last(right, ignorenulls)``;
-2. an aggregate with map-side partial aggregation reduces every
-   ``(key, bucket)`` to its last right row (``max_by``), and a window over
-   these summary rows (bounded by time span / bucket width per key, not by
-   rows) carries the last right row into later buckets;
+2. the row that ends a slice (its ``lead`` is null) holds the slice's last
+   right row; a window over these rows (one per key and bucket) carries it
+   into later buckets;
 3. left rows without a match in their own bucket take the carried one
-   (equi-join on ``(key, bucket)`` with a one-row-per-key summary).
+   (equi-join on ``(key, bucket)``, on which the rows are partitioned already).
 
-``bucket_width`` changes only the split, never the result; ``"auto"`` picks
-it from the densest ``(key, bucket)`` of the left side (see
-``auto_bucket_width``), so a burst of one key is split too.
+Both uses of the slices share one shuffle of the rows.
+
+``bucket_width`` changes only the split, never the result: rows whose time is
+null or NaN stand in no order, so they match nothing and nothing matches them.
+``"auto"`` picks the width from the densest ``(key, bucket)`` of either side
+(see ``auto_bucket_width``), so a burst of one key is split too.
 
 ``previous_row`` is the self-join case (each row's predecessor in its key):
-``lag`` inside each slice instead of a union, with the same carried summary.
+``lag`` inside each slice instead of a union, with the same carried rows.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,30 +35,40 @@ from pyspark.sql import functions as F
 AUTO_BASE_WIDTH = 86400.0
 AUTO_TARGET_ROWS = 2_000_000
 
+_LOG = logging.getLogger(__name__)
+
+
+def has_time(time: str) -> Column:
+    """Whether a row has a place in the order of time."""
+    t = F.col(time).cast("double")
+    return t.isNotNull() & ~F.isnan(t)
+
 
 def auto_bucket_width(df: DataFrame, key: str, time: str, base_width: float = AUTO_BASE_WIDTH,
                       target_rows: int = AUTO_TARGET_ROWS) -> float:
-    """A bucket width whose densest ``(key, bucket)`` holds about ``target_rows`` rows or fewer.
+    """A bucket width whose densest ``(key, bucket)`` holds ``target_rows`` rows or fewer.
 
     Each round is one aggregate (partial aggregation; the densest group's
     count and time span reach the driver) and narrows the width to the span
     that would hold ``target_rows`` of that group's rows, at least halving
-    it; at most six rounds.  This splits a burst of a hot key; only rows
-    sharing one exact time value cannot be split (they are ordered by their
-    tie-breaker in one task).
+    it, until the target holds.  Rows of one key that share one exact time
+    cannot be split (they are ordered by their tie-breaker in one task); when
+    they alone pass the target, the width stays and a warning says so.
     """
     width = float(base_width)
-    keyed = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
-    for _ in range(6):  # each round: one aggregate, one row to the driver
+    keyed = df.where(F.col(key).isNotNull() & has_time(time))
+    while True:  # each round: one aggregate, one row to the driver
         b = F.floor(F.col(time) / F.lit(width))
         per = keyed.groupBy(F.col(key), b.alias("__b")).agg(
             F.count(F.lit(1)).alias("n"), (F.max(time) - F.min(time)).alias("span"))
         top = per.orderBy(F.desc("n")).limit(1).collect()
-        if not top or top[0]["n"] <= target_rows or not top[0]["span"]:
-            break
+        if not top or top[0]["n"] <= target_rows:
+            return width
+        if not top[0]["span"]:
+            _LOG.warning("%d rows of one %s share one %s: they stay in one task", top[0]["n"], key, time)
+            return width
         # rows of the densest bucket spread over ``span``: aim for target_rows per bucket
         width = min(width / 2.0, float(top[0]["span"]) * target_rows / top[0]["n"])
-    return width
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
@@ -66,70 +80,72 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     common order (same number and types of fields); a right row matches a
     left row when it sorts strictly before it.  Put a side tag in the keys to
     decide ties: e.g. ``(time, 0)`` for right and ``(time, 1)`` for left
-    matches right rows at an equal time.
+    matches right rows at an equal time.  Left rows with a null key or a null
+    or NaN time are kept with a null match; such right rows match nothing.
     """
     if len(left_order) != len(right_order):
         raise ValueError("left_order and right_order must have the same fields")
+    rkey = right_key or key
     if bucket_width == "auto":
-        bucket_width = auto_bucket_width(left, key, left_time)
+        bucket_width = min(auto_bucket_width(left, key, left_time), auto_bucket_width(right, rkey, right_time))
     width = F.lit(float(bucket_width))
     lcols = left.columns
     rcols = right.columns
+    placed = F.col(key).isNotNull() & has_time(left_time)
+    rtype = right.select(F.struct(*rcols).alias("s")).schema["s"].dataType
     names = [f"o{i}" for i in range(len(left_order))]
-    lside = left.select(
+    lside = left.where(placed).select(
         F.col(key).alias("__k"),
         F.floor(F.col(left_time) / width).alias("__b"),
         F.struct(*[c.alias(n) for c, n in zip(left_order, names)]).alias("__o"),
         F.struct(*[F.col(c) for c in lcols]).alias("__l"),
-        F.lit(None).cast(right.select(F.struct(*rcols).alias("s")).schema["s"].dataType).alias("__r"),
+        F.lit(None).cast(rtype).alias("__r"),
     )
-    rstruct = F.struct(*[F.col(c) for c in rcols])
-    rkey = right_key or key
-    rside = right.where(F.col(rkey).isNotNull()).select(
+    rside = right.where(F.col(rkey).isNotNull() & has_time(right_time)).select(
         F.col(rkey).alias("__k"),
         F.floor(F.col(right_time) / width).alias("__b"),
         F.struct(*[c.alias(n) for c, n in zip(right_order, names)]).alias("__o"),
         F.lit(None).cast(lside.schema["__l"].dataType).alias("__l"),
-        rstruct.alias("__r"),
+        F.struct(*[F.col(c) for c in rcols]).alias("__r"),
     )
-    both = lside.unionByName(rside)
-    upto = Window.partitionBy("__k", "__b").orderBy("__o").rowsBetween(Window.unboundedPreceding,
-                                                                       Window.currentRow)
-    win = both.select("__k", "__b", "__l", F.last("__r", ignorenulls=True).over(upto).alias("__m"))
-    # last right row per (key, bucket) and every left bucket: partial aggregation
-    # before the shuffle, one small row per key and bucket and map task
-    summary = both.groupBy("__k", "__b").agg(
-        F.max_by("__r", F.when(F.col("__r").isNotNull(), F.col("__o"))).alias("__last"))
-    w_key = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select("__k", "__b", F.last("__last", ignorenulls=True).over(w_key).alias("__carry"))
-    in_bucket = win.where(F.col("__l").isNotNull())
+    in_slice = Window.partitionBy("__k", "__b").orderBy("__o")
+    upto = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    win = lside.unionByName(rside).select(
+        "__k", "__b", "__l", F.last("__r", ignorenulls=True).over(upto).alias("__m"),
+        F.lead(F.lit(True)).over(in_slice).isNull().alias("__ends"))
+    out = win.where(F.col("__l").isNotNull()).join(_carried(win, F.struct("__l", "__m"), "__m"), ["__k", "__b"], "left").select(
+        *[F.col("__l").getField(c).alias(c) for c in lcols], F.coalesce(F.col("__m"), F.col("__carry")).alias(match_name))
+    return out.unionByName(left.where(~F.coalesce(placed, F.lit(False))).withColumn(match_name, F.lit(None).cast(rtype)))
+
+
+def _carried(win: DataFrame, row: Column, field: str) -> DataFrame:
+    """``(__k, __b, __carry)``: ``field`` of the last row that ends an earlier slice of the key and has one.
 
-    out = in_bucket.join(carried, ["__k", "__b"], "left")
-    return out.select(*[F.col("__l").getField(c).alias(c) for c in lcols],
-                      F.coalesce(F.col("__m"), F.col("__carry")).alias(match_name))
+    ``row`` names all columns of the slices, so that both uses of ``win`` read one shuffle.
+    """
+    w_key = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = win.where("__ends").select("__k", "__b", row.alias("__row"))
+    carry = F.last(F.when(F.col("__row").getField(field).isNotNull(), F.col("__row")), ignorenulls=True).over(w_key)
+    return ends.select("__k", "__b", carry.alias("__c")).select("__k", "__b", F.col("__c").getField(field).alias("__carry"))
 
 
 def previous_row(df: DataFrame, key: str, time: str, order: list[Column], *, bucket_width: float | str,
                  name: str = "prev") -> DataFrame:
-    """``df`` plus a struct ``name``: the previous row of the same key in ``order``.
+    """Rows of ``df`` with a key and a time, plus a struct ``name``: the previous row of the same key in ``order``.
 
     The self-join special case of ``asof_join``: ``lag`` within each
-    ``(key, time bucket)`` slice; the first row of a slice takes the last row
-    of the nearest earlier bucket of its key (bucket summaries carried by a
-    window over one row per key and bucket).  ``order`` must start with the
+    ``(key, time bucket)`` slice; the first row of a slice takes the row that
+    ends the nearest earlier bucket of its key.  ``order`` must start with the
     time column so that buckets follow the order.
     """
     if bucket_width == "auto":
         bucket_width = auto_bucket_width(df, key, time)
     cols = df.columns
-    row = F.struct(*[F.col(c) for c in cols])
-    spec = Window.partitionBy("__k", "__b").orderBy(*order)
-    keyed = df.where(F.col(key).isNotNull()).select(
-        *cols, F.col(key).alias("__k"), F.floor(F.col(time) / F.lit(float(bucket_width))).alias("__b"))
-    win = keyed.select(*cols, "__k", "__b", F.lag(row).over(spec).alias("__m"))
-    # last row per (key, bucket): partial aggregation before the shuffle
-    summary = keyed.groupBy("__k", "__b").agg(F.max_by(row, F.struct(*order)).alias("__last"))
-    w_key = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select("__k", "__b", F.last("__last", ignorenulls=True).over(w_key).alias("__carry"))
-    out = win.join(carried, ["__k", "__b"], "left")
-    return out.select(*cols, F.coalesce(F.col("__m"), F.col("__carry")).alias(name))
+    keyed = df.where(F.col(key).isNotNull() & has_time(time)).select(
+        F.struct(*cols).alias("__row"), F.col(key).alias("__k"), F.floor(F.col(time) / F.lit(float(bucket_width))).alias("__b"),
+        F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("__o"))
+    in_slice = Window.partitionBy("__k", "__b").orderBy("__o")
+    win = keyed.select("__row", "__k", "__b", F.lag("__row").over(in_slice).alias("__m"),
+                       F.lead(F.lit(True)).over(in_slice).isNull().alias("__ends"))
+    out = win.join(_carried(win, F.struct("__row"), "__row"), ["__k", "__b"], "left")
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in cols], F.coalesce(F.col("__m"), F.col("__carry")).alias(name))

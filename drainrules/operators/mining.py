@@ -54,14 +54,9 @@ def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
     ensure_checkpoint_dir(spark)
     parts = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     tx = tx.select("items")
-    try:
-        splits = tx.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. Spark Connect): keep the input as it is
-        splits = parts
-    if splits < parts:
-        # FP-growth builds its conditional trees in the input tasks (RDD code,
-        # outside AQE): spread a small input; large inputs keep their splits.
-        tx = tx.repartition(parts)
+    # FP-growth builds its conditional trees in the input tasks (RDD code,
+    # outside AQE): deal the transactions evenly to the mining tasks.
+    tx = tx.repartition(parts)
     # Spark ML persists the transactions only while fitting, but the itemsets
     # are mined lazily afterwards; keep them (spilling to disk) until the
     # itemsets are stored, so the transactions are built once.
@@ -145,7 +140,10 @@ def prune_rules(rules: DataFrame) -> DataFrame:
         F.array_sort("consequent").alias("consequent"),
         F.col("confidence"),
     )
-    subs = base.select("consequent", "confidence", F.col("antecedent").alias("dominated"),
+    # only rules with company in their group can be dominated
+    group = Window.partitionBy("consequent", "confidence")
+    several = base.withColumn("__n", F.count(F.lit(1)).over(group)).where("__n > 1")
+    subs = several.select("consequent", "confidence", F.col("antecedent").alias("dominated"),
                        F.explode(_subsets(F.col("antecedent"), proper=True)).alias("antecedent"))
     hit = subs.join(base.select("consequent", "confidence", "antecedent"),
                     ["consequent", "confidence", "antecedent"], "left_semi")
@@ -185,7 +183,3 @@ def mine(tx_items: DataFrame, min_support: float, min_confidence: float, *, mine
         return itemsets, materialize(rules_from_itemsets(itemsets, min_confidence), "rules")
     raise ValueError(f"unknown miner {miner!r}")
 
-
-def rank_column(order: list[Column]) -> Column:
-    """Row number over a bounded result (rules, top-k)."""
-    return F.row_number().over(Window.orderBy(*order)).cast("long")

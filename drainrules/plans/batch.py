@@ -1,8 +1,8 @@
 """Batch preparation: raw readings -> pairs (stored) -> rates with registration.
 
-As in the original service, pairs are a stored intermediate: the as-of join
-for registrations reads its left side twice (slice window and bucket
-summary), so reading stored pairs avoids recomputing the pairing windows.
+As in the original service, pairs are a stored intermediate where the as-of
+join for registrations follows; without registrations they are read once and
+only their needed columns are computed.
 The table goes to the shared checkpoint folder (or ``pairs_path``).
 """
 
@@ -28,5 +28,8 @@ def build_pairs(readings: DataFrame, *, bucket_width: float | str = prep.DEFAULT
 def build_rates(readings: DataFrame, registrations: DataFrame | None = None, *,
                 bucket_width: float | str = prep.DEFAULT_BUCKET_WIDTH, pairs_path: str | None = None) -> DataFrame:
     """Rates (schema RATE) from raw readings and optional registrations."""
-    pairs = build_pairs(readings, bucket_width=bucket_width, pairs_path=pairs_path)
+    if registrations is None and pairs_path is None:  # read once: nothing to store
+        pairs = prep.pair_readings(prep.filter_android(readings), bucket_width=bucket_width)
+    else:
+        pairs = build_pairs(readings, bucket_width=bucket_width, pairs_path=pairs_path)
     return prep.rates_from_pairs(pairs, registrations, bucket_width=bucket_width)

@@ -175,6 +175,13 @@ def q_filter_app(spark, sf_dir):
     return rates.select(F.col("sp.cur.reading_id").alias("reading_id"), "rate", _apps_str(F.col("all_apps")).alias("apps"))
 
 
+def q_filter_app_stored(spark, sf_dir):
+    path = scratch_path(spark, "rates-by-app")
+    io.write_rates_by_app(fx.sample_rates(spark, sf_dir), path)
+    rates = io.read_rates_of_app(spark, path, APP)
+    return rates.select(F.col("sp.cur.reading_id").alias("reading_id"), "rate", _apps_str(F.col("all_apps")).alias("apps"))
+
+
 def q_filter_android(spark, sf_dir):
     return prep.filter_android(fx.device_readings(spark, sf_dir)).select("reading_id", "uuid")
 
@@ -250,9 +257,7 @@ def q_pairs_to_rates(spark, sf_dir):
 
 
 def q_asof_registration(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events").where(F.col("event_type") != "signup")
-    rows = fx.device_readings(spark, sf_dir).join(e.select(F.col("event_id").cast("long").alias("reading_id")), "reading_id",
-                                                  "left_semi").select("reading_id", "uuid", "time")
+    rows = fx.device_readings(spark, sf_dir, F.col("event_type") != "signup").select("reading_id", "uuid", "time")
     out = prep.asof_registration(rows, fx.registrations(spark, sf_dir), "uuid", "time", "reading_id",
                                  bucket_width=BUCKET_WIDTH)
     return out.select(F.col("reading_id").alias("event_id"), "uuid", "time",
@@ -348,6 +353,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transactions": q_transactions,
     "transactions_excluded": q_transactions_excluded,
     "filter_app": q_filter_app,
+    "filter_app_stored": q_filter_app_stored,
     "filter_android": q_filter_android,
     "filter_recent_rates": q_filter_recent_rates,
     "pair_samples": q_pair_samples,

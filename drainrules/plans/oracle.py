@@ -251,7 +251,7 @@ def build() -> dict[str, str]:
                      f"FROM ({APP_COUNTS}) c WHERE n > 1000 ORDER BY n DESC, app LIMIT 100")
     q["app_counts_by_name"] = (f"SELECT app, n, CAST(row_number() OVER (ORDER BY app DESC) AS BIGINT) AS rank "
                                f"FROM ({APP_COUNTS}) c")
-    q["filter_app"] = (f"SELECT reading_id, rate, apps FROM ({DEVICE_SAMPLES}) s "
+    q["filter_app"] = q["filter_app_stored"] = (f"SELECT reading_id, rate, apps FROM ({DEVICE_SAMPLES}) s "
                        f"WHERE list_contains(list_distinct([app1, app2]), '{cat.APP}')")
     q["filter_android"] = f"SELECT reading_id, uuid FROM ({READINGS}) r WHERE length(uuid) <= 16"
     q["filter_recent_rates"] = (f"SELECT reading_id, rate, time FROM ({DEVICE_SAMPLES}) s "

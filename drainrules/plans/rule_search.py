@@ -64,8 +64,8 @@ def validate(app: str, min_support: float | None, min_confidence: float | None)
         raise ValueError("Missing 'applicationName'")
     s = DEFAULT_MIN_SUPPORT if min_support is None else float(min_support)
     c = DEFAULT_MIN_CONFIDENCE if min_confidence is None else float(min_confidence)
-    if not (0.0 <= s <= 1.0 and 0.0 <= c <= 1.0):
-        raise ValueError("minSupport and minConfidence must lie in [0, 1]")
+    if not (0.0 < s <= 1.0 and 0.0 <= c <= 1.0):  # at support 0 the number of itemsets has no bound
+        raise ValueError("minSupport must lie in (0, 1] and minConfidence in [0, 1]")
     return s, c
 
 

@@ -126,9 +126,11 @@ def _compressed_time(name: str) -> Column:
     return epoch_micros(name).cast("double") / F.lit(1e9)
 
 
-def device_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw readings (schema READING) from ``events``; device fields are null."""
+def device_readings(spark: SparkSession, sf_dir: str, events: Column | None = None) -> DataFrame:
+    """Raw readings (schema READING) from ``events`` (or those that a condition picks); device fields are null."""
     e = table(spark, sf_dir, "events")
+    if events is not None:
+        e = e.where(events)
     apps = F.array_distinct(F.array(F.col("event_type"), F.concat(F.lit("app"), F.regexp_extract("props", "([0-9]+)", 1))))
     level = F.when(F.col("value") > 100, F.lit(100.0)).otherwise(F.col("value"))
     r = _reading_struct(_uuid_of(F.col("user_id")), _compressed_time("ts"), apps)

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from drainrules import schemas
 
+APP_BUCKETS = 64  # folders of rates stored by app
+
 
 # ---------------------------------------------------------------- parquet
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
@@ -52,6 +54,28 @@ def write_recent_rates(rates: DataFrame, path: str) -> str:
     return write_parquet(rates.withColumn("month", month).hint("rebalance", "month"), path, ["month"])
 
 
+def write_rates_by_app(rates: DataFrame, path: str, buckets: int = APP_BUCKETS) -> str:
+    """Rates stored once per app of theirs: folders by hash of the app, sorted by app inside.
+
+    A search for one app then reads one folder, and of it only the row groups
+    whose statistics hold the app.  ``REBALANCE`` splits a hot folder's rows
+    over several tasks and files.
+    """
+    per_app = rates.withColumn("app", F.explode(F.array_distinct("all_apps"))).withColumn("app_bucket", _app_bucket(F.col("app"), buckets))
+    return write_parquet(per_app.hint("rebalance", "app_bucket").sortWithinPartitions("app_bucket", "app"), path, ["app_bucket"])
+
+
+def read_rates_of_app(spark: SparkSession, path: str, app: str, buckets: int = APP_BUCKETS) -> DataFrame:
+    """The rates of one app from ``write_rates_by_app`` (partition and row-group pruning)."""
+    schema = T.StructType(schemas.RATE.fields + [T.StructField("app", T.StringType()), T.StructField("app_bucket", T.IntegerType())])
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.where((F.col("app_bucket") == _app_bucket(F.lit(app), buckets)) & (F.col("app") == app)).select(*schemas.RATE.names)
+
+
+def _app_bucket(app, buckets: int):
+    return F.pmod(F.hash(app), F.lit(int(buckets))).cast("int")
+
+
 def read_recent_rates(spark: SparkSession, path: str) -> DataFrame:
     # a new schema: StructType.add would change the shared RATE in place
     schema = T.StructType(schemas.RATE.fields + [T.StructField("month", T.StringType(), True)])
@@ -61,22 +85,33 @@ def read_recent_rates(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- flat samples as text
 def write_samples_tsv(samples: DataFrame, path: str) -> str:
     """TSV with the header ``rate cpu distance ...`` (tab separated)."""
-    samples.select(*schemas.SAMPLE_COLUMNS).write.mode("overwrite").option("sep", "\t").option(
-        "header", True).csv(path)
+    _write_plain(samples, path, "\t", header=True)
     return path
 
 
 def write_samples_csv(samples: DataFrame, path: str, sep: str = ",") -> str:
-    samples.select(*schemas.SAMPLE_COLUMNS).write.mode("overwrite").option("sep", sep).option(
-        "header", False).csv(path)
+    _write_plain(samples, path, sep, header=False)
     return path
 
 
+def _write_plain(samples: DataFrame, path: str, sep: str, header: bool) -> None:
+    """Delimited text without quoting; a text value that holds the separator or a line end fails the job."""
+    broken = "[" + "".join(f"\\x{ord(c):02x}" for c in sep) + "\\n\\r]"
+    columns = []
+    for f in samples.select(*schemas.SAMPLE_COLUMNS).schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            bad = F.raise_error(F.lit(f"a value of {f.name} holds the separator or a line end"))
+            c = F.when(c.rlike(broken), bad.cast("string")).otherwise(c).alias(f.name)
+        columns.append(c)
+    samples.select(*columns).write.mode("overwrite").option("sep", sep).option("header", header).option("quote", "").csv(path)
+
+
 def read_samples_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = False) -> DataFrame:
     """Delimited flat samples; values are trimmed; a bad number fails the job."""
     return (spark.read.schema(schemas.SAMPLE)
             .option("sep", sep).option("header", header)
-            .option("mode", "FAILFAST")
+            .option("mode", "FAILFAST").option("quote", "")
             .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
             .option("nanValue", "NaN")
             .csv(path))

@@ -22,3 +22,14 @@ def test_global_rank_is_dense_and_ordered(spark):
     by_rank = sorted(ranked, key=lambda r: r["rank"])
     assert [r["rank"] for r in by_rank] == list(range(1, 5001))
     assert [r["app"] for r in by_rank] == sorted((r["app"] for r in ranked), reverse=True)
+
+
+def test_global_rank_of_millions_under_aqe(spark):
+    n = 4_000_000
+    counts = (spark.range(0, 2 * n, numPartitions=8).select(F.concat(F.lit("app"), F.lpad((F.col("id") % n).cast("string"), 9, "0")).alias("app"),
+                                           F.repeat(F.lit("x"), (F.col("id") % 13).cast("int")).alias("wide"))
+              .groupBy("app").agg(F.count(F.lit(1)).alias("n"), F.max("wide").alias("wide")))
+    ranked = ap.with_global_rank(ap.by_name_desc(counts), [F.desc("app")])
+    position = n - F.substring("app", 4, 9).cast("long")
+    row = ranked.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("rank") != position).cast("int")).alias("off")).first()
+    assert (row["rows"], row["off"]) == (n, 0)

@@ -84,3 +84,40 @@ def test_auto_width_splits_a_burst(spark):
     assert w < 100.0
     dense = df.groupBy("uuid", (df.time / w).cast("long")).count().agg({"count": "max"}).collect()[0][0]
     assert dense <= 600
+
+
+NAN = float("nan")
+
+
+@pytest.mark.parametrize("width", [0.7, 2.0, 100.0, 1e6, "auto"])
+def test_times_without_order_match_nothing(spark, width):
+    rows = [(1, "a", 1.0), (2, "a", NAN), (3, "a", 2.5), (4, "a", None), (5, "a", 9.0), (6, None, 3.0), (7, "b", NAN), (8, "b", None), (9, "a", -3.0)]
+    regs = [("a", None, "none"), ("a", NAN, "nan"), ("a", 1.0, "x"), ("a", 2.0, "y"), (None, 1.0, "z"), ("b", None, "w")]
+    rdf = spark.createDataFrame(regs, "uuid string, reg_time double, os string")
+    ldf = spark.createDataFrame(rows, "reading_id long, uuid string, time double")
+    out = prep.asof_registration(ldf, rdf, "uuid", "time", "reading_id", bucket_width=width).collect()
+    got = {r["reading_id"]: r["registration"]["os"] if r["registration"] else None for r in out}
+    assert got == {1: "x", 2: None, 3: "y", 4: None, 5: "y", 6: None, 7: None, 8: None, 9: None} and len(out) == 9
+    from drainrules.schemas import ANDROID_FIELDS
+    df = ldf.withColumn("battery_level", F.lit(1.0)).withColumn("distanceTraveled", F.lit(None).cast("double")).withColumn(
+        "apps", F.lit(None).cast("array<string>")).withColumn("androidFields", F.lit(None).cast(ANDROID_FIELDS))
+    pairs = {(r["prev"]["reading_id"], r["cur"]["reading_id"]) for r in prep.pair_readings(df, bucket_width=width).collect()}
+    assert pairs == {(9, 1), (1, 3), (3, 5)}
+
+
+def test_auto_width_measures_until_the_target_holds(spark, caplog):
+    from drainrules.operators.asof import auto_bucket_width
+    rows = [("hot", 1e-9 * i) for i in range(400)] + [("hot", float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "uuid string, time double")
+    w = auto_bucket_width(df, "uuid", "time", base_width=1e6, target_rows=20)
+    assert df.groupBy("uuid", F.floor(df.time / w)).count().agg({"count": "max"}).first()[0] <= 20
+    same = spark.createDataFrame([("hot", 5.0)] * 50, "uuid string, time double")
+    auto_bucket_width(same, "uuid", "time", base_width=10.0, target_rows=20)
+    assert "share one" in caplog.text
+
+
+def test_plan_has_one_wide_shuffle_and_no_sort_aggregate(spark):
+    out = prep.asof_registration(fx.device_readings(spark, SF001).select("reading_id", "uuid", "time"), fx.registrations(spark, SF001),
+                                 "uuid", "time", "reading_id", bucket_width=100.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
