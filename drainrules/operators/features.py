@@ -183,6 +183,31 @@ def _compute_bins(samples: DataFrame, excluded: frozenset[str], exact: bool, acc
     return bins
 
 
+def rank_errors(samples: DataFrame, bins: dict[str, list[float]], accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """``(feature, idx, n_values, within_error)`` per bound of approximate bins.
+
+    A quantile is within the error if the wanted rank lies at most ``n / accuracy`` ranks (and one, for rounding)
+    from the ranks its value takes; the ends must be the least and the greatest value.  One aggregate.
+    """
+    aggs, rows = [], []
+    for s in binned_specs(frozenset()):
+        v = _domain_value(s)
+        bounds = bins[s.bin_name]
+        n = F.count(v)
+        wanted = [0.0, *s.probabilities()][: len(bounds) - 1] + [1.0]
+        for i, (bound, p) in enumerate(zip(bounds, wanted, strict=True)):
+            below, upto = (F.count(F.when(c, v)) for c in (v < F.lit(bound), v <= F.lit(bound)))
+            if p in (0.0, 1.0):
+                ok = (below == 0) & (upto > 0) if p == 0.0 else (upto == n) & (below < n)
+            else:
+                slack = n / F.lit(float(accuracy)) + F.lit(1.0)
+                ok = (below - slack <= n * F.lit(p)) & (n * F.lit(p) <= upto + slack)
+            name = f"{s.bin_name}__{i}"
+            aggs.append(F.struct(n.alias("n"), (ok | (n == 0)).alias("ok")).alias(name))
+            rows.append(f"'{s.bin_name}', {i}, `{name}`.n, `{name}`.ok")
+    return samples.agg(*aggs).selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS (feature, idx, n_values, within_error)")
+
+
 def quantiles_of(bins: dict[str, list[float]], name: str) -> list[float]:
     b = bins.get(name)
     return list(b[1:-1]) if b else []

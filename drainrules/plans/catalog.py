@@ -32,56 +32,38 @@ MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.3
 SINCE = "1996-06-22"
 EXCLUDED = "cpu,temp,mobileNetType"
-BUCKET_WIDTH = 100.0      # fixture clock: one unit = 1000 s, so ~1 day
+BUCKET_WIDTH = 100.0      # fixture clock: one unit = 1000 s, so ~1 day (scan_pairs; the others take the default)
+READINGS_APP = "click"
+READINGS_SUPPORT = 0.02
 SHOWN_TAB = 3             # the last rate tab is the one shown first
 
-_MEMO: dict = {}
-
 
 def _apps_str(col) -> F.Column:
     return F.array_join(F.array_sort(F.array_distinct(col)), ",")
 
 
-def _session_key(spark: SparkSession):
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # sessions without a SparkContext handle (e.g. Spark Connect)
-        return id(spark)
-
-
 def _mined(spark: SparkSession, sf_dir: str) -> rs.RuleResult:
-    key = (_session_key(spark), sf_dir)
-    if key not in _MEMO:
-        rates = fx.sample_rates(spark, sf_dir)
-        _MEMO[key] = rs.mine_rules(rates, APP, MIN_SUPPORT, MIN_CONFIDENCE, exact=True)
-    return _MEMO[key]
+    return rs.mine_rules(fx.sample_rates(spark, sf_dir), APP, MIN_SUPPORT, MIN_CONFIDENCE, exact=True)
 
 
 def _bins(spark: SparkSession, sf_dir: str, excluded: frozenset = frozenset()) -> dict:
-    """Exact bins of the app (memoised per session; mining not needed)."""
-    key = (_session_key(spark), sf_dir, "bins", excluded)
-    if key not in _MEMO:
-        m = _MEMO.get((_session_key(spark), sf_dir))
-        if m is not None and not excluded:
-            _MEMO[key] = m.bins
-        else:
-            samples = prep.flatten_rates(prep.filter_app(fx.sample_rates(spark, sf_dir), APP))
-            _MEMO[key] = feat.compute_bins(samples, excluded, exact=True)
-    return _MEMO[key]
+    """Exact bins of the app."""
+    samples = prep.flatten_rates(prep.filter_app(fx.sample_rates(spark, sf_dir), APP))
+    return feat.compute_bins(samples, excluded, exact=True)
 
 
 def _app_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.flatten_rates(prep.filter_app(fx.sample_rates(spark, sf_dir), APP), keep_id=True)
 
 
-def _android_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _android_pairs(spark: SparkSession, sf_dir: str, width: float | str = prep.DEFAULT_BUCKET_WIDTH) -> DataFrame:
     readings = prep.filter_android(fx.device_readings(spark, sf_dir))
-    return prep.pair_readings(readings, bucket_width=BUCKET_WIDTH)
+    return prep.pair_readings(readings, bucket_width=width)
 
 
 def _event_rates(spark: SparkSession, sf_dir: str, with_regs: bool) -> DataFrame:
     regs = fx.registrations(spark, sf_dir) if with_regs else None
-    return batch.build_rates(fx.device_readings(spark, sf_dir), regs, bucket_width=BUCKET_WIDTH)
+    return batch.build_rates(fx.device_readings(spark, sf_dir), regs)
 
 
 def _rates_flat(rates: DataFrame) -> DataFrame:
@@ -102,7 +84,15 @@ def q_scan_readings(spark, sf_dir):
     path = scratch_path(spark, "readings")
     io.write_parquet(fx.device_readings(spark, sf_dir), path)
     r = io.read_readings(spark, path)
-    return r.select("reading_id", "uuid", "time", "battery_level", _apps_str(F.col("apps")).alias("apps"))
+    a = "androidFields"
+    return r.select(
+        "reading_id", "uuid", "time", "battery_level", _apps_str(F.col("apps")).alias("apps"),
+        F.col(f"{a}.cpuUsage").alias("cpu"), F.col("distanceTraveled").alias("distance"),
+        F.col(f"{a}.battery.temperature").alias("temp"), F.col(f"{a}.battery.voltage").alias("voltage"),
+        F.col(f"{a}.screenBrightness").alias("screen"), F.col(f"{a}.networkInfo.mobileNetworkType").alias("mobileNetwork"),
+        F.col(f"{a}.networkInfo.networkType").alias("network"),
+        F.col(f"{a}.networkInfo.wifiSignalStrength").cast("double").alias("wifiStrength"),
+        F.col(f"{a}.networkInfo.wifiLinkSpeed").cast("double").alias("wifiSpeed"))
 
 
 def _pair_rows(pairs: DataFrame) -> DataFrame:
@@ -113,7 +103,7 @@ def _pair_rows(pairs: DataFrame) -> DataFrame:
 
 def q_scan_pairs(spark, sf_dir):
     path = scratch_path(spark, "pairs")
-    io.write_parquet(_android_pairs(spark, sf_dir), path)
+    io.write_parquet(_android_pairs(spark, sf_dir, BUCKET_WIDTH), path)
     return _pair_rows(io.read_pairs(spark, path))
 
 
@@ -203,8 +193,9 @@ def q_feature_bins(spark, sf_dir):
 
 
 def q_feature_bins_approx(spark, sf_dir):
+    """Whether the rank of each default (approximate) bound lies within the stated error of the wanted one."""
     samples = prep.flatten_rates(prep.filter_app(fx.sample_rates(spark, sf_dir), APP))
-    return _bins_long(spark, feat.compute_bins(samples, exact=False))
+    return feat.rank_errors(samples, feat.compute_bins(samples, exact=False))
 
 
 def q_feature_min_max(spark, sf_dir):
@@ -258,8 +249,7 @@ def q_pairs_to_rates(spark, sf_dir):
 
 def q_asof_registration(spark, sf_dir):
     rows = fx.device_readings(spark, sf_dir, F.col("event_type") != "signup").select("reading_id", "uuid", "time")
-    out = prep.asof_registration(rows, fx.registrations(spark, sf_dir), "uuid", "time", "reading_id",
-                                 bucket_width=BUCKET_WIDTH)
+    out = prep.asof_registration(rows, fx.registrations(spark, sf_dir), "uuid", "time", "reading_id")
     return out.select(F.col("reading_id").alias("event_id"), "uuid", "time",
                       F.col("registration.reg_time").alias("reg_time"), F.col("registration.os").alias("os"))
 
@@ -314,6 +304,12 @@ def q_rate_bin_labels(spark, sf_dir):
     return report.rate_bin_labels(feat.bins_table(spark, _mined(spark, sf_dir).bins))
 
 
+def q_search_from_readings(spark, sf_dir):
+    """The whole chain: readings, pairs, rates with registrations, rules of one app."""
+    rates = _event_rates(spark, sf_dir, with_regs=True)
+    return _rules_out(rs.mine_rules(rates, READINGS_APP, READINGS_SUPPORT, MIN_CONFIDENCE, exact=True).pruned)
+
+
 # ----------------------------------------------------------------- app statistics
 def q_app_usage_counts(spark, sf_dir):
     return _app_counts(spark, sf_dir).select("app", "n")
@@ -359,6 +355,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pair_samples": q_pair_samples,
     "pairs_to_rates": q_pairs_to_rates,
     "asof_registration": q_asof_registration,
+    "search_from_readings": q_search_from_readings,
     "frequent_itemsets": q_frequent_itemsets,
     "association_rules": q_association_rules,
     "rate_rules": q_rate_rules,

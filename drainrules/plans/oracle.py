@@ -10,9 +10,14 @@ data before writing.
 
 from __future__ import annotations
 
-from drainrules.functions.discretize import MOBILE_NETWORK_CODES
-from drainrules.plans import catalog as cat
-from drainrules.operators.prepare import unix_seconds
+# Parameters and code lists are written out here once more, so that a wrong value in the
+# code under test does not pass.
+APP, MIN_SUPPORT, MIN_CONFIDENCE = "ECONOMY", 0.01, 0.3
+READINGS_APP, READINGS_SUPPORT, READINGS_CONFIDENCE = "click", 0.02, 0.3
+SINCE_SECONDS = 835401600.0  # 1996-06-22, UTC
+SHOWN_TAB = 3
+MOBILE_NETWORKS = ("gprs edge umts cdma evdo_0 evdo_a 1xrtt hsdpa hsupa hspa iden evdo_b lte ehrpd hspap gsm "
+                   "td_scdma iwlan").split()  # fixed values: the codes 1 to 18
 
 
 def _d(x: float) -> str:
@@ -52,7 +57,13 @@ SELECT CAST(event_id AS BIGINT) AS reading_id, {UUID} AS uuid, {CTIME} AS time,
   CASE WHEN value > 100 THEN CAST(100 AS DOUBLE) ELSE value END AS battery_level,
   array_to_string(list_sort(list_distinct([event_type, 'app' || regexp_extract(props, '([0-9]+)', 1)])), ',') AS apps,
   list_distinct([event_type, 'app' || regexp_extract(props, '([0-9]+)', 1)]) AS app_list,
-  event_type
+  event_type,
+  (event_id % 41) / 40.0::DOUBLE AS cpu, CAST(event_id % 200 AS DOUBLE) AS distance, CAST(event_id % 90 + 5 AS DOUBLE) AS temp,
+  3.0::DOUBLE + (event_id % 9) / 10.0::DOUBLE AS voltage,
+  CASE WHEN event_id % 5 = 0 THEN -1.0 ELSE event_id % 256 END::DOUBLE AS screen,
+  CASE WHEN user_id % 21 = 19 THEN 'null' WHEN user_id % 21 = 20 THEN 'lte_a' ELSE CAST(user_id % 21 AS VARCHAR) END AS mobileNetwork,
+  CASE event_id % 3 WHEN 0 THEN 'wifi' WHEN 1 THEN 'mobile' ELSE 'unknown' END AS network,
+  CAST(5 - user_id % 120 AS DOUBLE) AS wifiStrength, CAST(event_id % 150 - 5 AS DOUBLE) AS wifiSpeed
 FROM events
 """
 
@@ -97,7 +108,13 @@ _BINNED = [
 
 
 def _app_samples() -> str:
-    return f"SELECT * FROM ({DEVICE_SAMPLES}) s WHERE list_contains(list_distinct([app1, app2]), '{cat.APP}')"
+    return f"SELECT * FROM ({DEVICE_SAMPLES}) s WHERE list_contains(list_distinct([app1, app2]), '{APP}')"
+
+
+def _reading_samples() -> str:
+    """Samples of the readings that end a rate of the app."""
+    return (f"SELECT r.rate, d.* FROM ({EVENT_RATES}) r JOIN ({READINGS}) d ON d.reading_id = r.cur_id "
+            f"WHERE list_contains(r.app_list, '{READINGS_APP}')")
 
 
 def _dom() -> str:
@@ -113,12 +130,12 @@ def _probs() -> str:
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(feature, qi, p)"
 
 
-def _bins_ctes() -> str:
+def _bins_ctes(samples: str | None = None) -> str:
     pivots = ", ".join(
         f"max(CASE WHEN feature = '{name}' AND qi = {i + 1} THEN q END) AS {name}_q{i + 1}"
         for name, _, ps, _ in _BINNED for i in range(len(ps)))
     return f"""
-app AS ({_app_samples()}),
+app AS ({samples or _app_samples()}),
 dom AS ({_dom()}),
 ranked AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS rn,
                   count(*) OVER (PARTITION BY feature) AS n FROM dom),
@@ -139,7 +156,7 @@ def _bucket(x: str, name: str, k: int) -> str:
 
 
 def _items_select(excluded: frozenset = frozenset()) -> str:
-    codes = " ".join(f"WHEN mobileNetwork = '{k}' THEN '{v}'" for k, v in MOBILE_NETWORK_CODES.items())
+    codes = " ".join(f"WHEN mobileNetwork = '{k}' THEN '{v}'" for k, v in enumerate(MOBILE_NETWORKS, 1))
     items = {
         "rate": f"CASE WHEN rate IS NULL THEN NULL ELSE 'rate=q' || {_bucket('rate', 'rate', 3)} END",
         "cpu": f"CASE WHEN cpu IS NULL OR isnan(cpu) OR cpu < 0 OR cpu > 1 THEN NULL ELSE 'cpu=q' || {_bucket('cpu', 'cpu', 3)} END",
@@ -169,8 +186,8 @@ ITEM_COLS = ["rate", "cpu", "distance", "temperature", "voltage", "screen", "mob
              "wifiStrength", "wifiSpeed"]
 
 
-def _items_ctes(excluded: frozenset = frozenset()) -> str:
-    return f"""{_bins_ctes()},
+def _items_ctes(excluded: frozenset = frozenset(), samples: str | None = None) -> str:
+    return f"""{_bins_ctes(samples)},
 items AS (SELECT reading_id, {_items_select(excluded)} FROM app CROSS JOIN b)"""
 
 
@@ -178,24 +195,24 @@ def _tx_list() -> str:
     return "list_filter([" + ", ".join(f"i_{c}" for c in ITEM_COLS) + "], lambda x: x IS NOT NULL)"
 
 
-def _mining_ctes() -> str:
+def _mining_ctes(samples: str | None = None, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> str:
     cols = ", ".join(f"i_{c}" for c in ITEM_COLS)
     flags = ", ".join(f"GROUPING(i_{c}) AS g_{c}" for c in ITEM_COLS)
     present = " AND ".join(f"(g_{c} = 1 OR i_{c} IS NOT NULL)" for c in ITEM_COLS)
     nonempty = " + ".join(f"g_{c}" for c in ITEM_COLS) + f" < {len(ITEM_COLS)}"
     picked = "list_sort(list_filter([" + ", ".join(f"CASE WHEN g_{c} = 0 THEN i_{c} END" for c in ITEM_COLS) + \
              "], lambda x: x IS NOT NULL))"
-    return f"""{_items_ctes()},
+    return f"""{_items_ctes(samples=samples)},
 tx AS (SELECT {cols}, count(*) AS w FROM items GROUP BY {cols}),
 cells AS (SELECT {cols}, {flags}, sum(w) AS freq FROM tx GROUP BY CUBE ({cols})),
 fi AS (SELECT {picked} AS items, CAST(freq AS BIGINT) AS freq FROM cells
        WHERE {present} AND {nonempty}
-         AND freq >= ceil({_d(cat.MIN_SUPPORT)} * (SELECT count(*) FROM items))),
+         AND freq >= ceil({_d(support)} * (SELECT count(*) FROM items))),
 ru AS (SELECT items AS u_items, freq AS freq_u, unnest(items) AS c FROM fi WHERE len(items) >= 2),
 rules AS (SELECT list_sort(list_filter(ru.u_items, lambda x: x <> ru.c)) AS antecedent, ru.c AS consequent,
                  CAST(ru.freq_u AS DOUBLE) / CAST(a.freq AS DOUBLE) AS confidence
           FROM ru JOIN fi a ON a.items = list_sort(list_filter(ru.u_items, lambda x: x <> ru.c))
-          WHERE CAST(ru.freq_u AS DOUBLE) / CAST(a.freq AS DOUBLE) >= {_d(cat.MIN_CONFIDENCE)}),
+          WHERE CAST(ru.freq_u AS DOUBLE) / CAST(a.freq AS DOUBLE) >= {_d(confidence)}),
 rr AS (SELECT * FROM rules WHERE starts_with(consequent, 'rate=')),
 pr AS (SELECT * FROM rr r WHERE NOT EXISTS (
          SELECT 1 FROM rr o WHERE o.consequent = r.consequent AND o.confidence = r.confidence
@@ -237,7 +254,8 @@ def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_rates"] = f"SELECT {FLAT}, apps, time FROM ({DEVICE_SAMPLES}) s"
     q["flatten_rate"] = q["scan_rates"]
-    q["scan_readings"] = f"SELECT reading_id, uuid, time, battery_level, apps FROM ({READINGS}) r"
+    q["scan_readings"] = ("SELECT reading_id, uuid, time, battery_level, apps, cpu, distance, temp, voltage, screen, mobileNetwork, network, "
+                         f"wifiStrength, wifiSpeed FROM ({READINGS}) r")
     q["scan_registrations"] = f"SELECT uuid, reg_time, os FROM ({REGISTRATIONS}) g"
     q["pair_samples"] = f"SELECT uuid, prev_id, cur_id, prev_time, cur_time, prev_level, cur_level FROM ({PAIRS}) p"
     q["scan_pairs"] = q["pair_samples"]
@@ -252,10 +270,10 @@ def build() -> dict[str, str]:
     q["app_counts_by_name"] = (f"SELECT app, n, CAST(row_number() OVER (ORDER BY app DESC) AS BIGINT) AS rank "
                                f"FROM ({APP_COUNTS}) c")
     q["filter_app"] = q["filter_app_stored"] = (f"SELECT reading_id, rate, apps FROM ({DEVICE_SAMPLES}) s "
-                       f"WHERE list_contains(list_distinct([app1, app2]), '{cat.APP}')")
+                       f"WHERE list_contains(list_distinct([app1, app2]), '{APP}')")
     q["filter_android"] = f"SELECT reading_id, uuid FROM ({READINGS}) r WHERE length(uuid) <= 16"
     q["filter_recent_rates"] = (f"SELECT reading_id, rate, time FROM ({DEVICE_SAMPLES}) s "
-                                f"WHERE NOT isnan(rate) AND rate >= 0 AND time > {_d(unix_seconds(cat.SINCE))}")
+                                f"WHERE NOT isnan(rate) AND rate >= 0 AND time > {_d(SINCE_SECONDS)}")
     q["pairs_to_rates"] = f"""
 WITH r AS ({EVENT_RATES}),
 g AS ({REGISTRATIONS}),
@@ -273,6 +291,8 @@ cand AS (SELECT e.event_id, g.reg_time, g.os,
 SELECT e.event_id, e.uuid, e.time, c.reg_time, c.os FROM e LEFT JOIN cand c ON c.event_id = e.event_id AND c.k = 1"""
 
     q["feature_bins"] = _with(_bins_ctes(), "SELECT feature, CAST(idx AS INTEGER) AS idx, bound FROM bins")
+    q["feature_bins_approx"] = _with(_bins_ctes(), "SELECT b.feature, CAST(b.idx AS INTEGER) AS idx, CAST(mm.n AS BIGINT) AS n_values, "
+                                                   "TRUE AS within_error FROM bins b JOIN mm ON mm.feature = b.feature")
     q["feature_min_max"] = _with(_bins_ctes(), "SELECT feature, mn AS min_value, mx AS max_value, "
                                                "CAST(n AS BIGINT) AS n_values FROM mm")
     tx = f"SELECT reading_id, array_to_string({_tx_list()}, ';') AS items, CAST(len({_tx_list()}) AS INTEGER) AS n_items FROM items"
@@ -290,6 +310,7 @@ SELECT e.event_id, e.uuid, e.time, c.reg_time, c.os FROM e LEFT JOIN cand c ON c
     m = _mining_ctes()
     q["frequent_itemsets"] = _with(m, "SELECT array_to_string(items, ';') AS items, freq, "
                                       "CAST(len(items) AS INTEGER) AS n_items FROM fi")
+    q["search_from_readings"] = _with(_mining_ctes(_reading_samples(), READINGS_SUPPORT, READINGS_CONFIDENCE), _rule_out("pr"))
     q["association_rules"] = _with(m, _rule_out("rules"))
     q["rate_rules"] = _with(m, _rule_out("rr"))
     q["pruned_rules"] = _with(m, _rule_out("pr"))
@@ -301,9 +322,9 @@ SELECT e.event_id, e.uuid, e.time, c.reg_time, c.os FROM e LEFT JOIN cand c ON c
        CAST(count(*) AS BIGINT) AS n_rules FROM pr GROUP BY 1
 UNION ALL SELECT 0 AS rate_bin, CAST(count(*) AS BIGINT) AS n_rules FROM pr""")
     q["rules_by_rate_bin"] = _with(m, _rule_out(
-        f"(SELECT * FROM pr WHERE regexp_extract(consequent, 'rate=q(\\d)', 1) = '{cat.SHOWN_TAB + 1}') t"))
-    q["rules_json"] = _with(m, f"SELECT '{cat.APP}' AS applicationName, {_d(cat.MIN_SUPPORT)} AS minSupport, "
-                               f"{_d(cat.MIN_CONFIDENCE)} AS minConfidence, array_to_string(antecedent, ';') AS antecedent, "
+        f"(SELECT * FROM pr WHERE regexp_extract(consequent, 'rate=q(\\d)', 1) = '{SHOWN_TAB + 1}') t"))
+    q["rules_json"] = _with(m, f"SELECT '{APP}' AS applicationName, {_d(MIN_SUPPORT)} AS minSupport, "
+                               f"{_d(MIN_CONFIDENCE)} AS minConfidence, array_to_string(antecedent, ';') AS antecedent, "
                                "consequent, confidence FROM pr")
     lo, hi = "lo.bound", "hi.bound"
     frac = f"({_frac(lo)} OR {_frac(hi)})"

@@ -59,28 +59,18 @@ def device_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _reading_struct(uuid: Column, time: Column, apps: Column, s: DataFrame | None = None) -> Column:
-    """A READING struct from flat sample columns (device fields may be null)."""
-    if s is None:
-        null_d = F.lit(None).cast("double")
-        null_s = F.lit(None).cast("string")
-        null_i = F.lit(None).cast("int")
-        cpu = temp = volt = screen = dist = null_d
-        mob = net = null_s
-        ws = wsp = null_i
-        rid = F.lit(None).cast("long")
-        level = null_d
-    else:
-        cpu, temp, volt, screen, dist = (F.col(c) for c in ("cpu", "temp", "voltage", "screen", "distance"))
-        mob, net = F.col("mobileNetwork"), F.col("network")
-        ws, wsp = F.col("wifiStrength").cast("int"), F.col("wifiSpeed").cast("int")
-        rid = (F.col("order_id") * 8 + F.col("line_no")).cast("long")
-        level = F.lit(None).cast("double")
+def _reading_struct(uuid: Column, time: Column, apps: Column, fields: dict[str, Column],
+                    reading_id: Column | None = None) -> Column:
+    """A READING struct from its device fields; the battery level is null."""
+    cpu, temp, volt, screen, dist = (fields[c] for c in ("cpu", "temp", "voltage", "screen", "distance"))
+    mob, net = fields["mobileNetwork"], fields["network"]
+    ws, wsp = fields["wifiStrength"].cast("int"), fields["wifiSpeed"].cast("int")
+    rid = F.lit(None).cast("long") if reading_id is None else reading_id
     return F.struct(
         rid.alias("reading_id"),
         uuid.alias("uuid"),
         time.alias("time"),
-        level.alias("battery_level"),
+        F.lit(None).cast("double").alias("battery_level"),
         dist.alias("distanceTraveled"),
         apps.alias("apps"),
         F.struct(
@@ -105,7 +95,8 @@ def sample_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     s = device_samples(spark, sf_dir)
     apps = F.array_distinct(F.array("app1", "app2"))
-    cur = _reading_struct(F.concat(F.lit("and"), F.col("order_id").cast("string")), F.col("ship_time"), apps, s)
+    cur = _reading_struct(F.concat(F.lit("and"), F.col("order_id").cast("string")), F.col("ship_time"), apps,
+                          {c: F.col(c) for c in schemas.SAMPLE_COLUMNS}, (F.col("order_id") * 8 + F.col("line_no")).cast("long"))
     prev = F.lit(None).cast(schemas.READING)
     return s.select(
         F.col("rate"),
@@ -127,13 +118,28 @@ def _compressed_time(name: str) -> Column:
 
 
 def device_readings(spark: SparkSession, sf_dir: str, events: Column | None = None) -> DataFrame:
-    """Raw readings (schema READING) from ``events`` (or those that a condition picks); device fields are null."""
+    """Raw readings (schema READING) from ``events`` (or those that a condition picks).
+
+    The device fields are made from ids, so that all classes of values occur.
+    """
     e = table(spark, sf_dir, "events")
     if events is not None:
         e = e.where(events)
     apps = F.array_distinct(F.array(F.col("event_type"), F.concat(F.lit("app"), F.regexp_extract("props", "([0-9]+)", 1))))
     level = F.when(F.col("value") > 100, F.lit(100.0)).otherwise(F.col("value"))
-    r = _reading_struct(_uuid_of(F.col("user_id")), _compressed_time("ts"), apps)
+    n, user = F.col("event_id"), F.col("user_id")
+    fields = {
+        "cpu": (n % 41).cast("double") / F.lit(40.0),
+        "distance": (n % 200).cast("double"),
+        "temp": (n % 90 + 5).cast("double"),
+        "voltage": F.lit(3.0) + (n % 9).cast("double") / F.lit(10.0),
+        "screen": F.when(n % 5 == 0, F.lit(-1.0)).otherwise((n % 256).cast("double")),
+        "mobileNetwork": F.when(user % 21 == 19, F.lit("null")).when(user % 21 == 20, F.lit("lte_a")).otherwise((user % 21).cast("string")),
+        "network": F.when(n % 3 == 0, F.lit("wifi")).when(n % 3 == 1, F.lit("mobile")).otherwise(F.lit("unknown")),
+        "wifiStrength": F.lit(5) - user % 120,
+        "wifiSpeed": n % 150 - 5,
+    }
+    r = _reading_struct(_uuid_of(user), _compressed_time("ts"), apps, fields)
     return e.select(
         F.col("event_id").cast("long").alias("reading_id"),
         r.getField("uuid").alias("uuid"),

@@ -4,12 +4,14 @@ The original jobs are batch only; when new rate files keep arriving, the same
 two operators can run as Structured Streaming queries instead of rescanning:
 
 * ``app_counts_stream``: app usage counts (explode -> groupBy -> count); the
-  state is one row per app, updated with partial aggregation per batch.
+  state is one row per app, updated with partial aggregation per batch, and
+  each batch's counts are a table of their own under the output folder.
 * ``recent_rates_stream``: the recency filter, appended to month-partitioned
   parquet (same layout as ``io.write_recent_rates``).
 
-Checkpoints live under the session's shared ``spark.checkpoint.dir``, so a
-restarted query (or a lost executor) resumes exactly where it stopped.
+The checkpoint lies in the output folder (``_checkpoint``, which readers skip)
+unless the caller names another, so a query that is started again on the same
+folders goes on after the last batch it finished.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from pyspark.sql.streaming import StreamingQuery
 from drainrules import schemas
 from drainrules.operators import apps as ap
 from drainrules.operators import prepare as prep
-from drainrules.session import scratch_path
 
 
 def read_rates_stream(spark: SparkSession, rates_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -31,17 +32,28 @@ def read_rates_stream(spark: SparkSession, rates_dir: str, max_files_per_trigger
     return reader.parquet(rates_dir)
 
 
-def app_counts_stream(spark: SparkSession, rates_dir: str, *, query_name: str = "app_counts",
-                      checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Running ``(app, n)`` in an in-memory table named ``query_name``."""
+def app_counts_stream(spark: SparkSession, rates_dir: str, out_dir: str, *, checkpoint: str | None = None,
+                      available_now: bool = True) -> StreamingQuery:
+    """Running ``(app, n)``: a table per batch under ``out_dir``; a repeated batch overwrites its own."""
     counts = ap.app_usage_counts(read_rates_stream(spark, rates_dir))
-    writer = (counts.writeStream.outputMode("complete").format("memory").queryName(query_name)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{query_name}")))
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+    writer = (counts.writeStream.outputMode("complete").foreachBatch(store)
+              .option("checkpointLocation", checkpoint or f"{out_dir}/_checkpoint"))
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
+def read_app_counts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The counts after the last finished batch."""
+    stored = spark.read.schema("app string, n bigint, batch bigint").parquet(out_dir)
+    last = stored.agg(F.max("batch")).first()[0]
+    return stored.where(F.col("batch") == F.lit(last)).select("app", "n")
+
+
 def recent_rates_stream(spark: SparkSession, rates_dir: str, since: str | float, out_dir: str, *,
                         checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Append discharging rates after ``since`` to month-partitioned parquet."""
@@ -49,7 +61,7 @@ def recent_rates_stream(spark: SparkSession, rates_dir: str, since: str | float,
     month = F.date_format(F.timestamp_seconds(F.col("sp.cur.time").cast("long")), "yyyy-MM")
     writer = (recent.withColumn("month", month).writeStream.outputMode("append").format("parquet")
               .partitionBy("month").option("path", out_dir)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-recent")))
+              .option("checkpointLocation", checkpoint or f"{out_dir}/_checkpoint"))
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

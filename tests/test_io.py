@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from drainrules.operators import apps as ap
@@ -81,3 +82,31 @@ def test_recent_rates_layout_prunes_months(spark):
     assert "PartitionFilters: [isnotnull(month" in plan
     months = {r["month"] for r in back.select("month").distinct().collect()}
     assert months and all(m >= "1998-01" for m in months)
+
+
+def test_text_has_no_quoting(spark):
+    from drainrules import schemas
+    rows = [(0.5, 0.1, 1.0, 20.0, 3.5, 10.0, '"lte', 'wi"fi"', -50.0, 10.0), (0.1, 0.2, 2.0, 21.0, 3.6, 11.0, "lte", "'x'", -51.0, 11.0)]
+    df = spark.createDataFrame(rows, schemas.SAMPLE)
+    for sep in (",", "\t", ";"):
+        path = scratch_path(spark, "quotes")
+        io.write_samples_csv(df, path, sep=sep)
+        assert sorted(map(tuple, io.read_samples_csv(spark, path, sep=sep).collect())) == sorted(rows)
+        bad = spark.createDataFrame([(*rows[0][:6], f"a{sep}b", *rows[0][7:])], schemas.SAMPLE)
+        with pytest.raises(Exception, match="separator"):
+            io.write_samples_csv(bad, scratch_path(spark, "quotes"), sep=sep)
+
+
+def test_rates_by_app_prune_to_one_folder(spark):
+    from conftest import SF001
+    from drainrules.sources import fixtures as fx
+    rates = fx.sample_rates(spark, SF001)
+    path = scratch_path(spark, "by-app")
+    io.write_rates_by_app(rates, path)
+    got = io.read_rates_of_app(spark, path, "ECONOMY")
+    want = rates.where(F.array_contains("all_apps", "ECONOMY"))
+    assert got.columns == want.columns
+    key = "sp.cur.reading_id"
+    assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in want.select(key).collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(app_bucket" in plan and "EqualTo(app,ECONOMY)" in plan

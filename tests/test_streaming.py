@@ -1,4 +1,4 @@
-"""Streaming forms give the batch results."""
+"""Streaming forms give the batch results, also after a restart with new files."""
 
 from drainrules.operators import apps as ap
 from drainrules.operators import prepare as prep
@@ -10,23 +10,29 @@ from drainrules.streaming import incremental as inc
 from conftest import SF001
 
 
-def test_app_counts_stream_equals_batch(spark):
+def _halves(spark):
     rates = fx.sample_rates(spark, SF001)
-    d = scratch_path(spark, "stream-in")
-    io.write_parquet(rates.repartition(3), d)
-    q = inc.app_counts_stream(spark, d, query_name="t_app_counts")
-    q.awaitTermination()
-    got = sorted(tuple(r) for r in spark.table("t_app_counts").collect())
-    want = sorted(tuple(r) for r in ap.app_usage_counts(rates).collect())
-    assert got == want
+    first = rates.where("sp.cur.reading_id % 2 = 0")
+    return rates, first, rates.where("sp.cur.reading_id % 2 = 1")
 
 
-def test_recent_rates_stream_equals_batch(spark):
-    rates = fx.sample_rates(spark, SF001)
-    d = scratch_path(spark, "stream-in2")
-    io.write_parquet(rates.repartition(2), d)
-    out = scratch_path(spark, "stream-out")
-    inc.recent_rates_stream(spark, d, "1996-06-22", out).awaitTermination()
+def test_app_counts_stream_equals_batch_after_restart(spark):
+    rates, first, second = _halves(spark)
+    d, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-counts")
+    first.repartition(3).write.parquet(d)
+    inc.app_counts_stream(spark, d, out).awaitTermination()
+    assert sorted(map(tuple, inc.read_app_counts(spark, out).collect())) == sorted(map(tuple, ap.app_usage_counts(first).collect()))
+    second.repartition(2).write.mode("append").parquet(d)
+    inc.app_counts_stream(spark, d, out).awaitTermination()
+    assert sorted(map(tuple, inc.read_app_counts(spark, out).collect())) == sorted(map(tuple, ap.app_usage_counts(rates).collect()))
+
+
+def test_recent_rates_stream_equals_batch_after_restart(spark):
+    rates, first, second = _halves(spark)
+    d, out = scratch_path(spark, "stream-in2"), scratch_path(spark, "stream-out")
+    for part in (first, second):
+        part.repartition(2).write.mode("append").parquet(d)
+        inc.recent_rates_stream(spark, d, "1996-06-22", out).awaitTermination()
     got = io.read_recent_rates(spark, out).select("sp.cur.reading_id").collect()
     want = prep.filter_recent(rates, "1996-06-22").select("sp.cur.reading_id").collect()
     assert sorted(got) == sorted(want)
