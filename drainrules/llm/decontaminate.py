@@ -44,7 +44,8 @@ SAMPLED = 4
 STRETCH = 3
 TRIALS = 8
 MAX_ROUNDS = 200
-ITEMS_AT_ONCE = 5000
+ITEMS_AT_ONCE = 2000
+CELLS_AT_ONCE = 4_000_000  # of embedded strings held at once
 SEED = 5
 
 _WORD = re.compile(r"[^\W_]+")
@@ -133,11 +134,15 @@ class Items:
         """The key of each window in a round."""
         draws = np.random.default_rng((SEED, round_)).random(self.sampled)
         steps = np.sort((draws[None, :] * STRETCH * sizes[:, None]).astype(np.int64), axis=1)
-        strings = cgk(words, starts, sizes, int(steps.max(initial=0)) + 1, 1 + round_)
         key = sizes.astype(np.uint64)
-        with np.errstate(over="ignore"):
-            for s in steps.T:
-                key = _mix(key * np.uint64(31) + strings[np.arange(len(starts)), s].astype(np.uint64) + np.uint64(1))
+        longest = int(steps.max(initial=0)) + 1
+        at_once = max(1, CELLS_AT_ONCE // longest)
+        for first in range(0, len(starts), at_once):
+            rows = slice(first, first + at_once)
+            strings = cgk(words, starts[rows], sizes[rows], longest, 1 + round_)
+            with np.errstate(over="ignore"):
+                for s in steps[rows].T:
+                    key[rows] = _mix(key[rows] * np.uint64(31) + strings[np.arange(len(s)), s].astype(np.uint64) + np.uint64(1))
         return key
 
 
