@@ -49,6 +49,18 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def hash_sample(df: DataFrame, size: int, hashed: Column, *ties: str) -> DataFrame:
+    """The ``size`` rows of the smallest hashes (all rows where there are no more).
+
+    A cut at the hash value under which about twice as many rows are expected goes first, so that each
+    task hands on a few rows, however many tasks there are.
+    """
+    share = min(1.0, 2 * size / max(1, df.count()) + 1e-9)
+    cut = int(-(1 << 63) + share * ((1 << 64) - 1))
+    few = df.where(hashed <= F.lit(min(cut, (1 << 63) - 1)))
+    return few.orderBy(hashed, *ties).limit(size)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drainrules.llm.common import doc_columns, map_arrow
+from drainrules.llm.common import doc_columns, hash_sample, map_arrow
 from drainrules.session import materialize
 
 MIN_WORDS = 10
@@ -223,7 +223,7 @@ def fit_quality(
 ) -> Forest:
     """Fit the forest and calibrate its thresholds.  ``stats`` should be a stored table."""
     passed = stats.where(~base_fails(F.col("n_words"), F.col("n_repeat_words")))
-    sample = passed.orderBy(F.xxhash64("doc_id", F.lit(seed)), *COUNTS).limit(trees * rows_per_tree).select(*COUNTS).toPandas()
+    sample = hash_sample(passed, trees * rows_per_tree, F.xxhash64("doc_id", F.lit(seed)), *COUNTS).select(*COUNTS).toPandas()
     forest = fit_forest(features(sample.to_numpy(dtype=np.int64).reshape(-1, len(COUNTS))), trees, rows_per_tree, seed)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("good")).where("good is not null").distinct()
     judged = _with_verdict(passed.select("doc_id", *COUNTS).join(marked, "doc_id"), forest, scores=True)

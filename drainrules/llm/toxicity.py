@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drainrules.llm.common import doc_columns, map_arrow
+from drainrules.llm.common import doc_columns, hash_sample, map_arrow
 from drainrules.session import materialize
 
 MAX_TRAIN = 10_000
@@ -155,7 +155,7 @@ def fit_toxicity(
     columns = [f"c{i}" for i in range(len(names))]
     rows = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*marks).dropna()
     texts = doc_columns(docs)
-    chosen = rows.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    chosen = hash_sample(rows.join(texts.select("doc_id"), "doc_id", "left_semi"), max_train, F.xxhash64("doc_id"), "doc_id")
     # At most max_train ids: a bounded broadcast.
     sample = texts.join(F.broadcast(chosen), "doc_id")
 
