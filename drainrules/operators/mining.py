@@ -1,8 +1,14 @@
 """Frequent itemsets, association rules, rate-rule filter, pruning, order.
 
-Two miners give the same rules:
-
-* ``fpgrowth`` (default): Spark ML FP-growth.  Item counts use map-side
+Three miners give the same rules:
+
+* ``weighted`` (default): items are counted first, infrequent ones dropped,
+  and equal transactions collapsed to one row with a weight (both with
+  map-side combine).  What is left is bounded by the number of frequent
+  items, not by the data.  Then one job per itemset size counts the
+  candidates of that size (those whose smaller subsets are all frequent) over
+  the weighted rows; tasks hand on one sum per candidate.
+* ``fpgrowth``: Spark ML FP-growth.  Item counts use map-side
   combine; conditional FP-trees are merged map-side before the shuffle, so a
   hot item ships trees, never rows.
 * ``cube``: a transaction holds at most one item per feature, so the support
@@ -19,15 +25,17 @@ frequent itemsets and <= 10x that many rules, whatever the data size.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drainrules.functions import discretize as dz
-from drainrules.session import ensure_checkpoint_dir, materialize
+from drainrules.session import ensure_checkpoint_dir, materialize, workers_find_package
 
 KEY_SEP = ";"
 
@@ -74,6 +82,76 @@ def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
     return itemsets, materialize(rules_from_itemsets(itemsets, min_confidence), "rules")
 
 
+# --------------------------------------------------------------------------- weighted miner
+def _count_extensions(table: DataFrame, features: list[str], items: list[tuple[str, str]],
+                      wanted: list[tuple[tuple[int, ...], list[int]]]) -> dict[tuple[int, ...], int]:
+    """Weighted counts of ``prefix + (item,)`` for the wanted prefixes and items (indices into ``items``)."""
+    by_feature = [(features.index(f), name) for f, name in items]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(len(more), dtype=np.int64) for _, more in wanted]
+        for batch in batches:
+            columns = [np.asarray(c.to_pylist(), dtype=object) for c in batch.columns[:-1]]
+            weight = np.asarray(batch.columns[-1], dtype=np.int64)
+            has = np.stack([columns[f] == name for f, name in by_feature])
+            for total, (prefix, more) in zip(sums, wanted, strict=True):
+                rows = np.flatnonzero(has[list(prefix)].all(axis=0))
+                if len(rows):
+                    total += (has[more][:, rows] * weight[rows]).sum(axis=1)
+        ids = np.arange(sum(len(more) for _, more in wanted), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sums))], names=["candidate", "w"])
+
+    workers_find_package(table.sparkSession)
+    counted = table.mapInArrow(count, "candidate long, w long").groupBy("candidate").agg(F.sum("w").alias("w")).collect()
+    found = {r["candidate"]: r["w"] for r in counted}
+    sets = [(*prefix, i) for prefix, more in wanted for i in more]
+    return {s: found.get(n, 0) for n, s in enumerate(sets)}
+
+
+def weighted_itemsets(tx_items: DataFrame, features: list[str], min_support: float, num_partitions: int | None = None,
+                      after_collapse=None) -> DataFrame:
+    """Frequent itemsets ``(items, freq)`` of a table of nullable item columns.
+
+    The driver holds the frequent itemsets and the candidates of one size: both are bounded (see above).
+    """
+    spark = tx_items.sparkSession
+    every = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("item")) for f in features],
+                              F.struct(F.lit("").alias("f"), F.lit("").alias("item"))))
+    counts = tx_items.select(every.alias("e")).where("e.item is not null").groupBy("e.f", "e.item").agg(F.count(F.lit(1)).alias("n"))
+    per_item = counts.persist()
+    try:
+        n_tx = (per_item.where("f = ''").collect() or [{"n": 0}])[0]["n"]
+        min_count = max(1, math.ceil(float(min_support) * n_tx))
+        frequent = {(r["f"], r["item"]): r["n"] for r in per_item.where((F.col("f") != "") & (F.col("n") >= min_count)).collect()}
+    finally:
+        per_item.unpersist()
+    items = sorted(frequent, key=lambda i: (features.index(i[0]), i[1]))
+    found: dict[tuple[int, ...], int] = {(i,): frequent[item] for i, item in enumerate(items)}
+    if items:
+        kept = [F.when(F.col(f).isin([n for g, n in items if g == f] or [""]), F.col(f)).alias(f) for f in features]
+        parts = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+        table = materialize(tx_items.select(*kept).groupBy(*features).agg(F.count(F.lit(1)).alias("w")).repartition(parts), "weighted-tx")
+    if after_collapse is not None:
+        after_collapse()
+    level = sorted(found)
+    while level:
+        known = set(level)
+        wanted = []
+        for prefix in level:
+            more = [i for i in range(prefix[-1] + 1, len(items)) if items[i][0] != items[prefix[-1]][0]
+                    and all((*prefix[:j], *prefix[j + 1:], i) in known for j in range(len(prefix)))]
+            if more:
+                wanted.append((prefix, more))
+        if not wanted:
+            break
+        counted = _count_extensions(table, features, items, wanted)
+        more_found = {s: n for s, n in counted.items() if n >= min_count}
+        found |= more_found
+        level = sorted(more_found)
+    rows = [([items[i][1] for i in s], n) for s, n in found.items()]
+    return materialize(spark.createDataFrame(rows, "items array<string>, freq bigint"), "itemsets")
+
+
 # --------------------------------------------------------------------------- CUBE miner
 def _subsets(arr: Column, proper: bool) -> Column:
     """All non-empty subsets of a sorted array (proper ones only if asked).
@@ -167,13 +245,16 @@ def rule_rows(rules: DataFrame) -> DataFrame:
     )
 
 
-def mine(tx_items: DataFrame, min_support: float, min_confidence: float, *, miner: str = "fpgrowth",
+def mine(tx_items: DataFrame, min_support: float, min_confidence: float, *, miner: str = "weighted",
          num_partitions: int | None = None, after_fit=None) -> tuple[DataFrame, DataFrame]:
     """Frequent itemsets and all rules from an item table (ten item columns).
 
     ``tx_items`` has one nullable string column per feature (``ITEM_ORDER``).
     """
     features = list(dz.ITEM_ORDER)
+    if miner == "weighted":
+        itemsets = weighted_itemsets(tx_items, features, min_support, num_partitions, after_fit)
+        return itemsets, materialize(rules_from_itemsets(itemsets, min_confidence), "rules")
     if miner == "fpgrowth":
         tx = tx_items.select(F.array_compact(F.array(*features)).alias("items"))
         return fpgrowth(tx, min_support, min_confidence, num_partitions, after_fit)

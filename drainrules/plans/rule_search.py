@@ -71,7 +71,7 @@ def validate(app: str, min_support: float | None, min_confidence: float | None)
 
 def mine_samples(samples: DataFrame, app: str, min_support: float | None = None,
                  min_confidence: float | None = None, excluded: str | Sequence[str] | None = None, *,
-                 exact: bool = False, miner: str = "fpgrowth", num_partitions: int | None = None,
+                 exact: bool = False, miner: str = "weighted", num_partitions: int | None = None,
                  accuracy: int = feat.DEFAULT_ACCURACY, persist: bool = True) -> RuleResult:
     """Mine flat samples (already restricted to one app).
 
@@ -97,7 +97,7 @@ def mine_samples(samples: DataFrame, app: str, min_support: float | None = None,
 
 def mine_rules(rates: DataFrame, app: str, min_support: float | None = None,
                min_confidence: float | None = None, excluded: str | Sequence[str] | None = None, *,
-               exact: bool = False, miner: str = "fpgrowth", num_partitions: int | None = None,
+               exact: bool = False, miner: str = "weighted", num_partitions: int | None = None,
                accuracy: int = feat.DEFAULT_ACCURACY) -> RuleResult:
     """Rule search over nested rate records for one app."""
     samples = prepare.flatten_rates(prepare.filter_app(rates, app))

@@ -74,6 +74,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return _session_checkpoint_dir(spark) or _LOCAL_SCRATCH
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it (as ``spark.executorEnv.PYTHONPATH`` would say)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)

@@ -79,6 +79,9 @@ def test_cube_equals_fpgrowth_and_brute_counts(spark, rows):
     items = spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols))
     a, _ = mining.mine(items, 0.2, 0.1, miner="fpgrowth", num_partitions=2)
     b, _ = mining.mine(items, 0.2, 0.1, miner="cube")
+    c, _ = mining.mine(items, 0.2, 0.1, miner="weighted", num_partitions=3)
+    assert sorted((tuple(sorted(r["items"])), r["freq"]) for r in c.collect()) == sorted(
+        (tuple(sorted(r["items"])), r["freq"]) for r in b.collect())
     sa = {(tuple(sorted(r["items"])), r["freq"]) for r in a.collect()}
     sb = {(tuple(sorted(r["items"])), r["freq"]) for r in b.collect()}
     assert sa == sb
