@@ -7,7 +7,7 @@ so a Python worker never holds more than one such batch of whole texts.
 from __future__ import annotations
 
 import math
-import os
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from drainrules.session import workers_find_package
+
 BATCH_ROWS = 1000
 
 
@@ -28,20 +30,21 @@ def doc_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def _workers_find_package(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver has it (as ``spark.executorEnv.PYTHONPATH`` would say)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-
+def map_arrow(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, encodes: bool = False) -> DataFrame:
+    """``mapInArrow`` with bounded batches.
 
-def map_arrow(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with bounded batches."""
+    Python workers outlive a stage.  The caches of token encoders, which they keep for their next
+    task, are dropped where a stage does not encode (``encodes``).
+    """
     bounded_batches(df.sparkSession)
-    _workers_find_package(df.sparkSession)
-    return df.mapInArrow(batches, schema)
+    workers_find_package(df.sparkSession)
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes and (tokens := sys.modules.get("drainrules.llm.tokens")) is not None:
+            tokens.encoder.cache_clear()
+        yield from batches(given)
+
+    return df.mapInArrow(run, schema)
 
 
 def lower_words(text: str) -> list[bytes]:

@@ -135,4 +135,4 @@ def pack_documents(
         if block:
             yield flush()
 
-    return map_arrow(doc_columns(docs), pack, SCHEMA)
+    return map_arrow(doc_columns(docs), pack, SCHEMA, encodes=True)

@@ -123,7 +123,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
         .sortWithinPartitions(*order)
         .select("doc_id", "text")
     )
-    map_arrow(dealt, write, INDEX_SCHEMA).write.parquet(f"{folder}/index")
+    map_arrow(dealt, write, INDEX_SCHEMA, encodes=True).write.parquet(f"{folder}/index")
     return read_index(spark, folder)
 
 

@@ -19,7 +19,7 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 450_000
 _ISOLATED = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?#$%&*|"
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
