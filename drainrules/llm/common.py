@@ -6,6 +6,7 @@ so a Python worker never holds more than one such batch of whole texts.
 
 from __future__ import annotations
 
+import gc
 import math
 import sys
 from collections.abc import Callable, Iterator
@@ -40,8 +41,10 @@ def map_arrow(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Itera
     workers_find_package(df.sparkSession)
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not encodes and (tokens := sys.modules.get("drainrules.llm.tokens")) is not None:
+        tokens = sys.modules.get("drainrules.llm.tokens")
+        if not encodes and tokens is not None and tokens.encoder.cache_info().currsize:
             tokens.encoder.cache_clear()
+            gc.collect()
         yield from batches(given)
 
     return df.mapInArrow(run, schema)
