@@ -6,8 +6,8 @@ line ends and sentence ends to spaces) and cut into units at four levels: senten
 template is ``2 * common / (a + b)`` over their different word bigrams.
 
 **Size bounds.**  As ``common <= min(a, b)``, a coefficient of at least ``t`` needs ``a`` between ``b * t / (2 - t)`` and
-``b * (2 - t) / t``.  Units with too few separators for any template go before their words are cut, and units without one of the
-templates' anchors (the same counting shows that they cannot reach ``t``) before they are compared; each other unit is compared
+``b * (2 - t) / t``.  Documents without any word of the templates' anchors go before they are cut into units, units with too few
+separators before their words are cut, and units without one of the anchors (the same counting shows that they cannot reach ``t``) before they are compared; each other unit is compared
 with just the templates whose bounds hold its bigram count.
 
 The templates are a small table of the caller's, checked to have at most ``MAX_TEMPLATES`` rows; they become
@@ -21,6 +21,7 @@ other row; templates of under two words are refused; an empty table gives no row
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
+#: Words that are no help in telling licence notices from other texts; any list gives the same matches.
+COMMON = set("a an and any are be by for from if in is it may not of on or that the this to under use with work you".split())
+
 _SENTENCE_END = "\u001e"
 _PARTING = "[ \n\u001e]+"
 
@@ -105,11 +109,17 @@ def anchors(grams: list[str], threshold: float) -> list[str]:
     """Bigrams of a template of which every unit that reaches the threshold holds at least one.
 
     Such a unit shares ``need`` bigrams or more, so it cannot miss all of any ``len(grams) - need + 1``; those with
-    the longest words are taken, as they are rare.
+    the rarest words, as far as can be told without a corpus, are taken.
     """
     least = size_bounds(len(grams), threshold)[0]
     need = math.ceil(threshold * (least + len(grams)) / 2 - 1e-9)
-    return sorted(grams, key=lambda g: (-max(map(len, g.split())), g))[: len(grams) - need + 1]
+    order = sorted(grams, key=lambda g: (rarer_word(g) in COMMON or rarer_word(g).isdigit(), -max(map(len, g.split())), g))
+    return order[: len(grams) - need + 1]
+
+
+def rarer_word(bigram: str) -> str:
+    """The word of a bigram that texts hold less often: not a common one, and the longer one."""
+    return max(bigram.split(), key=lambda w: (w not in COMMON and not w.isdigit(), len(w)))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -136,10 +146,14 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     ))
     separators = F.length("unit") - F.length(F.translate(F.col("unit"), " \n" + _SENTENCE_END, ""))
     rare = sorted({a for _, g in grams for a in anchors(g, threshold)})
-    rare_words = sorted({max(g.split(), key=len) for g in rare})
+    rare_words = sorted({rarer_word(g) for g in rare})
+    # A document without any of these words holds no unit that could match; only the others are cut into units.
+    flat = F.concat(F.lit(" "), F.translate(F.col("norm"), "\n" + _SENTENCE_END, "  "), F.lit(" "))
+    holds = flat.rlike(" (?:" + "|".join(map(re.escape, rare_words)) + ") ")
     cut = (
         doc_columns(docs)
         .select("doc_id", once(text).alias("norm"))
+        .where(holds)
         .select("doc_id", F.explode(units).alias("unit"))
         .where(separators >= least)
         .select("doc_id", once(words_of(F.col("unit"))).alias("words"))
