@@ -16,6 +16,7 @@ import functools
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -46,8 +47,9 @@ class _Cache(dict):
             if self.before and (not piece or piece[0].isspace() or piece[-1].isspace()):
                 raise _Touching
             word = piece.rstrip(_MARKS)
-            if len(word) < len(piece) and word[-1:].islower():
-                # Marks after a lower-case letter (which lower-casing leaves alone) are pre-tokens of their own.
+            if len(word) < len(piece) and word[-1:].islower() and unicodedata.category(word[-1])[0] == "L":
+                # Marks after a lower-case letter (which lower-casing leaves alone) are pre-tokens of their own; circled
+                # letters and U+0345 are lower case too, but no letters: the word pattern joins them with the marks.
                 ids = self[word] + self.marks(piece[len(word) :])
             else:
                 ids = self.encode(self.before + piece)

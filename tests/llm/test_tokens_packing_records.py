@@ -37,6 +37,16 @@ def test_pieces_give_the_ids_of_whole_texts(path):
         assert [np.frombuffer(enc.encode(x), "<u4").tolist() for x in texts] == want
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_marks_after_every_lower_case_character(path):
+    lower = [chr(c) for c in range(0x110000) if chr(c).islower()]
+    texts = [f"go {start}{c}{marks} on" for c in lower for start in ("", "a") for marks in (".", ",;", "!?*")]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    enc = PieceEncoder(path)
+    wrong = {x for x, ids in zip(texts, want, strict=True) if np.frombuffer(enc.encode(x), "<u4").tolist() != ids}
+    assert not wrong
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_is_an_exact_partition_without_padding(seed):
     rnd = random.Random(seed)
