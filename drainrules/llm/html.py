@@ -9,9 +9,11 @@
    100 characters up to three; its parent gets these in full, its grandparent half, the ancestor beyond a
    third, and so on to ``ANCESTORS``.  A container's points are raised or lowered for its tag and names, and multiplied by
    one minus its link density.
-4. **Result.**  The best container is kept, and with it each sibling that scores a fifth of it or reads like a paragraph (long
-   with few links, or short without any and ending like a sentence).  Their blocks, white space joined to single
-   spaces, are given in page order, one per line.
+4. **Result.**  The best container is kept.  Where it lies inside an ``article`` or ``main``, the nearest of these is the article: all
+   that stands beside the container, at each level up to it, is kept too.  Elsewhere what stands beside it is kept, and
+   beside its ancestors below the body what has their tag and class (the rows of one layout).  Only parts with half or more of
+   their characters in links go, headings aside; no score and no length decides.  The blocks, white space joined to
+   single spaces, are given in page order, one per line.
 
 Nulls and odd input: a null page is empty and gives the empty text; a page without markup gives its text; where nothing earns
 points, all text that is not boilerplate is kept; nesting of any depth is walked without recursion;
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from drainrules.llm.common import map_arrow
 
 ANCESTORS = 5
-SIBLING_SHARE = 0.2
+LINK_SHARE = 0.5  # of a part's characters, from which on it is a list of links
 
 # Names of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,7 +68,6 @@ _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
-_SENTENCE = re.compile(r"[.!?](\s|$)")
 
 
 class Node:
@@ -246,6 +247,53 @@ def _base(node: Node) -> float:
     return points
 
 
+def _parts(node: Node) -> list[list[Node | str]]:
+    """The children of an element: each block alone, texts and inline elements between blocks together."""
+    out: list[list[Node | str]] = []
+    running = False
+    for c in node.children:
+        inline = isinstance(c, str) or c.tag not in BLOCKS
+        if inline and running:
+            out[-1].append(c)
+        else:
+            out.append([c])
+        running = inline
+    return out
+
+
+def _few_links(part: list[Node | str]) -> bool:
+    if any(isinstance(c, Node) and c.tag in HEADINGS for c in part):
+        return True
+    chars = sum(len(_collapse(c)) if isinstance(c, str) else c.chars for c in part)
+    return not chars or sum(c.link_chars for c in part if isinstance(c, Node)) < LINK_SHARE * chars
+
+
+def _kind(node: Node) -> tuple[str, str]:
+    return node.tag, _attributes(node.attributes).get("class", "")
+
+
+def _with_siblings(best: Node) -> list[Node | str]:
+    """The best container and what belongs to its article beside it, in page order."""
+    top = best
+    while top is not None and top.tag not in ("article", "main"):
+        top = top.parent
+    kept: list[Node | str] = [best]
+    node = best
+    while node is not top and node.tag not in ("body", "html") and node.parent is not None:
+        alike = top is not None or node is best
+        beside: list[Node | str] = []
+        for part in _parts(node.parent):
+            if node in part:
+                at = part.index(node)
+                beside += [*part[:at], *kept, *part[at + 1 :]] if alike else kept
+            elif _few_links(part) and (alike or isinstance(part[0], Node) and _kind(part[0]) == _kind(node)):
+                beside += part
+            else:
+                beside.append(Node("hr"))  # its place still parts the texts around it
+        kept, node = beside, node.parent
+    return kept
+
+
 def main_text(html: str) -> str:
     """The article of a page: its blocks, one per line."""
     if not html:
@@ -294,22 +342,7 @@ def main_text(html: str) -> str:
     best = max(scored, key=final, default=None)
     if best is None or final(best) <= 0:
         return "\n".join(_blocks([root]))
-    if best.parent is None:
-        return "\n".join(_blocks([best]))
-    least = max(10.0, SIBLING_SHARE * final(best))
-    kept = []
-    for c in best.parent.children:
-        if not isinstance(c, Node):
-            continue
-        density = c.link_chars / c.chars if c.chars else 1.0
-        if c is best or id(c) in seen and c.tag not in ("header",) and final(c) >= least and best.tag not in ("article", "main", "body"):
-            kept.append(c)
-        elif c.tag == "p" and best.tag not in ("article", "main", "body"):
-            if c.chars > 80 and density < 0.25 or 0 < c.chars <= 80 and density == 0 and _SENTENCE.search("".join(_blocks([c]))):
-                kept.append(c)
-        elif c.tag in HEADINGS and c.chars and best.tag not in ("article", "main", "body"):
-            kept.append(c)
-    return "\n".join(_blocks(kept))
+    return "\n".join(_blocks(_with_siblings(best)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

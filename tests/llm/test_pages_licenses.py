@@ -43,6 +43,27 @@ def test_boilerplate_goes(page):
     assert html.main_text(page) == WANT
 
 
+END = "<h2>End</h2><p>Short, final conclusion.</p>"
+LINKS = "<ul><li><a href=1>Other one</a></li><li><a href=2>Other two</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, more",
+    [
+        (f"<article><h1>T</h1><section>{BODY * 9}</section><section>{END}</section></article>", "End\nShort, final conclusion."),
+        (f"<article><h1>T</h1><div><section>{BODY * 9}</section></div><div><section>{END}</section></div>{LINKS}</article>", "End\nShort, final conclusion."),
+        (f"<main><h1>T</h1><div>{BODY * 9}</div>bare <a href=x>text</a> after it<ul><li>one<li>two</ul></main>", "bare text after it\none\ntwo"),
+        (f"<article><h1>T</h1><section>{BODY * 9}</section><table><tr><td>a<td>1</table><pre>x = 1</pre><blockquote>So said.</blockquote></article>", "a\n1\nx = 1\nSo said."),
+        (f"<body><div id=a><h1>T</h1><section>{BODY * 9}</section><ol><li>one</ol><section>{END}</section>{LINKS}</div></body>", "one\nEnd\nShort, final conclusion."),
+        (f"<body><h1>T</h1><div class=r id=r1><div>{BODY * 9}</div></div><div class=r id=r2><div>{END}</div></div>{LINKS}<div class=menu>{BODY}</div></body>", "End\nShort, final conclusion."),
+    ],
+)
+def test_short_parts_beside_a_long_one_stay(page, more):
+    text = html.main_text(page)
+    assert text.removeprefix("T\n") == "\n".join([WANT] * 9) + "\n" + more
+    assert text.startswith("T\n") or "id=r1" in page
+
+
 def test_references_white_space_and_breaks():
     page = "<article><h1>T &amp; t</h1><p>a&nbsp;&lt;b&gt;\n\t c<br>d <b>e</b>f &eacute;&#233;&#x1F600; &amp;amp;</p><ul><li>one, two, three<li>four</ul></article>"
     assert html.main_text(page) == "T & t\na <b> c d ef éé😀 &amp;\none, two, three\nfour"
