@@ -8,8 +8,10 @@ stretch of its words is within ``floor((1 - similarity) * words)`` word edits of
    edit distance get strings at a small Hamming distance.
 2. **Bit sampling.**  A round has its own walk and ``sampled`` random steps; the words emitted there are its key.  Items enter
    a table per round and length; a window of a document is a candidate of the items whose key it shares in
-   some round.  The rounds are as many as reach ``recall`` on trial pairs: each item against ``TRIALS`` copies with as many random
-   word edits as are allowed, the windows around such a copy included.
+   some round.  Longer items need more rounds, so each class of lengths (allowed edits within a quarter of each other) has as many as
+   reach ``recall`` on its own trial pairs: its items against copies with as many random word edits as are allowed, the
+   windows around such a copy included.  A class that has not reached it after ``max_rounds`` is not left short: all windows of
+   step 3 of its sizes are candidates, which misses no leak.
 3. **Windows** have the size of an item and start at every word.  By the q-gram lemma a stretch within ``k`` edits of an item
    of ``w`` words holds at least ``w - 1 - 2k`` of its bigrams, so windows with fewer bigrams of any one item of their
    size than that can hold no leak and are not embedded.
@@ -26,6 +28,7 @@ behind by ``find_leaks`` and kept by ``drop_leaks``.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,7 +45,8 @@ SIMILARITY = 0.8
 RECALL = 0.95
 SAMPLED = 4
 STRETCH = 3
-TRIALS = 8
+TRIALS = 8  # copies of an item, more where a class has few items ...
+CLASS_TRIALS = 64  # ... to have this many in each class
 MAX_ROUNDS = 200
 ITEMS_AT_ONCE = 2000
 CELLS_AT_ONCE = 4_000_000  # of embedded strings held at once
@@ -125,6 +129,9 @@ class Items:
     sampled: int
     rounds: int = 0
     trial_recall: float = 1.0
+    class_recall: dict[int, float] = field(default_factory=dict)  # by sampling alone
+    rounds_of: dict[int, int] = field(default_factory=dict)  # size -> rounds
+    exact: dict[int, list[int]] = field(default_factory=dict)  # size -> items that sampling does not reach
     tables: list[dict[int, list[int]]] = field(default_factory=list)  # per round: key -> items
 
     def codes(self, words: np.ndarray) -> np.ndarray:
@@ -146,8 +153,15 @@ class Items:
         return key
 
 
-def fit_items(rows: list[tuple[int | None, str | None]], similarity: float = SIMILARITY, recall: float = RECALL, sampled: int = SAMPLED) -> Items:
-    """Build the tables of some items, with as many rounds as reach the recall on trial pairs."""
+def length_class(edits: int) -> int:
+    """Items of a class allow numbers of edits within a quarter of each other."""
+    return int(math.log(edits) / math.log(1.25)) if edits else -1
+
+
+def fit_items(
+    rows: list[tuple[int | None, str | None]], similarity: float = SIMILARITY, recall: float = RECALL, sampled: int = SAMPLED, max_rounds: int = MAX_ROUNDS
+) -> Items:
+    """Build the tables of some items, with as many rounds for each class of lengths as reach the recall on its trial pairs."""
     texts = [(i, text_words(t or "")) for i, t in rows]
     texts = [(i, w) for i, w in texts if w]
     vocabulary = {w: n for n, w in enumerate(sorted({x for _, ws in texts for x in ws}), 1)}
@@ -158,10 +172,12 @@ def fit_items(rows: list[tuple[int | None, str | None]], similarity: float = SIM
     items.bigrams, items.bigram_first = np.unique(np.array([c for c, _ in pairs], dtype=np.int64), return_index=True)
     items.bigram_first = np.append(items.bigram_first, len(pairs))
     items.bigram_items = np.array([n for _, n in pairs], dtype=np.int64)
+    classes = np.array([length_class(k) for k in items.edits], dtype=np.int64)
+    members = dict(zip(*(x.tolist() for x in np.unique(classes, return_counts=True)), strict=True))
     trials = []
     rng = np.random.default_rng(SEED)
     for n, (w, k) in enumerate(zip(words, items.edits, strict=True)):
-        for _ in range(TRIALS if k else 0):
+        for _ in range(max(TRIALS, -(-CLASS_TRIALS // members[int(classes[n])])) if k else 0):
             trials.append((n, _edited(w, k, len(vocabulary), rng)))
     found = np.zeros(len(trials), dtype=bool)
     lengths = np.array([len(w) for w in words], dtype=np.int64)
@@ -176,22 +192,30 @@ def fit_items(rows: list[tuple[int | None, str | None]], similarity: float = SIM
         at += len(copy) + lengths[n]
     places, sizes, owner = (np.array(x, dtype=np.int64) for x in (places, sizes, owner))
     copies = np.concatenate(copies) if copies else np.zeros(0, dtype=np.int64)
-    while items.rounds < MAX_ROUNDS and words:
+    trial_class = classes[[n for n, _ in trials]] if trials else np.zeros(0, dtype=np.int64)
+    first_words = np.cumsum(lengths) - lengths
+    going = set(members)
+    while items.rounds < max_rounds and going:
+        active = np.flatnonzero(np.isin(classes, list(going)))
         table: dict[int, list[int]] = {}
-        for n, key in enumerate(items.keys(joined, np.cumsum(lengths) - lengths, lengths, items.rounds).tolist()):
+        for n, key in zip(active.tolist(), items.keys(joined, first_words[active], lengths[active], items.rounds).tolist(), strict=True):
             table.setdefault(key, []).append(n)
         items.tables.append(table)
-        still = ~found[owner] if len(trials) else np.zeros(0, dtype=bool)
+        still = (~found & np.isin(trial_class, list(going)))[owner] if len(trials) else np.zeros(0, dtype=bool)
         if still.any():
             keys = items.keys(copies, places[still], sizes[still], items.rounds)
             for t, key in zip(owner[still].tolist(), keys.tolist(), strict=True):
                 if trials[t][0] in table.get(key, ()):
                     found[t] = True
         items.rounds += 1
-        if not len(trials) or found.mean() >= recall:
-            break
+        items.rounds_of |= dict.fromkeys(lengths[active].tolist(), items.rounds)
+        # Items that allow no edits have no trials: they are met in any round.
+        going = {c for c in going if c >= 0 and found[trial_class == c].mean() < recall}
+    items.class_recall = {c: float(found[trial_class == c].mean()) for c in members if c >= 0}
+    for n in np.flatnonzero(np.isin(classes, list(going))).tolist():
+        items.exact.setdefault(int(lengths[n]), []).append(n)
     if len(trials):
-        items.trial_recall = float(found.mean())
+        items.trial_recall = float((found | np.isin(trial_class, list(going))).mean())
     return items
 
 
@@ -293,10 +317,22 @@ def leaks_in(texts: list[str], items: Items) -> list[list[tuple[int, int, int, i
         joined[place : place + len(words)] = words
     places, sizes, owner = np.concatenate(places), np.concatenate(sizes), np.concatenate(owner)
     candidates: dict[tuple[int, int], set[int]] = {}
+    for size, all_items in items.exact.items():
+        for w in np.flatnonzero(sizes == size).tolist():
+            for item in all_items:
+                candidates.setdefault((int(owner[w]), item), set()).add(int(places[w]))
+    needed = np.zeros(widest + 1, dtype=np.int64)  # rounds by size
+    needed[list(items.rounds_of)] = list(items.rounds_of.values())
+    needed[list(items.exact)] = 0
+    needed = needed[sizes]
     for r, table in enumerate(items.tables):
-        keys = items.keys(joined, places, sizes, r)
-        for w in np.flatnonzero(np.isin(keys, np.fromiter(table, dtype=np.uint64, count=len(table)))).tolist():
-            for item in table[int(keys[w])]:
+        live = np.flatnonzero(needed > r)
+        if not len(live):
+            break
+        keys = items.keys(joined, places[live], sizes[live], r)
+        hits = np.flatnonzero(np.isin(keys, np.fromiter(table, dtype=np.uint64, count=len(table))))
+        for w, key in zip(live[hits].tolist(), keys[hits].tolist(), strict=True):
+            for item in table[key]:
                 if len(items.words[item]) == sizes[w]:
                     candidates.setdefault((int(owner[w]), item), set()).add(int(places[w]))
     for (t, item), starts in sorted(candidates.items()):

@@ -93,6 +93,37 @@ def test_recall_on_edited_copies():
     assert found / total >= 0.93
 
 
+def long_and_short(r):
+    vocabulary = [f"w{i}" for i in range(3000)]
+    return [(i, " ".join(r.choice(vocabulary) for _ in range(400 if i < 4 else r.randint(15, 59)))) for i in range(150)]
+
+
+def copies_found(block, items, r, copies):
+    found = 0
+    for i, text in items * copies:
+        words = text.split()
+        doc = " ".join([*["noise"] * 40, *edited(words, len(words) // 5, r), *["noise"] * 40])
+        found += i in {block.ids[n] for n, _, _, _ in D.leaks_in([doc], block)[0]}
+    return found / len(items) / copies
+
+
+def test_long_items_among_short_ones_reach_the_recall_too():
+    r = random.Random(5)
+    items = long_and_short(r)
+    block = D.fit_items(items)
+    assert copies_found(block, items[:4], r, 10) >= 0.85
+    assert min(block.class_recall.values()) >= D.RECALL and not block.exact
+    assert block.rounds_of[400] > min(block.rounds_of.values())
+
+
+def test_classes_that_sampling_does_not_reach_are_compared_exactly():
+    r = random.Random(6)
+    items = long_and_short(r)
+    block = D.fit_items(items, max_rounds=2)
+    assert min(block.class_recall.values()) < D.RECALL <= block.trial_recall and len(block.exact[400]) == 4
+    assert copies_found(block, items[:20], r, 2) == 1
+
+
 def test_items_in_blocks_and_odd_input(spark, odd_docs, no_docs):
     items = [(1, "three four five six seven eight"), (1, "three four five six seven eight"), (2, None), (3, ""), (4, "ten"), (None, "EIGHT nine, ten!"), (5, "not in there at all")]
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, edits string")
