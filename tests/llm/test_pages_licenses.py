@@ -128,6 +128,23 @@ def test_scan_equals_slow_form(spark, threshold):
     assert got == want
 
 
+def test_notices_wrapped_or_embedded_in_prose(spark):
+    prose = "this part of the book tells of rivers and of the people who lived beside them for many years"
+    apache, mit = licenses.TEMPLATES["Apache-2.0"], licenses.TEMPLATES["MIT"][1]
+    texts = [
+        (1, f"{prose}.\nLicensed under the Apache License,\nVersion 2.0.\nMore {prose}.", "Apache-2.0"),
+        (2, f"{prose}\nLicensed under the Apache License,\nVersion 2.0, {prose}", "Apache-2.0"),
+        (3, f"{prose}. {apache[1]} {prose}. {prose}. {prose}.", "Apache-2.0"),
+        (4, f"{prose} {mit} {prose}, {prose}, {prose}", "MIT"),
+        (5, f"{prose} {prose}. " * 3, None),
+    ]
+    df = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], r["dice"]) for r in licenses.scan_licenses(df, embedded=True).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {i: k for i, _, k in texts if k}
+    assert all(got[i][1] == 1.0 for i in (1, 2, 3))
+    assert {r["doc_id"] for r in licenses.scan_licenses(df).collect()} >= {1}  # a wrapped sentence is a unit
+
+
 def test_bounds_lose_nothing():
     for n in range(1, 60):
         for t in (0.3, 0.5, 0.8, 1.0):
