@@ -67,6 +67,15 @@ def hash_sample(df: DataFrame, size: int, hashed: Column, *ties: str) -> DataFra
     return few.orderBy(hashed, *ties).limit(size)
 
 
+def shared_filesystem(folder: str):
+    """``(file system, path)`` of a folder that all executors share."""
+    from pyarrow import fs
+
+    if folder.startswith("file:"):
+        folder = "file:///" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

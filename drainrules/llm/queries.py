@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drainrules.llm import chat, decontaminate, html, licenses, lm, packing, quality, records, simhash, toxicity
+from drainrules.llm import chat, decontaminate, html, licenses, lm, packing, prefix_trie, quality, records, simhash, toxicity
 from drainrules.session import scratch_path
 
 #: Chain order of the toxicity categories.  The labels carry two flags; the last category is both at once.
@@ -87,6 +87,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = prefix_trie.turn_steps(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.borrow_openings(steps))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_decontamination,
         op10_simhash,
+        op11_prefix_trie,
     )
 }
 
@@ -160,4 +166,46 @@ FROM f GROUP BY conv_id
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": _license_sql(), "op8_chat_formatting": _chat_sql()}
+def _prefix_trie_sql() -> str:
+    # CRC-32 (reflected polynomial 0xEDB88320), one decimal digit at a time; eight shifts a byte.
+    shift = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    for_byte = "list_reduce(list_concat([xor(acc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: {0})".format(shift)
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda acc, b: {for_byte}), 4294967295)"
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS step
+  FROM conversations WHERE conv_id IS NOT NULL),
+s AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, step) AS i, step,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+c AS (SELECT conv_id, count(*) AS n_own, conv_id - conv_id % 20 AS lender, {crc} % 4 AS h FROM s GROUP BY conv_id),
+p AS (SELECT c.*, least(h, coalesce(b.n_own, 0)) AS got FROM c LEFT JOIN (SELECT conv_id AS b_id, n_own FROM c) AS b ON b_id = lender),
+r AS (
+  SELECT p.conv_id, s.i AS d, s.step, s.words FROM p JOIN s ON s.conv_id = p.lender AND s.i <= p.h
+  UNION ALL SELECT p.conv_id, s.i - p.h + p.got, s.step, s.words FROM p JOIN s ON s.conv_id = p.conv_id AND s.i > p.h
+  UNION ALL SELECT conv_id, 0, '', 0 FROM p),
+k AS (
+  SELECT conv_id, d, words, sha256(string_agg(step, '/') OVER (PARTITION BY conv_id ORDER BY d)) AS key,
+    max(d) OVER (PARTITION BY conv_id) AS n_steps FROM r),
+l AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS above FROM k),
+n AS (
+  SELECT d, key, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n_steps), '') AS ends
+  FROM l GROUP BY d, key),
+kids AS (SELECT d - 1 AS d, above AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, key)),
+sub AS (
+  SELECT l.d, l.key, sum((w.n_children = 0)::BIGINT) AS n_leaves, sum((w.n_convs - 1) * w.words) AS saved_tokens
+  FROM w JOIN l ON l.conv_id = w.conv_id AND l.d <= w.d GROUP BY l.d, l.key)
+SELECT w.conv_id, w.d::BIGINT AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, sub.n_leaves::BIGINT AS n_leaves,
+  sub.saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN sub USING (d, key) LEFT JOIN n AS u ON u.d = w.d - 1 AND u.key = w.above
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": _license_sql(),
+    "op8_chat_formatting": _chat_sql(),
+    "op11_prefix_trie": _prefix_trie_sql(),
+}
