@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drainrules.llm import chat, decontaminate, html, licenses, lm, packing, prefix_trie, quality, records, simhash, toxicity
+from drainrules.llm import chat, collocations, decontaminate, html, licenses, lm, packing, prefix_trie, quality, records, simhash, toxicity
 from drainrules.session import scratch_path
 
 #: Chain order of the toxicity categories.  The labels carry two flags; the last category is both at once.
@@ -92,6 +92,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.borrow_openings(steps))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_decontamination,
         op10_simhash,
         op11_prefix_trie,
+        op13_collocations,
     )
 }
 
