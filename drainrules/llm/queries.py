@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drainrules.llm import chat, collocations, decontaminate, html, licenses, lm, packing, prefix_trie, quality, records, simhash, toxicity
+from drainrules.llm import chat, collocations, decontaminate, gam, html, licenses, lm, packing, prefix_trie, quality, records, simhash, toxicity
 from drainrules.session import scratch_path
 
 #: Chain order of the toxicity categories.  The labels carry two flags; the last category is both at once.
@@ -92,6 +92,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.borrow_openings(steps))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return gam.score_quality(docs, gam.fit_quality_gam(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_collocations(table(spark, sf_dir, "documents"))
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_decontamination,
         op10_simhash,
         op11_prefix_trie,
+        op12_quality_classifier,
         op13_collocations,
     )
 }
@@ -209,8 +215,42 @@ FROM w JOIN sub USING (d, key) LEFT JOIN n AS u ON u.d = w.d - 1 AND u.key = w.a
 """
 
 
+def _collocation_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rules = collocations
+    return f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) AS ks(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= {rules.MIN_COUNT}),
+cuts AS (
+  SELECT c.*, cut, array_to_string(list_slice(ws, 1, cut), ' ') AS first_part, array_to_string(list_slice(ws, cut + 1, k), ' ') AS rest
+  FROM c, (VALUES (1), (2)) AS cs(cut) WHERE cut < k),
+s AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, x.f AS l, y.f AS r, cut,
+    (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.phrase = first_part JOIN f AS y ON y.lang = cuts.lang AND y.phrase = rest),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS longest
+  FROM (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase AND best.k = 2
+  WHERE longest IS NULL OR 100 * longest < {rules.DROP_PERCENT} * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= {rules.TOP}
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": _license_sql(),
     "op8_chat_formatting": _chat_sql(),
     "op11_prefix_trie": _prefix_trie_sql(),
+    "op13_collocations": _collocation_sql(),
 }

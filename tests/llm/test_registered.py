@@ -12,7 +12,7 @@ SF01 = "/root/testdata/sf0.01"
 def test_names():
     found = entry.queries()
     assert "pipeline" in found and set(queries.QUERIES) <= set(found)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
 
 
