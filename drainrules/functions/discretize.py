@@ -98,6 +98,28 @@ def numeric_item(spec: FeatureSpec, x: Column, bounds: Sequence[float]) -> Colum
     )
 
 
+def _item_labels(spec: FeatureSpec) -> list[str]:
+    return [label for _, label in spec.cases if label is not None] if spec.item_uses_rule else []
+
+
+def numeric_items(spec: FeatureSpec, bounds: Sequence[float]) -> list[str]:
+    """The items a numeric feature can have; the code of an item is its place here, from 1."""
+    buckets = len(bounds) + 1 if spec.buckets else 0
+    return [f"{spec.item}={label}" for label in [*_item_labels(spec), *(f"q{i + 1}" for i in range(buckets))]]
+
+
+def numeric_code(spec: FeatureSpec, x: Column, bounds: Sequence[float]) -> Column:
+    """Code of ``numeric_item`` among ``numeric_items``; 0 where there is no item."""
+    labels = _item_labels(spec)
+    expr = F.when(x.isNull(), F.lit(0))
+    if spec.item_uses_rule:
+        if spec.nan_case:
+            expr = expr.when(F.isnan(x), F.lit(0))
+        for pred, label in spec.cases:
+            expr = expr.when(pred(x), F.lit(0 if label is None else labels.index(label) + 1))
+    return expr.otherwise(bucket_index(x, bounds) + len(labels) if spec.buckets else F.lit(0))
+
+
 # --- fixed values: domain rules of the numeric features, in rule order -------
 RATE_CASES = ((lambda x: x < 0.0, None), (lambda x: x > 1.0, "batteryDying"))
 CPU_CASES = ((lambda x: x < 0.0, None), (lambda x: x > 1.0, None))

@@ -5,12 +5,18 @@ values.  All features are computed in ONE aggregate pass (partial + final
 aggregation, no shuffle of rows); only a few numbers per feature reach the
 driver, where they become literals of the bucket ``CASE`` chains.
 
-``exact=False`` (default, the scale path) uses ``percentile_approx`` with
-relative error 1/accuracy, as the original job does.  ``exact=True`` returns
+``exact=False`` (default, the scale path) merges quantile sketches (KLL) in two
+levels: each task's sketches first meet by salt, ``SKETCH_SALTS`` tasks at a time,
+and the last task merges one sketch per salt and feature.  Their size follows from
+``accuracy`` (rank error 1/accuracy, as the original job asks for).  ``exact=True`` returns
 the rank-``ceil(p*n)`` element exactly, by distributed selection: each round
 brackets every target rank with approximate quantiles and counts, so the
 candidate range shrinks ~1000x per round and memory stays bounded by
 ``exact_threshold`` values per target; no data passes through the driver.
+
+Several passes over an app's samples read ``store_samples``: one job computes the
+samples, stores them, and gathers row count, minimum, maximum and count per feature
+on the way (observed metrics), so that filters and joins before it run once.
 """
 
 from __future__ import annotations
@@ -19,13 +25,19 @@ import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from drainrules.functions import discretize as dz
+from drainrules.operators.mining import CodedItems, code_of
+from drainrules.session import materialize
 
 DEFAULT_ACCURACY = 10000  # relative error 0.0001
-EXACT_THRESHOLD = 100_000
+EXACT_THRESHOLD = 250_000
+SKETCH_SALTS = 64  # sketches that the last merge takes per feature
+MAX_SKETCH = 65535  # largest sketch parameter
+
+Ends = dict[str, tuple[float | None, float | None, int]]  # bin name -> min, max, count of in-domain values
 
 
 def active_specs(excluded: frozenset[str]) -> list[dz.FeatureSpec]:
@@ -137,49 +149,99 @@ def _exact_quantiles(df: DataFrame, values: dict[str, Column], counts: dict[str,
     return out
 
 
+@dataclass
+class StoredSamples:
+    """Flat samples written once, with what was observed while they were written."""
+
+    samples: DataFrame
+    n_rows: int
+    ends: Ends
+
+
+def _end_columns(specs: list[dz.FeatureSpec]) -> list[Column]:
+    out = []
+    for s in specs:
+        v = _domain_value(s)
+        out += [F.min(v).alias(f"{s.bin_name}__min"), F.max(v).alias(f"{s.bin_name}__max"), F.count(v).alias(f"{s.bin_name}__n")]
+    return out
+
+
+def _ends_of(row, specs: list[dz.FeatureSpec]) -> Ends:
+    return {s.bin_name: (row[f"{s.bin_name}__min"], row[f"{s.bin_name}__max"], int(row[f"{s.bin_name}__n"])) for s in specs}
+
+
+def store_samples(samples: DataFrame, excluded: frozenset[str] = frozenset()) -> StoredSamples:
+    """Write the samples to the shared folder in one job that also observes row count and ends per feature.
+
+    The metrics stand in the job's last stage, right above the write, where a task that is
+    run again counts once.
+    """
+    specs = binned_specs(excluded)
+    seen = Observation()
+    stored = materialize(samples.observe(seen, F.count(F.lit(1)).alias("n_rows"), *_end_columns(specs)), "samples")
+    row = seen.get
+    return StoredSamples(stored, int(row["n_rows"]), _ends_of(row, specs))
+
+
 def compute_bins(samples: DataFrame, excluded: frozenset[str] = frozenset(), *,
                  exact: bool = False, accuracy: int = DEFAULT_ACCURACY,
-                 exact_threshold: int = EXACT_THRESHOLD) -> dict[str, list[float]]:
+                 exact_threshold: int = EXACT_THRESHOLD, salts: int = SKETCH_SALTS,
+                 ends: Ends | None = None) -> dict[str, list[float]]:
     """Bounds per bucketed feature: ``{bin_name: [min, q1, ..., max]}``.
 
     A feature without in-domain values gets no quantiles and bounds
-    ``[0.0, 0.0]`` (its values then all fall in ``q1``).
+    ``[0.0, 0.0]`` (its values then all fall in ``q1``).  ``ends`` are those of
+    ``store_samples``, where the samples were stored.
     """
-    own_copy = exact and not samples.storageLevel.useMemory and not samples.storageLevel.useDisk
+    own_copy = exact and ends is None and not samples.storageLevel.useMemory and not samples.storageLevel.useDisk
     if own_copy:  # exact mode makes several passes: keep the input for them
         samples = persist_for_reuse(samples)
     try:
-        return _compute_bins(samples, excluded, exact, accuracy, exact_threshold)
+        return _compute_bins(samples, excluded, exact, accuracy, exact_threshold, salts, ends)
     finally:
         if own_copy:
             samples.unpersist()
 
 
+def sketch_size(accuracy: int) -> int:
+    """The KLL parameter k whose rank error ``2.296 / k ** 0.9723`` is ``1 / accuracy`` or less."""
+    return min(MAX_SKETCH, max(8, math.ceil((2.296 * accuracy) ** (1 / 0.9723))))
+
+
+def sketched_bins(samples: DataFrame, specs: list[dz.FeatureSpec], accuracy: int, salts: int) -> DataFrame:
+    """One row: ends and quantiles (null without values) of every feature, by sketches merged in two levels."""
+    k = sketch_size(accuracy)
+    salted = samples.select(F.pmod(F.spark_partition_id(), F.lit(int(salts))).alias("__salt"), *[s.column for s in specs])
+    per_salt = salted.groupBy("__salt").agg(
+        *_end_columns(specs), *[F.kll_sketch_agg_double(_domain_value(s), k).alias(f"{s.bin_name}__s") for s in specs])
+    merged = []
+    for s in specs:
+        name = s.bin_name
+        merged += [F.min(f"{name}__min").alias(f"{name}__min"), F.max(f"{name}__max").alias(f"{name}__max"),
+                   F.sum(f"{name}__n").alias(f"{name}__n"), F.kll_merge_agg_double(f"{name}__s", k).alias(f"{name}__s")]
+    quantiles = [
+        F.when(F.col(f"{s.bin_name}__n") > 0, F.kll_sketch_get_quantile_double(f"{s.bin_name}__s", F.array(*map(F.lit, s.probabilities()))))
+        .alias(f"{s.bin_name}__q") for s in specs]
+    ends = [f"{s.bin_name}__{e}" for s in specs for e in ("min", "max", "n")]
+    return per_salt.agg(*merged).select(*ends, *quantiles)
+
+
 def _compute_bins(samples: DataFrame, excluded: frozenset[str], exact: bool, accuracy: int,
-                  exact_threshold: int) -> dict[str, list[float]]:
+                  exact_threshold: int, salts: int, ends: Ends | None) -> dict[str, list[float]]:
     specs = binned_specs(excluded)
-    values = {s.bin_name: _domain_value(s) for s in specs}
-    probs = {s.bin_name: s.probabilities() for s in specs}
-    aggs = []
-    for s in specs:
-        v = values[s.bin_name]
-        aggs += [F.min(v).alias(f"{s.bin_name}__min"), F.max(v).alias(f"{s.bin_name}__max"),
-                 F.count(v).alias(f"{s.bin_name}__n")]
-        if not exact:
-            aggs.append(F.percentile_approx(v, probs[s.bin_name], accuracy).alias(f"{s.bin_name}__q"))
-    row = samples.agg(*aggs).collect()[0]
-    counts = {s.bin_name: int(row[f"{s.bin_name}__n"]) for s in specs}
     if exact:
+        ends = ends or _ends_of(samples.agg(*_end_columns(specs)).collect()[0], specs)
         # counts are known now, so every exact summary is sized to what it holds
-        quantiles = _exact_quantiles(samples, values, counts, probs, accuracy, exact_threshold)
+        quantiles = _exact_quantiles(samples, {s.bin_name: _domain_value(s) for s in specs}, {name: e[2] for name, e in ends.items()},
+                                     {s.bin_name: s.probabilities() for s in specs}, accuracy, exact_threshold)
     else:
+        row = sketched_bins(samples, specs, accuracy, salts).collect()[0]
+        ends = _ends_of({k: v or 0 if k.endswith("__n") else v for k, v in row.asDict().items() if not k.endswith("__q")}, specs)
         quantiles = {s.bin_name: [float(q) for q in (row[f"{s.bin_name}__q"] or [])] for s in specs}
     bins: dict[str, list[float]] = {}
     for s in specs:
-        if counts[s.bin_name] == 0:
-            bins[s.bin_name] = [0.0, 0.0]
-        else:
-            bins[s.bin_name] = [float(row[f"{s.bin_name}__min"])] + quantiles[s.bin_name] + [float(row[f"{s.bin_name}__max"])]
+        low, high, n = ends[s.bin_name]
+        bins[s.bin_name] = [float(low), *quantiles[s.bin_name], float(high)] if n else [0.0, 0.0]
     return bins
 
 
@@ -238,6 +300,37 @@ def item_table(samples: DataFrame, bins: dict[str, list[float]], excluded: froze
     return samples.select(*keep, *item_columns(bins, excluded))
 
 
+def coded_items(stored: StoredSamples, bins: dict[str, list[float]], excluded: frozenset[str], min_count: int) -> CodedItems:
+    """Items of the samples as small codes, straight from the values: no item text is built per row.
+
+    Bucketed features have their codes by rule.  Of the two network features only values in ``min_count`` rows or more get
+    one: they are counted first, and the driver receives at most ``n_rows / min_count`` of each.
+    """
+    samples = stored.samples
+    texts = {"mobileNetType": dz.mobile_network_item(F.col("mobileNetwork")), "netType": dz.network_item(F.col("network"))}
+    texts = {item: c for item, c in texts.items() if item not in excluded}
+    found: dict[str, list[str]] = {item: [] for item in texts}
+    if texts:
+        each = F.explode(F.array(*[F.struct(F.lit(item).alias("f"), c.alias("item")) for item, c in texts.items()]))
+        for r in (samples.select(each.alias("e")).groupBy("e.f", "e.item").agg(F.count(F.lit(1)).alias("n"))
+                  .where((F.col("n") >= min_count) & F.col("item").isNotNull()).collect()):
+            found[r["f"]].append(r["item"])
+    by_item = {s.item: s for s in dz.NUMERIC_FEATURES}
+    columns, names = [], {}
+    for item in dz.ITEM_ORDER:
+        if item in excluded:
+            code, names[item] = F.lit(0), []
+        elif item in texts:
+            names[item] = sorted(found[item])
+            code = code_of(texts[item], names[item])
+        else:
+            spec = by_item[item]
+            bounds = quantiles_of(bins, spec.bin_name) if spec.bin_name else []
+            code, names[item] = dz.numeric_code(spec, F.col(spec.column), bounds), dz.numeric_items(spec, bounds)
+        columns.append(code.alias(item))
+    return CodedItems(samples.select(*columns), names)
+
+
 def transactions(samples: DataFrame, bins: dict[str, list[float]], excluded: frozenset[str] = frozenset(),
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """Samples as ``items: array<string>`` (absent items dropped, row kept)."""

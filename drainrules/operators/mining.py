@@ -2,12 +2,14 @@
 
 Three miners give the same rules:
 
-* ``weighted`` (default): items are counted first, infrequent ones dropped,
-  and equal transactions collapsed to one row with a weight (both with
-  map-side combine).  What is left is bounded by the number of frequent
-  items, not by the data.  Then one job per itemset size counts the
-  candidates of that size (those whose smaller subsets are all frequent) over
-  the weighted rows; tasks hand on one sum per candidate.
+* ``packed`` (default): a transaction is one long, a few bits per feature
+  (``CodedItems``), and equal ones are collapsed to one row with a weight
+  (map-side combine).  What is left is bounded by the number of items, not by
+  the data.  The itemsets over a feature set are the values of the long under
+  that set's bit mask.  One aggregate (generated code over two integers)
+  counts all itemsets of up to three items; of each larger size only the
+  candidates whose smaller subsets are all frequent, for which the masked
+  longs are looked up in the (bounded, broadcast) candidates first.
 * ``fpgrowth``: Spark ML FP-growth.  Item counts use map-side
   combine; conditional FP-trees are merged map-side before the shuffle, so a
   hot item ships trees, never rows.
@@ -25,19 +27,22 @@ frequent itemsets and <= 10x that many rules, whatever the data size.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations, groupby
 
-import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drainrules.functions import discretize as dz
-from drainrules.session import ensure_checkpoint_dir, materialize, workers_find_package
+from drainrules.session import ensure_checkpoint_dir, materialize
 
 KEY_SEP = ";"
+SMALL_SIZES = 3  # itemsets up to this size are counted by one aggregate over all feature sets
+BROADCAST_CANDIDATES = 100_000
+MAX_BITS = 62  # of a packed transaction
+CHAIN_ITEMS = 64  # codes of text items come from a CASE chain up to this many, then from a join
 
 
 def itemset_key(arr: Column) -> Column:
@@ -47,7 +52,7 @@ def itemset_key(arr: Column) -> Column:
 
 # --------------------------------------------------------------------------- FP-growth
 def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
-             num_partitions: int | None = None, after_fit=None) -> tuple[DataFrame, DataFrame]:
+             num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(freq_itemsets[items, freq], rules[antecedent, consequent, confidence]).
 
     FP-growth partitions its conditional trees by item, independent of the
@@ -55,8 +60,7 @@ def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
     partitions) sets the mining parallelism.  The frequent itemsets (bounded,
     see above) and the rules derived from them with one join are each written
     once as parquet to the shared checkpoint folder and read back, so later
-    actions neither re-mine nor depend on lost executors.  ``after_fit`` runs
-    once the transactions are cached (callers release their own copies).
+    actions neither re-mine nor depend on lost executors.
     """
     spark = tx.sparkSession
     ensure_checkpoint_dir(spark)
@@ -73,8 +77,6 @@ def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
         est = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=float(min_confidence),
                        numPartitions=parts)
         model = est.fit(tx)
-        if after_fit is not None:
-            after_fit()  # the transactions are cached now: upstream copies can go
         itemsets = materialize(model.freqItemsets.select("items", F.col("freq").cast("long").alias("freq")),
                                "itemsets")
     finally:
@@ -82,76 +84,113 @@ def fpgrowth(tx: DataFrame, min_support: float, min_confidence: float,
     return itemsets, materialize(rules_from_itemsets(itemsets, min_confidence), "rules")
 
 
-# --------------------------------------------------------------------------- weighted miner
-def _count_extensions(table: DataFrame, features: list[str], items: list[tuple[str, str]],
-                      wanted: list[tuple[tuple[int, ...], list[int]]]) -> dict[tuple[int, ...], int]:
-    """Weighted counts of ``prefix + (item,)`` for the wanted prefixes and items (indices into ``items``)."""
-    by_feature = [(features.index(f), name) for f, name in items]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(len(more), dtype=np.int64) for _, more in wanted]
-        for batch in batches:
-            columns = [np.asarray(c.to_pylist(), dtype=object) for c in batch.columns[:-1]]
-            weight = np.asarray(batch.columns[-1], dtype=np.int64)
-            has = np.stack([columns[f] == name for f, name in by_feature])
-            for total, (prefix, more) in zip(sums, wanted, strict=True):
-                rows = np.flatnonzero(has[list(prefix)].all(axis=0))
-                if len(rows):
-                    total += (has[more][:, rows] * weight[rows]).sum(axis=1)
-        ids = np.arange(sum(len(more) for _, more in wanted), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sums))], names=["candidate", "w"])
-
-    workers_find_package(table.sparkSession)
-    counted = table.mapInArrow(count, "candidate long, w long").groupBy("candidate").agg(F.sum("w").alias("w")).collect()
-    found = {r["candidate"]: r["w"] for r in counted}
-    sets = [(*prefix, i) for prefix, more in wanted for i in more]
-    return {s: found.get(n, 0) for n, s in enumerate(sets)}
-
-
-def weighted_itemsets(tx_items: DataFrame, features: list[str], min_support: float, num_partitions: int | None = None,
-                      after_collapse=None) -> DataFrame:
-    """Frequent itemsets ``(items, freq)`` of a table of nullable item columns.
-
-    The driver holds the frequent itemsets and the candidates of one size: both are bounded (see above).
-    """
-    spark = tx_items.sparkSession
+# --------------------------------------------------------------------------- packed miner
+Itemset = tuple[tuple[int, int], ...]  # (feature, code) in order of features
+
+
+@dataclass
+class CodedItems:
+    """Transactions as one code column per feature (0 or null: no item) and the items the codes stand for, from 1."""
+
+    codes: DataFrame
+    names: dict[str, list[str]]
+
+
+def code_of(text: Column, names: list[str]) -> Column:
+    """The place of a text among ``names``, from 1 (0: not there)."""
+    if not names:
+        return F.lit(0)
+    if len(names) > CHAIN_ITEMS:
+        return F.coalesce(F.array_position(F.array(*map(F.lit, names)), text), F.lit(0)).cast("int")
+    expr = F.when(text == F.lit(names[0]), F.lit(1))
+    for i, name in enumerate(names[1:], 2):
+        expr = expr.when(text == F.lit(name), F.lit(i))
+    return expr.otherwise(F.lit(0))
+
+
+def code_items(tx_items: DataFrame, features: list[str], min_support: float) -> tuple[CodedItems, int]:
+    """Codes for a table of nullable item columns, and its row count: items below the support get none."""
     every = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("item")) for f in features],
                               F.struct(F.lit("").alias("f"), F.lit("").alias("item"))))
-    counts = tx_items.select(every.alias("e")).where("e.item is not null").groupBy("e.f", "e.item").agg(F.count(F.lit(1)).alias("n"))
-    per_item = counts.persist()
-    try:
-        n_tx = (per_item.where("f = ''").collect() or [{"n": 0}])[0]["n"]
-        min_count = max(1, math.ceil(float(min_support) * n_tx))
-        frequent = {(r["f"], r["item"]): r["n"] for r in per_item.where((F.col("f") != "") & (F.col("n") >= min_count)).collect()}
-    finally:
-        per_item.unpersist()
-    items = sorted(frequent, key=lambda i: (features.index(i[0]), i[1]))
-    found: dict[tuple[int, ...], int] = {(i,): frequent[item] for i, item in enumerate(items)}
-    if items:
-        kept = [F.when(F.col(f).isin([n for g, n in items if g == f] or [""]), F.col(f)).alias(f) for f in features]
-        parts = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
-        table = materialize(tx_items.select(*kept).groupBy(*features).agg(F.count(F.lit(1)).alias("w")).repartition(parts), "weighted-tx")
-    if after_collapse is not None:
-        after_collapse()
-    level = sorted(found)
+    per_item = materialize(
+        tx_items.select(every.alias("e")).where("e.item is not null").groupBy("e.f", "e.item").agg(F.count(F.lit(1)).alias("n")), "item-counts")
+    n_tx = (per_item.where("f = ''").collect() or [{"n": 0}])[0]["n"]
+    names: dict[str, list[str]] = {f: [] for f in features}
+    for r in per_item.where((F.col("f") != "") & (F.col("n") >= _min_count(min_support, n_tx))).collect():
+        names[r["f"]].append(r["item"])
+    names = {f: sorted(v) for f, v in names.items()}
+    return CodedItems(tx_items.select(*[code_of(F.col(f), names[f]).alias(f) for f in features]), names), n_tx
+
+
+def _min_count(min_support: float, n_tx: int) -> int:
+    return max(1, math.ceil(float(min_support) * n_tx))
+
+
+def packed_itemsets(coded: CodedItems, min_support: float, n_tx: int | None = None) -> DataFrame:
+    """Frequent itemsets ``(items, freq)`` of coded transactions.
+
+    The driver holds the frequent itemsets, which are bounded (see above), and the candidates of one size.
+    """
+    features = [f for f, names in coded.names.items() if names]
+    spark = coded.codes.sparkSession
+    shifts, at = [], 0
+    for f in features:
+        shifts.append(at)
+        at += len(coded.names[f]).bit_length()
+    if at > MAX_BITS:
+        raise ValueError("the items of all features do not fit one long: ask for a higher support, or use the fpgrowth miner")
+    packed = F.lit(0).cast("long")
+    for f, shift in zip(features, shifts):
+        packed = packed + F.shiftleft(F.coalesce(F.col(f), F.lit(0)).cast("long"), shift)
+    # Few bytes, but much work per row: dealt evenly to all tasks.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = materialize(coded.codes.select(packed.alias("tx")).groupBy("tx").agg(F.count(F.lit(1)).alias("w")).repartition(parts), "packed-tx")
+    if n_tx is None:
+        n_tx = table.agg(F.sum("w").alias("n")).first()["n"] or 0
+    min_count = _min_count(min_support, n_tx)
+    fields = [((1 << len(coded.names[f]).bit_length()) - 1) << shift for f, shift in zip(features, shifts)]
+
+    def cells(sets: list[tuple[int, ...]]) -> DataFrame:
+        """``(n, v, w)``: for each transaction and feature set (number n) the transaction under the set's mask."""
+        masks = ", ".join(f"{sum(fields[i] for i in s)}L" for s in sets)
+        return table.selectExpr("w", "tx", f"posexplode(array({masks})) AS (n, mask)").selectExpr("n", "tx & mask AS v", "w")
+
+    def frequent(rows: DataFrame, sets: list[tuple[int, ...]]) -> dict[Itemset, int]:
+        counted = rows.groupBy("n", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= min_count).collect()
+        # Cells in which a feature has no item are counted like the others, and are as bounded.
+        return {tuple((i, (r["v"] & fields[i]) >> shifts[i]) for i in sets[r["n"]]): r["w"] for r in counted
+                if all(r["v"] & fields[i] for i in sets[r["n"]])}
+
+    small = [s for k in range(1, min(SMALL_SIZES, len(features)) + 1) for s in combinations(range(len(features)), k)]
+    found = frequent(cells(small), small) if small else {}
+    level = sorted(s for s in found if len(s) == SMALL_SIZES)
     while level:
-        known = set(level)
-        wanted = []
-        for prefix in level:
-            more = [i for i in range(prefix[-1] + 1, len(items)) if items[i][0] != items[prefix[-1]][0]
-                    and all((*prefix[:j], *prefix[j + 1:], i) in known for j in range(len(prefix)))]
-            if more:
-                wanted.append((prefix, more))
+        wanted = _candidates(level)
         if not wanted:
             break
-        counted = _count_extensions(table, features, items, wanted)
-        more_found = {s: n for s, n in counted.items() if n >= min_count}
-        found |= more_found
-        level = sorted(more_found)
-    rows = [([items[i][1] for i in s], n) for s, n in found.items()]
+        sets = sorted({tuple(i for i, _ in c) for c in wanted})
+        number = {s: n for n, s in enumerate(sets)}
+        asked = spark.createDataFrame([(number[tuple(i for i, _ in c)], sum(code << shifts[i] for i, code in c)) for c in wanted], "n int, v bigint")
+        hits = cells(sets).join(F.broadcast(asked) if len(wanted) <= BROADCAST_CANDIDATES else asked, ["n", "v"])
+        more = frequent(hits, sets)
+        found |= more
+        level = sorted(more)
+    rows = [([coded.names[features[i]][code - 1] for i, code in s], n) for s, n in found.items()]
     return materialize(spark.createDataFrame(rows, "items array<string>, freq bigint"), "itemsets")
 
 
+def _candidates(level: list[Itemset]) -> list[Itemset]:
+    """Itemsets one larger whose subsets of this size are all in ``level`` (sorted): two that differ in the last item are joined."""
+    known, out = set(level), []
+    for _, group in groupby(level, key=lambda s: s[:-1]):
+        for a, b in combinations(group, 2):
+            if a[-1][0] != b[-1][0]:
+                c = (*a, b[-1])
+                if all((*c[:j], *c[j + 1:]) in known for j in range(len(c) - 2)):
+                    out.append(c)
+    return out
+
+
 # --------------------------------------------------------------------------- CUBE miner
 def _subsets(arr: Column, proper: bool) -> Column:
     """All non-empty subsets of a sorted array (proper ones only if asked).
@@ -245,22 +284,27 @@ def rule_rows(rules: DataFrame) -> DataFrame:
     )
 
 
-def mine(tx_items: DataFrame, min_support: float, min_confidence: float, *, miner: str = "weighted",
-         num_partitions: int | None = None, after_fit=None) -> tuple[DataFrame, DataFrame]:
+def mine(tx_items: DataFrame, min_support: float, min_confidence: float, *, miner: str = "packed",
+         num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Frequent itemsets and all rules from an item table (ten item columns).
 
     ``tx_items`` has one nullable string column per feature (``ITEM_ORDER``).
     """
     features = list(dz.ITEM_ORDER)
-    if miner == "weighted":
-        itemsets = weighted_itemsets(tx_items, features, min_support, num_partitions, after_fit)
-        return itemsets, materialize(rules_from_itemsets(itemsets, min_confidence), "rules")
-    if miner == "fpgrowth":
+    if miner == "packed":
+        coded, n_tx = code_items(tx_items, features, min_support)
+        itemsets = packed_itemsets(coded, min_support, n_tx)
+    elif miner == "fpgrowth":
         tx = tx_items.select(F.array_compact(F.array(*features)).alias("items"))
-        return fpgrowth(tx, min_support, min_confidence, num_partitions, after_fit)
-    if miner == "cube":
-        itemsets = cube_itemsets(tx_items, features, min_support)
-        itemsets = materialize(itemsets, "itemsets")
-        return itemsets, materialize(rules_from_itemsets(itemsets, min_confidence), "rules")
-    raise ValueError(f"unknown miner {miner!r}")
+        return fpgrowth(tx, min_support, min_confidence, num_partitions)
+    elif miner == "cube":
+        itemsets = materialize(cube_itemsets(tx_items, features, min_support), "itemsets")
+    else:
+        raise ValueError(f"unknown miner {miner!r}")
+    return itemsets, materialize(rules_from_itemsets(itemsets, min_confidence), "rules")
 
+
+def mine_coded(coded: CodedItems, min_support: float, min_confidence: float, n_tx: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Frequent itemsets and all rules from coded transactions."""
+    itemsets = packed_itemsets(coded, min_support, n_tx)
+    return itemsets, materialize(rules_from_itemsets(itemsets, min_confidence), "rules")

@@ -48,8 +48,8 @@ def _mined(spark: SparkSession, sf_dir: str) -> rs.RuleResult:
 
 def _bins(spark: SparkSession, sf_dir: str, excluded: frozenset = frozenset()) -> dict:
     """Exact bins of the app."""
-    samples = prep.flatten_rates(prep.filter_app(fx.sample_rates(spark, sf_dir), APP))
-    return feat.compute_bins(samples, excluded, exact=True)
+    stored = feat.store_samples(prep.flatten_rates(prep.filter_app(fx.sample_rates(spark, sf_dir), APP)), excluded)
+    return feat.compute_bins(stored.samples, excluded, exact=True, ends=stored.ends)
 
 
 def _app_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,8 +211,9 @@ def q_feature_min_max(spark, sf_dir):
 
 
 def _items_with_id(spark, sf_dir, excluded=frozenset()):
-    bins = _bins(spark, sf_dir, excluded)
-    return feat.item_table(_app_samples(spark, sf_dir), bins, excluded, keep=("reading_id",))
+    stored = feat.store_samples(_app_samples(spark, sf_dir), excluded)
+    bins = feat.compute_bins(stored.samples, excluded, exact=True, ends=stored.ends)
+    return feat.item_table(stored.samples, bins, excluded, keep=("reading_id",))
 
 
 def _tx_rows(items: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ Everything except the bounds stays distributed and lazy.
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field
 from typing import Sequence
@@ -71,33 +72,30 @@ def validate(app: str, min_support: float | None, min_confidence: float | None)
 
 def mine_samples(samples: DataFrame, app: str, min_support: float | None = None,
                  min_confidence: float | None = None, excluded: str | Sequence[str] | None = None, *,
-                 exact: bool = False, miner: str = "weighted", num_partitions: int | None = None,
-                 accuracy: int = feat.DEFAULT_ACCURACY, persist: bool = True) -> RuleResult:
+                 exact: bool = False, miner: str = "packed", num_partitions: int | None = None,
+                 accuracy: int = feat.DEFAULT_ACCURACY) -> RuleResult:
     """Mine flat samples (already restricted to one app).
 
-    With ``persist`` the app's flat samples (ten columns) are kept
-    (memory, spilling to disk) for the bins pass and the miner's passes, and
-    released as soon as the miner has cached its transactions.
+    One job computes the app's flat samples (ten columns) and stores them; bins and miner read the stored ones.
     """
     s, c = validate(app, min_support, min_confidence)
     ex = dz.parse_excluded(excluded)
-    kept = feat.persist_for_reuse(samples) if persist else samples
-    try:
-        bins = feat.compute_bins(kept, ex, exact=exact, accuracy=accuracy)
-        items = feat.item_table(kept, bins, ex)
-        t0 = time.perf_counter()
-        release = kept.unpersist if persist else None  # once the miner holds its transactions
-        itemsets, rules = mining.mine(items, s, c, miner=miner, num_partitions=num_partitions, after_fit=release)
-        fp_ms = int((time.perf_counter() - t0) * 1000)
-    finally:
-        if persist:
-            kept.unpersist()
-    return RuleResult(app, s, c, bins, samples, feat.item_table(samples, bins, ex), itemsets, rules, ex, fp_ms)
+    stored = feat.store_samples(samples, ex)
+    bins = feat.compute_bins(stored.samples, ex, exact=exact, accuracy=accuracy, ends=stored.ends)
+    items = feat.item_table(stored.samples, bins, ex)
+    t0 = time.perf_counter()
+    if miner == "packed":
+        coded = feat.coded_items(stored, bins, ex, max(1, math.ceil(s * stored.n_rows)))
+        itemsets, rules = mining.mine_coded(coded, s, c, stored.n_rows)
+    else:
+        itemsets, rules = mining.mine(items, s, c, miner=miner, num_partitions=num_partitions)
+    fp_ms = int((time.perf_counter() - t0) * 1000)
+    return RuleResult(app, s, c, bins, stored.samples, items, itemsets, rules, ex, fp_ms)
 
 
 def mine_rules(rates: DataFrame, app: str, min_support: float | None = None,
                min_confidence: float | None = None, excluded: str | Sequence[str] | None = None, *,
-               exact: bool = False, miner: str = "weighted", num_partitions: int | None = None,
+               exact: bool = False, miner: str = "packed", num_partitions: int | None = None,
                accuracy: int = feat.DEFAULT_ACCURACY) -> RuleResult:
     """Rule search over nested rate records for one app."""
     samples = prepare.flatten_rates(prepare.filter_app(rates, app))

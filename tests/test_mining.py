@@ -79,7 +79,7 @@ def test_cube_equals_fpgrowth_and_brute_counts(spark, rows):
     items = spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols))
     a, _ = mining.mine(items, 0.2, 0.1, miner="fpgrowth", num_partitions=2)
     b, _ = mining.mine(items, 0.2, 0.1, miner="cube")
-    c, _ = mining.mine(items, 0.2, 0.1, miner="weighted", num_partitions=3)
+    c, _ = mining.mine(items, 0.2, 0.1, miner="packed")
     assert sorted((tuple(sorted(r["items"])), r["freq"]) for r in c.collect()) == sorted(
         (tuple(sorted(r["items"])), r["freq"]) for r in b.collect())
     sa = {(tuple(sorted(r["items"])), r["freq"]) for r in a.collect()}
@@ -166,3 +166,47 @@ def test_excluded_features_leave_transactions(spark):
     items = {i for r in res.itemsets.collect() for i in r["items"]}
     assert not any(i.startswith(("cpu=", "temperature=")) for i in items)
     assert "cpu" not in res.bins and "temperature" not in res.bins
+
+
+def test_codes_stand_for_the_items_of_the_item_table(spark):
+    from drainrules.functions import discretize as dz
+    from drainrules.operators import features as feat
+    from drainrules.operators import prepare as prep
+
+    samples = prep.flatten_rates(prep.filter_app(fx.sample_rates(spark, SF001), "ECONOMY"))
+    odd = samples.limit(3).selectExpr("rate", "CAST('NaN' AS double) AS cpu", "CAST(null AS double) AS distance", "-1.0D AS temp", "CAST('NaN' AS double) AS voltage",
+                                      "-1.0D AS screen", "CAST(null AS string) AS mobileNetwork", "'null' AS network", "-100.0D AS wifiStrength", "wifiSpeed")
+    for excluded in (frozenset(), frozenset({"voltage", "netType"})):
+        stored = feat.store_samples(samples.unionByName(odd), excluded)
+        bins = feat.compute_bins(stored.samples, excluded, ends=stored.ends)
+        coded = feat.coded_items(stored, bins, excluded, 1)
+        names = F.create_map(*[x for f, items in coded.names.items() for i, item in enumerate(items, 1) for x in (F.lit(f"{f} {i}"), F.lit(item))])
+        back = coded.codes.select(*[names[F.concat(F.lit(f"{f} "), F.col(f))].alias(f) for f in dz.ITEM_ORDER])
+        count = lambda df: sorted((tuple(map(str, r)) for r in df.collect()))
+        assert count(back) == count(feat.item_table(stored.samples, bins, excluded))
+
+
+def test_many_text_items_and_infrequent_ones(spark):
+    rows = [("rate=q1", f"netType=n{i % 100}", f"mobileNetType=m{i}" if i % 2 else None) for i in range(400)]
+    cols = {"rate": 0, "netType": 1, "mobileNetType": 2}
+    from drainrules.functions import discretize as dz
+
+    data = [tuple(r[cols[f]] if f in cols else None for f in dz.ITEM_ORDER) for r in rows]
+    items = spark.createDataFrame(data, ", ".join(f"{c} string" for c in dz.ITEM_ORDER))
+    packed, _ = mining.mine(items, 0.01, 0.1)
+    found = {tuple(sorted(r["items"])): r["freq"] for r in packed.collect()}
+    assert found[("rate=q1",)] == 400 and found[("netType=n7", "rate=q1")] == 4 and len(found) == 1 + 100 + 100
+    import pytest
+
+    wide = mining.CodedItems(items.selectExpr(*[f"0 AS {f}" for f in dz.ITEM_ORDER]), {f: ["x"] * 100 for f in dz.ITEM_ORDER})
+    with pytest.raises(ValueError):
+        mining.packed_itemsets(wide, 0.01, 1)
+
+
+def test_itemsets_of_all_sizes(spark):
+    """All ten features always together: sizes beyond those of the first aggregate."""
+    from drainrules.functions import discretize as dz
+
+    data = [tuple(f"{f}=a" for f in dz.ITEM_ORDER)] * 8 + [tuple(f"{f}=b" if f == "cpu" else None for f in dz.ITEM_ORDER)] * 2
+    packed, _ = mining.mine(spark.createDataFrame(data, ", ".join(f"{c} string" for c in dz.ITEM_ORDER)), 0.5, 0.99)
+    assert packed.count() == 1023 and packed.where("freq <> 8").count() == 0
