@@ -43,7 +43,7 @@ TOP = 2000
 VOCABULARY = 1 << 17  # words with an id; an id has WORD_BITS bits
 WORD_BITS = 17
 MAX_WORD_BYTES = 256
-TRIE_PHRASES = 200_000
+TRIE_PHRASES = 1 << 16
 SAMPLE_WORDS = 4_000_000  # ids from which the likeliest phrases are taken
 BITMAP_SIZE = 16_777_213  # a prime; bits of a bitmap
 PAIR_HASH = (40_503_001, 2_654_435)
@@ -164,7 +164,7 @@ class DoubleArrayTrie:
         self.base = np.zeros(max(1, n_words), dtype=np.int32)
         self.check = np.full(n_words + max(1, n_words), -1, dtype=np.int32)
         self._end = n_words
-        self._free = n_words
+        self._tried: dict[int, int] = {}  # by size of family (power of two): where the last one was put
         states = phrases[:, 0].astype(np.int64) if len(phrases) else np.zeros(0, dtype=np.int64)
         for level in range(1, self.k):
             if len(phrases):
@@ -214,10 +214,14 @@ class DoubleArrayTrie:
         self.base[parents] = bases
 
     def _fit(self, symbols: np.ndarray) -> int:
-        """The first base (0 or more) at which all children fall on free places."""
-        while self._free < self._end and self.check[self._free] >= 0:
-            self._free += 1
-        at, step = self._free, max(16, (1 << 17) // len(symbols))
+        """A base (0 or more) at which all children fall on free places, behind the last family of about this size."""
+        kind = len(symbols).bit_length()
+        base = self._search(symbols, self._tried.get(kind, self.n_words))
+        self._tried[kind] = base + int(symbols[0])
+        return base
+
+    def _search(self, symbols: np.ndarray, at: int) -> int:
+        step = max(16, (1 << 10) // len(symbols))
         while at < self._end:
             places = np.flatnonzero(self.check[at : min(at + 4 * step, self._end)] < 0)[:step] + at
             if len(places):
