@@ -49,7 +49,7 @@ def rates_from_pairs(pairs: DataFrame, registrations: DataFrame | None = None, *
         F.array_union(F.coalesce(F.col("prev.apps"), F.array().cast("array<string>")),
                       F.coalesce(F.col("cur.apps"), F.array().cast("array<string>"))).alias("all_apps"),
         F.struct(F.col("prev"), F.col("cur")).alias("sp"),
-        F.col("cur.uuid").alias("__uuid"),
+        F.col("uuid").alias("__uuid"),
         F.col("cur.time").alias("__time"),
         F.col("cur.reading_id").alias("__rid"),
     )

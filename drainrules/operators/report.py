@@ -1,8 +1,7 @@
 """Reporting of mined rules: envelope JSON, rate-bin tabs, readable items.
 
 The bins table has at most 7 features x 6 bounds, so it is broadcast with
-a proven size bound; rules are bounded by ``10 * 1024 / min_support``
-(see ``operators.mining``), so one JSON document of them is bounded too.
+a proven size bound.  The JSON document of all rules is written in parts.
 """
 
 from __future__ import annotations
@@ -75,29 +74,30 @@ def rate_bin_labels(bins: DataFrame) -> DataFrame:
 
 
 def rules_document(spark: SparkSession, app: str, min_support: float, min_confidence: float,
-                   bins: dict[str, list[float]], ordered_rules: DataFrame,
+                   bins: dict[str, list[float]], rules: DataFrame,
                    fp_growth_ms: int = 0, execution_ms: int = 0) -> DataFrame:
-    """One-row DataFrame with the JSON envelope in column ``json``.
+    """The JSON envelope as ordered text lines (column ``line``): a head, one rule per line, a foot.
 
-    Rules keep their order through ``sort_array`` on (-confidence, keys).
+    One range-partitioned sort puts them in order, so no task holds all rules; written as text, the
+    part files in order of their names are one JSON document.  All rules but the first begin with a comma; the first
+    is found as the least by the same order.
     """
-    keyed = ordered_rules.select(F.struct(
-        (-F.col("confidence")).alias("k0"),
-        mining.itemset_key(F.col("antecedent")).alias("k1"),
-        mining.itemset_key(F.col("consequent")).alias("k2"),
-        F.struct(F.col("antecedent").alias("antecedents"), F.col("consequent").alias("consequents"),
-                 F.col("confidence").alias("confidence")).alias("rule")).alias("r"))
-    rules_arr = keyed.agg(F.sort_array(F.collect_list("r")).alias("rs")).select(
-        F.transform("rs", lambda r: r.getField("rule")).alias("rules"))
+    order = [F.desc("confidence"), mining.itemset_key(F.col("antecedent")), mining.itemset_key(F.col("consequent"))]
+    lead = rules.orderBy(*order).limit(1).select("antecedent", "consequent", F.lit(True).alias("leads"))
     bins_map = F.create_map(*[x for k, v in bins.items() for x in (F.lit(k), F.array(*[F.lit(float(b)) for b in v]))]) \
         if bins else F.create_map().cast("map<string,array<double>>")
-    doc = rules_arr.select(F.struct(
+    envelope = F.to_json(F.struct(
         F.lit(app).alias("applicationName"),
         F.lit(float(min_support)).alias("minSupport"),
         F.lit(float(min_confidence)).alias("minConfidence"),
         F.lit(int(fp_growth_ms)).cast("long").alias("FPGrowthRunTime"),
         F.lit(int(execution_ms)).cast("long").alias("executionTime"),
-        bins_map.alias("bins"),
-        F.col("rules"),
-    ).alias("doc"))
-    return doc.select(F.to_json("doc").alias("json"))
+        bins_map.alias("bins")))
+    none = F.array().cast("array<string>")
+    ends = spark.range(2).select(
+        F.when(F.col("id") == 0, F.lit(0)).otherwise(F.lit(2)).alias("place"), F.lit(0.0).alias("confidence"), none.alias("antecedent"), none.alias("consequent"),
+        F.when(F.col("id") == 0, F.regexp_replace(envelope, r"\}$", F.lit(',"rules":['))).otherwise(F.lit("]}")).alias("line"))
+    rule = F.to_json(F.struct(F.col("antecedent").alias("antecedents"), F.col("consequent").alias("consequents"), "confidence"))
+    body = rules.join(F.broadcast(lead), ["antecedent", "consequent"], "left").select(
+        F.lit(1).alias("place"), "confidence", "antecedent", "consequent", F.when(F.col("leads"), rule).otherwise(F.concat(F.lit(","), rule)).alias("line"))
+    return ends.unionByName(body).orderBy("place", *order).select("line")

@@ -125,6 +125,17 @@ def q_tsv_roundtrip(spark, sf_dir):
     return io.read_samples_csv(spark, path, sep="\t", header=True)
 
 
+def q_csv_odd_roundtrip(spark, sf_dir):
+    """Padded, empty, quoted and null text values through the comma form."""
+    s = fx.device_samples(spark, sf_dir)
+    kind = F.col("line_no") % 4
+    odd = s.withColumn("mobileNetwork", F.when(kind == 0, F.concat(F.lit(" "), "mobileNetwork", F.lit(" "))).when(kind == 1, F.lit(""))
+                       .when(kind == 2, F.concat(F.lit('"'), "mobileNetwork")).otherwise(F.lit(None)))
+    path = scratch_path(spark, "samples-odd-csv")
+    io.write_samples_csv(odd, path)
+    return io.read_samples_csv(spark, path)
+
+
 def _app_counts(spark, sf_dir):
     return ap.app_usage_counts(_event_rates(spark, sf_dir, with_regs=False))
 
@@ -141,11 +152,21 @@ def q_app_counts_tsv_roundtrip(spark, sf_dir):
     return io.read_app_counts_tsv(spark, path).select("app", "n")
 
 
+def q_app_counts_odd_names_roundtrip(spark, sf_dir):
+    """Quoted, padded and empty names as plain lines, then as one JSON object that several tasks read."""
+    kind = F.col("n") % 3
+    odd = _app_counts(spark, sf_dir).withColumn("app", F.when(kind == 0, F.concat(F.lit(' "'), "app", F.lit('\\ '))).when(kind == 1, F.concat("app", F.lit(', "x":1,'))).otherwise(F.col("app")))
+    path = scratch_path(spark, "app-counts-odd-tsv")
+    io.write_app_counts_tsv(odd, path)
+    plain = io.read_app_counts_tsv(spark, path)
+    path = scratch_path(spark, "app-counts-odd-json")
+    io.write_app_counts_json(plain.coalesce(1), path)
+    return io.read_app_counts_json(spark, path, whole_files=True).select("app", "n")
+
+
 def q_rules_json(spark, sf_dir):
-    m = _mined(spark, sf_dir)
-    doc = m.document()
     path = scratch_path(spark, "rules-json")
-    io.write_rules_json(doc, path)
+    io.write_rules_json(_mined(spark, sf_dir).document(), path)
     back = io.read_rules_json(spark, path)
     return back.select(
         "applicationName", "minSupport", "minConfidence",
@@ -242,7 +263,25 @@ def q_pair_samples(spark, sf_dir):
 
 
 def q_pairs_to_rates(spark, sf_dir):
-    r = _event_rates(spark, sf_dir, with_regs=True)
+    return _rate_rows(_event_rates(spark, sf_dir, with_regs=True))
+
+
+def _stored_by_device(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return (batch.store_readings(fx.device_readings(spark, sf_dir), scratch_path(spark, "readings-by-device")),
+            batch.store_registrations(fx.registrations(spark, sf_dir), scratch_path(spark, "registrations-by-device")))
+
+
+def q_pair_samples_stored(spark, sf_dir):
+    readings, _ = _stored_by_device(spark, sf_dir)
+    return _pair_rows(prep.pair_readings(prep.filter_android(readings)))
+
+
+def q_pairs_to_rates_stored(spark, sf_dir):
+    r = batch.build_rates_by_device(*_stored_by_device(spark, sf_dir))
+    return _rate_rows(r)
+
+
+def _rate_rows(r: DataFrame) -> DataFrame:
     return r.select(F.col("sp.cur.uuid").alias("uuid"), F.col("sp.cur.reading_id").alias("cur_id"), "rate",
                     _apps_str(F.col("all_apps")).alias("apps"),
                     F.col("registration.reg_time").alias("reg_time"), F.col("registration.os").alias("os"))
@@ -305,6 +344,13 @@ def q_rate_bin_labels(spark, sf_dir):
     return report.rate_bin_labels(feat.bins_table(spark, _mined(spark, sf_dir).bins))
 
 
+def q_stored_rules(spark, sf_dir):
+    """Pruned rules from rates stored by app: the search reads the app's row groups."""
+    path = scratch_path(spark, "rates-by-app")
+    io.write_rates_by_app(fx.sample_rates(spark, sf_dir), path)
+    return _rules_out(rs.mine_stored_rules(spark, path, APP, MIN_SUPPORT, MIN_CONFIDENCE, exact=True).pruned)
+
+
 def q_search_from_readings(spark, sf_dir):
     """The whole chain: readings, pairs, rates with registrations, rules of one app."""
     rates = _event_rates(spark, sf_dir, with_regs=True)
@@ -339,9 +385,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_pairs": q_scan_pairs,
     "scan_registrations": q_scan_registrations,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_odd_roundtrip": q_csv_odd_roundtrip,
     "tsv_roundtrip": q_tsv_roundtrip,
     "app_counts_json_roundtrip": q_app_counts_json_roundtrip,
     "app_counts_tsv_roundtrip": q_app_counts_tsv_roundtrip,
+    "app_counts_odd_names_roundtrip": q_app_counts_odd_names_roundtrip,
     "rules_json": q_rules_json,
     "flatten_rate": q_flatten_rate,
     "feature_bins": q_feature_bins,
@@ -354,13 +402,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_android": q_filter_android,
     "filter_recent_rates": q_filter_recent_rates,
     "pair_samples": q_pair_samples,
+    "pair_samples_stored": q_pair_samples_stored,
     "pairs_to_rates": q_pairs_to_rates,
+    "pairs_to_rates_stored": q_pairs_to_rates_stored,
     "asof_registration": q_asof_registration,
     "search_from_readings": q_search_from_readings,
     "frequent_itemsets": q_frequent_itemsets,
     "association_rules": q_association_rules,
     "rate_rules": q_rate_rules,
     "pruned_rules": q_pruned_rules,
+    "stored_rules": q_stored_rules,
     "sorted_rules": q_sorted_rules,
     "rule_groups": q_rule_groups,
     "rule_counts": q_rule_counts,

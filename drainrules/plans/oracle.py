@@ -261,9 +261,14 @@ def build() -> dict[str, str]:
     q["scan_pairs"] = q["pair_samples"]
     q["csv_roundtrip"] = f"SELECT {SAMPLE} FROM ({DEVICE_SAMPLES}) s"
     q["tsv_roundtrip"] = q["csv_roundtrip"]
+    q["csv_odd_roundtrip"] = ("SELECT rate, cpu, distance, temp, voltage, screen, CASE line_no % 4 WHEN 0 THEN ' ' || mobileNetwork || ' ' WHEN 1 THEN '' "
+                              f"WHEN 2 THEN chr(34) || mobileNetwork ELSE 'null' END AS mobileNetwork, network, wifiStrength, wifiSpeed FROM ({DEVICE_SAMPLES}) s")
     q["app_usage_counts"] = f"SELECT app, n FROM ({APP_COUNTS}) c"
     q["app_counts_json_roundtrip"] = q["app_usage_counts"]
     q["app_counts_tsv_roundtrip"] = q["app_usage_counts"]
+    q["app_counts_odd_names_roundtrip"] = (
+        "SELECT CASE n % 3 WHEN 0 THEN ' ' || chr(34) || app || chr(92) || ' ' WHEN 1 THEN app || ', ' || chr(34) || 'x' || chr(34) || ':1,' "
+        f"ELSE app END AS app, n FROM ({APP_COUNTS}) c")
     q["popular_apps"] = f"SELECT app, n FROM ({APP_COUNTS}) c WHERE n > 1000"
     q["top_apps"] = (f"SELECT app, n, CAST(row_number() OVER (ORDER BY n DESC, app) AS BIGINT) AS rank "
                      f"FROM ({APP_COUNTS}) c WHERE n > 1000 ORDER BY n DESC, app LIMIT 100")
@@ -282,6 +287,7 @@ cand AS (SELECT r.cur_id, g.reg_time, g.os,
          FROM r JOIN g ON g.uuid = r.uuid AND g.reg_time <= r.cur_time)
 SELECT r.uuid, r.cur_id, r.rate, array_to_string(list_sort(r.app_list), ',') AS apps, c.reg_time, c.os
 FROM r LEFT JOIN cand c ON c.cur_id = r.cur_id AND c.k = 1"""
+    q["pair_samples_stored"], q["pairs_to_rates_stored"] = q["pair_samples"], q["pairs_to_rates"]
     q["asof_registration"] = f"""
 WITH e AS (SELECT reading_id AS event_id, uuid, time FROM ({READINGS}) r WHERE event_type <> 'signup'),
 g AS ({REGISTRATIONS}),
@@ -314,6 +320,7 @@ SELECT e.event_id, e.uuid, e.time, c.reg_time, c.os FROM e LEFT JOIN cand c ON c
     q["association_rules"] = _with(m, _rule_out("rules"))
     q["rate_rules"] = _with(m, _rule_out("rr"))
     q["pruned_rules"] = _with(m, _rule_out("pr"))
+    q["stored_rules"] = q["pruned_rules"]
     q["sorted_rules"] = _with(m, _rule_out(
         "pr", ", CAST(row_number() OVER (ORDER BY confidence DESC, array_to_string(antecedent, ';'), consequent) AS BIGINT) AS rank"))
     q["rule_groups"] = _with(m, "SELECT consequent, confidence, CAST(count(*) AS BIGINT) AS n_rules FROM rr "

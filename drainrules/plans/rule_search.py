@@ -14,13 +14,14 @@ import time
 from dataclasses import dataclass, field
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drainrules.functions import discretize as dz
 from drainrules.operators import features as feat
 from drainrules.operators import mining
 from drainrules.operators import prepare
+from drainrules.sources import io
 
 # --- fixed values: defaults of the search service ---------------------------
 DEFAULT_MIN_SUPPORT = 0.01
@@ -41,11 +42,11 @@ class RuleResult:
     fp_growth_ms: int = 0       # wall time of mining (itemsets + rules), as in the envelope
 
     def document(self, execution_ms: int = 0) -> DataFrame:
-        """The JSON envelope (one row, column ``json``) of the ordered rules."""
+        """The JSON document of the ordered rules as ordered text lines (column ``line``)."""
         from drainrules.operators import report
         spark = self.rules.sparkSession
         return report.rules_document(spark, self.app, self.min_support, self.min_confidence, self.bins,
-                                     self.ordered, self.fp_growth_ms, execution_ms)
+                                     self.pruned, self.fp_growth_ms, execution_ms)
 
     @property
     def rate_rules(self) -> DataFrame:
@@ -101,3 +102,10 @@ def mine_rules(rates: DataFrame, app: str, min_support: float | None = None,
     samples = prepare.flatten_rates(prepare.filter_app(rates, app))
     return mine_samples(samples, app, min_support, min_confidence, excluded, exact=exact, miner=miner,
                         num_partitions=num_partitions, accuracy=accuracy)
+
+
+def mine_stored_rules(spark: SparkSession, rates_path: str, app: str, min_support: float | None = None,
+                      min_confidence: float | None = None, excluded: str | Sequence[str] | None = None, **options) -> RuleResult:
+    """Rule search over stored rates; of rates stored by app only the app's row groups are read."""
+    samples = prepare.flatten_rates(io.read_rates_for(spark, rates_path, app))
+    return mine_samples(samples, app, min_support, min_confidence, excluded, **options)

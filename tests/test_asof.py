@@ -76,14 +76,65 @@ def test_recent_filter_rejects_nan_and_negative(spark):
     assert prep.unix_seconds("2016-06-22") == 1466553600.0
 
 
-def test_auto_width_splits_a_burst(spark):
-    from drainrules.operators.asof import auto_bucket_width
-    rows = [("hot", float(i) / 1000.0) for i in range(5000)] + [("cold", 5.0)]
-    df = spark.createDataFrame(rows, "uuid string, time double")
-    w = auto_bucket_width(df, "uuid", "time", base_width=100.0, target_rows=300)
-    assert w < 100.0
-    dense = df.groupBy("uuid", (df.time / w).cast("long")).count().agg({"count": "max"}).collect()[0][0]
-    assert dense <= 600
+def _hot_rows(n=900):
+    random.seed(9)
+    rows = [(i, "hot", random.choice([float(i), 100.0 + i / 1000.0, 50.0]), 1.0) for i in range(n)]  # a burst, and many at one time
+    rows += [(n + i, f"d{i % 40}", float(random.randint(0, 60)), 2.0) for i in range(300)]
+    rows += [(5000 + i, "warm", float(i), 2.0) for i in range(150)]
+    return rows
+
+
+@pytest.mark.parametrize("slice_rows", [7, 40, 100, 10_000])
+def test_hot_devices_are_cut_at_their_own_times(spark, slice_rows):
+    from drainrules.operators.asof import asof_join, previous_row, split_points
+
+    rows = _hot_rows()
+    df = spark.createDataFrame(rows, "reading_id long, uuid string, time double, battery_level double").repartition(5)
+    cut = split_points([(df, "uuid", "time")], slice_rows)
+    counts = {u: sum(r[1] == u for r in rows) for u in {r[1] for r in rows}}
+    hot = {u for u, n in counts.items() if n > slice_rows}
+    assert {r["__k"] for r in cut.collect()} == hot if hot else cut is None
+    paired = previous_row(df, "uuid", "time", [F.col("time"), F.col("reading_id")], bucket_width="auto", slice_rows=slice_rows)
+    got = {(r["uuid"], r["prev"]["reading_id"], r["reading_id"]) for r in paired.collect() if r["prev"] and r["time"] > r["prev"]["time"]}
+    assert got == _brute_pairs(rows)
+    regs = [(random.choice(["hot", "warm", "d1", "none"]), random.uniform(0, 900), str(i)) for i in range(200)]
+    rdf = spark.createDataFrame(regs, "u string, reg_time double, os string")
+    out = asof_join(df, rdf, "uuid", "time", "reg_time", [F.col("time"), F.lit(1), F.col("reading_id").cast("string")],
+                    [F.col("reg_time"), F.lit(0), F.col("os")], bucket_width="auto", right_key="u", slice_rows=slice_rows)
+    found = {r["reading_id"]: r["match"]["os"] if r["match"] else None for r in out.collect()}
+    assert len(found) == len(rows)
+    for rid, u, t, _ in rows:
+        before = [(g[1], g[2]) for g in regs if g[0] == u and g[1] <= t]
+        assert found[rid] == (max(before)[1] if before else None)
+
+
+def test_a_burst_leaves_cold_devices_in_one_slice(spark):
+    from drainrules.operators.asof import _sliced, split_points
+
+    calm = [(f"d{i % 40}", float(i)) for i in range(400)]
+    burst = [("hot", 100.0 + i * 1e-6) for i in range(2000)]
+    df = spark.createDataFrame(calm + burst, "uuid string, time double")
+    cut = split_points([(df, "uuid", "time")], 100)
+    sliced = _sliced(df.selectExpr("uuid AS __k", "time AS __t"), cut)
+    per = {(r["__k"], r["__b"]): r["count"] for r in sliced.groupBy("__k", "__b").count().collect()}
+    assert {k: n for k, n in per.items() if k[0] != "hot"} == {(f"d{i}", 0): 10 for i in range(40)}
+    slices = [n for (k, _), n in per.items() if k == "hot"]
+    assert len(slices) >= 20 and max(slices) <= 150
+    assert not sliced.where("__hot and __k <> 'hot'").count()
+
+
+def test_one_shared_time_is_said(spark, caplog):
+    from drainrules.operators.asof import split_points
+
+    same = spark.createDataFrame([("hot", 5.0)] * 50, "uuid string, time double")
+    assert split_points([(same, "uuid", "time")], 20).collect()[0]["__at"] == [5.0]
+    assert "share one" in caplog.text
+
+
+def test_no_hot_device_means_one_shuffle(spark):
+    readings = prep.filter_android(fx.device_readings(spark, SF001))
+    plan = prep.pair_readings(readings)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
 NAN = float("nan")
@@ -105,17 +156,6 @@ def test_times_without_order_match_nothing(spark, width):
     assert pairs == {(9, 1), (1, 3), (3, 5)}
 
 
-def test_auto_width_measures_until_the_target_holds(spark, caplog):
-    from drainrules.operators.asof import auto_bucket_width
-    rows = [("hot", 1e-9 * i) for i in range(400)] + [("hot", float(i)) for i in range(100)]
-    df = spark.createDataFrame(rows, "uuid string, time double")
-    w = auto_bucket_width(df, "uuid", "time", base_width=1e6, target_rows=20)
-    assert df.groupBy("uuid", F.floor(df.time / w)).count().agg({"count": "max"}).first()[0] <= 20
-    same = spark.createDataFrame([("hot", 5.0)] * 50, "uuid string, time double")
-    auto_bucket_width(same, "uuid", "time", base_width=10.0, target_rows=20)
-    assert "share one" in caplog.text
-
-
 def test_plan_has_one_wide_shuffle_and_no_sort_aggregate(spark):
     out = prep.asof_registration(fx.device_readings(spark, SF001).select("reading_id", "uuid", "time"), fx.registrations(spark, SF001),
                                  "uuid", "time", "reading_id", bucket_width=100.0)

@@ -126,7 +126,7 @@ def test_rules_document_envelope(spark):
 
     rates = fx.sample_rates(spark, SF001)
     res = rs.mine_rules(rates, "ECONOMY", 0.01, 0.3, exact=True)
-    doc = json.loads(res.document(execution_ms=5).collect()[0]["json"])
+    doc = json.loads("\n".join(r["line"] for r in res.document(execution_ms=5).collect()))
     assert list(doc) == ["applicationName", "minSupport", "minConfidence", "FPGrowthRunTime", "executionTime",
                          "bins", "rules"]
     assert doc["applicationName"] == "ECONOMY" and doc["executionTime"] == 5 and doc["FPGrowthRunTime"] > 0
