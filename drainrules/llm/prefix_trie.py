@@ -43,7 +43,7 @@ from drainrules.session import materialize, scratch_path
 PRIME = (1 << 127) - 1
 BASE = 0x3F5A1C77E2B94D0683CA5512F09E7D4B  # any fixed number below the prime
 QUEUE_ROWS = 200_000  # messages a queue holds in memory
-LEAST_UNIT = 4096  # units are not cut finer than this many turns
+LEAST_UNIT = 256  # units are not cut finer than this many turns
 UNITS_PER_TASK = 4
 BROADCAST_NODES = 50_000  # heavy nodes are broadcast up to this many
 END_IDS = 8192  # conversation ids in a piece of a node's list of ends
