@@ -14,7 +14,8 @@ and 3 words are counted per language, all contiguous occurrences inside pieces.
   bounded whatever the number of candidates.  The frequent parts of level 2 are known to level 3 by a bitmap of fixed
   size, whose false hits only let more phrases be counted.
 * **Words beyond the vocabulary** (frequent, but not among the ``VOCABULARY`` most frequent, or over ``MAX_WORD_BYTES`` long): phrases that
-  hold one are counted as text by a shuffle, filtered by a bitmap of these words.
+  hold one are counted as text by a shuffle, level by level too: pairs found around such words (a bitmap says which
+  words may be frequent), then those triples whose two pairs are frequent (by a bitmap of all frequent pairs).
 
 Scores are exact: Python integers.  A candidate's words inside a longer candidate of half its count or more drop it.  The first ``TOP`` of each
 language are found per part of the language first, so no task sorts all its phrases.
@@ -40,8 +41,8 @@ from drainrules.session import materialize
 MIN_COUNT = 10
 DROP_PERCENT = 50
 TOP = 2000
-VOCABULARY = 1 << 17  # words with an id; an id has WORD_BITS bits
-WORD_BITS = 17
+VOCABULARY = 1 << 18  # words with an id; an id has WORD_BITS bits
+WORD_BITS = 18
 MAX_WORD_BYTES = 256
 TRIE_PHRASES = 1 << 16
 SAMPLE_WORDS = 4_000_000  # ids from which the likeliest phrases are taken
@@ -328,43 +329,59 @@ def _as_text(counts: DataFrame, k: int, words: list[tuple[str, bytes]]) -> DataF
     return map_arrow(counts.select("key", "f"), spell, "lang string, phrase string, k int, f long")
 
 
-def _cold_phrases(texts: DataFrame, words: list[tuple[str, bytes]], cold: DataFrame) -> DataFrame:
-    """``(lang, phrase, k, f)`` of phrases with a frequent word outside the vocabulary."""
-    hashes = cold.select((F.crc32("word") % F.lit(BITMAP_SIZE)).alias("h"))
-    shared = texts.sparkSession.sparkContext.broadcast((set(words), _collect_bitmap(hashes)))
+def _phrase_hash(lang, phrase):
+    """Place of a phrase's text in a bitmap, as Column and (``_text_hash``) in Python."""
+    return F.crc32(F.concat(F.encode(lang, "utf-8"), F.lit(b" "), phrase)) % F.lit(BITMAP_SIZE)
+
+
+def _text_hash(lang: bytes, phrase: bytes) -> int:
+    return zlib.crc32(lang + b" " + phrase) % BITMAP_SIZE
+
+
+def _cold_phrases(texts: DataFrame, words: list[tuple[str, bytes]], cold: np.ndarray, k: int, pairs: np.ndarray | None) -> DataFrame:
+    """``(lang, phrase, k, f)`` of the phrases of k words with a frequent word outside the vocabulary.
+
+    ``cold`` is the bitmap of these words, ``pairs`` (for k = 3) that of all frequent pairs.
+    """
+    known: dict[str, set] = {}
+    for lang, word in words:
+        known.setdefault(lang, set()).add(word)
+    shared = texts.sparkSession.sparkContext.broadcast((known, cold, pairs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = shared.value
-        held: Counter = Counter()
+        known, cold, pairs = shared.value
+        held: dict[str, Counter] = {}
+
+        def has(bits: np.ndarray, h: int) -> int:
+            return bits[h >> 3] >> (h & 7) & 1
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, b" ".join(ws).decode("utf-8"), len(ws), n) for (lang, ws), n in held.items()]
+            rows = [(lang, phrase, n) for lang, phrases in held.items() for phrase, n in phrases.items()]
             held.clear()
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "phrase", "k", "n"])
-
-        def kind(lang: str, word: bytes) -> int:
-            """0: rare or a break, 1: in the vocabulary, 2: frequent, perhaps, and not there."""
-            if (lang, word) in known:
-                return 1
-            h = zlib.crc32(word) % BITMAP_SIZE
-            return 2 if word != BREAK and bits[h >> 3] >> (h & 7) & 1 else 0
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "phrase", "n"])
 
         for batch in batches:
             for lang, text in _batch_rows(batch):
-                found = text_words(text)
-                kinds = [kind(lang, w) for w in found]
-                for k in (2, 3):
-                    for i in range(len(found) - k + 1):
-                        window = kinds[i : i + k]
-                        if 2 in window and 0 not in window:
-                            held[lang, tuple(found[i : i + k])] += 1
-                            if len(held) >= HELD // 4:
-                                yield flush()
+                name, hot, found = lang.encode("utf-8"), known.get(lang, ()), text_words(text)
+                rare: dict[int, bool] = {}  # by position, of the words outside the vocabulary
+                for i, w in enumerate(found):
+                    if w not in hot:
+                        rare[i] = w == BREAK or not has(cold, _text_hash(name, w))
+                at = sorted({j for i, no in rare.items() if not no for j in range(max(0, i - k + 1), min(i, len(found) - k) + 1)})
+                counter = held.setdefault(lang, Counter())
+                for j in at:
+                    if any(rare.get(j + d) for d in range(k)):
+                        continue
+                    if pairs is not None and not all(has(pairs, _text_hash(name, b" ".join(found[j + d : j + d + 2]))) for d in range(k - 1)):
+                        continue
+                    counter[b" ".join(found[j : j + k])] += 1
+            if sum(map(len, held.values())) >= HELD // 8:
+                yield flush()
         yield flush()
 
-    return map_arrow(texts, count, "lang string, phrase string, k int, n long").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f"))
+    counts = map_arrow(texts, count, "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return counts.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(k).alias("k"), "f")
 
 
 # ---------------------------------------------------------------- scores
@@ -410,12 +427,17 @@ def mine_collocations(
     a, b = F.shiftright("key", WORD_BITS), F.col("key").bitwiseAND(F.lit(mask))
     bitmap = _collect_bitmap(pairs.select(_pair_hash(a, b).alias("h")))
     triples = _level(encoded, n_ids, 3, len(words), bitmap, trie_phrases, sample_words).where(F.col("f") >= min_count)
-    phrases = _as_text(pairs, 2, words).unionByName(_as_text(triples, 3, words))
+    doubles = _as_text(pairs, 2, words)
+    triples = _as_text(triples, 3, words)
     if frequent.count() > len(words):
+        # The vocabulary is bounded (VOCABULARY words of MAX_WORD_BYTES bytes at most).
         known = spark.createDataFrame([(lang, bytearray(w)) for lang, w in words], "lang string, word binary")
         cold = frequent.join(F.broadcast(known), ["lang", "word"], "left_anti")
-        phrases = phrases.unionByName(_cold_phrases(texts, words, cold).where(F.col("f") >= min_count))
-    phrases = materialize(phrases, "collocation-phrases")
+        cold_bits = _collect_bitmap(cold.select(_phrase_hash(F.col("lang"), F.col("word")).alias("h")))
+        doubles = materialize(doubles.unionByName(_cold_phrases(texts, words, cold_bits, 2, None).where(F.col("f") >= min_count)), "collocation-doubles")
+        pair_bits = _collect_bitmap(doubles.select(_phrase_hash(F.col("lang"), F.encode("phrase", "utf-8")).alias("h")))
+        triples = triples.unionByName(_cold_phrases(texts, words, cold_bits, 3, pair_bits).where(F.col("f") >= min_count))
+    phrases = materialize(doubles.unionByName(triples), "collocation-phrases")
 
     candidates = phrases.withColumnRenamed("f", "a")
     counts = frequent.select("lang", F.col("word").cast("string").alias("phrase"), "f").unionByName(phrases.where("k = 2").select("lang", "phrase", "f"))
