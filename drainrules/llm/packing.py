@@ -126,8 +126,8 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, tokens in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1)), strict=True):
+                ids = tokens.tobytes() + end
                 block.append((doc_id, ids))
                 held += len(ids) // 4
                 if held >= block_tokens:

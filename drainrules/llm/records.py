@@ -83,7 +83,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         kind = "<u2" if max(enc.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype=kind).tobytes()
         task = TaskContext.get()
         part = task.partitionId()
         file = f"part-{part:05d}-{task.attemptNumber()}-{uuid.uuid4().hex}.rec"
@@ -96,14 +96,13 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
                     out = system.open_output_stream(f"{root}/data/{file}")
                 ids = batch.column(0).to_pylist()
                 rows: tuple[list, ...] = ([], [], [], [])
-                for text in batch.column(1).to_pylist():
-                    tokens = np.frombuffer(enc.encode(text) + end, dtype="<u4")
-                    data = frame(tokens.astype(kind).tobytes())
+                for tokens in enc.encode_many(batch.column(1)):
+                    data = frame(tokens.astype(kind).tobytes() + end)
                     out.write(data)
-                    for column, value in zip(rows, (position, len(data), start, len(tokens)), strict=True):
+                    for column, value in zip(rows, (position, len(data), start, len(tokens) + 1), strict=True):
                         column.append(value)
                     position += len(data)
-                    start += len(tokens)
+                    start += len(tokens) + 1
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([file] * n),

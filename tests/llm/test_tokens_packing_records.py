@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,7 +21,6 @@ SF001 = "/root/testdata/sf0.001"
 
 def whole(path, text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
@@ -30,7 +30,6 @@ def test_pieces_give_the_ids_of_whole_texts(path):
     parts = [" ", "  ", "\n", "\t", "a", "B", "é", "'s", "'", "1", "23", "#", " ", "\x1c", "\x85", "ß", "İ", "Σ", "é", "́", "漢", "🙂", "<|endoftext|>", "\r\n", "the", "　"]
     texts = ["", " ", "\n"] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(1500)]
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     for cache in (5, 10_000):  # the cache turns over all the time, or never
         enc = PieceEncoder(path, cache)
@@ -179,3 +178,22 @@ def test_records_query(spark):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert len(rows) == len(docs)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_line_ends_added_tokens_and_groups(path, monkeypatch):
+    """Texts by whole groups, with line ends everywhere and strings of added tokens: the ids of the library as it is."""
+    from drainrules.llm import tokens
+
+    rnd = random.Random(11)
+    parts = [" ", " ", "\n", "\n", "\r\n", "\t", "a", "Bc.", "d,", "'s", "1", "#", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "é", "\x1c", "　", "ⓐ."]
+    texts = ["", "\n", "\n\n", " \n", "a\n", "a\nb", "a \nb", "a\n b", "a\n\nb", "\na", "a\n.b", "x <|endoftext|> y"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for size, cache in ((1 << 20, 10_000), (200, 50), (1, 5)):
+        monkeypatch.setattr(tokens, "GROUP_BYTES", size)
+        enc = PieceEncoder(path, cache)
+        found = [ids.tolist() for ids in enc.encode_many(pa.array(texts, pa.string()))]
+        wrong = [t for t, a, b in zip(texts, found, want, strict=True) if a != b]
+        assert not wrong, wrong[:5]
+    assert list(enc.encode_many(pa.array([], pa.string()))) == []
