@@ -4,7 +4,8 @@
    whole, unclosed paragraphs, list items and table cells end where the next block begins, and stray end tags
    are passed over.
 2. **Boilerplate** goes first: elements that are never article text (``DROPPED``), hidden ones, and those whose class,
-   id or role speak of menus, adverts, notices, comments and the like, unless they look like the article itself.
+   id or role speak of menus, adverts, notices, comments and the like; a name that a layout can have too (a sidebar's)
+   beside one of the article's own spares an element with most of the page's characters.
 3. **Scores.**  Each paragraph (or other block with text of its own) earns a point, one per comma and one per
    100 characters up to three; its parent gets these in full, its grandparent half, the ancestor beyond a
    third, and so on to ``ANCESTORS``.  A container's points are raised or lowered for its tag and names, and multiplied by
@@ -38,6 +39,7 @@ LINK_SHARE = 0.5  # of a part's characters, from which on it is a list of links
 # Names of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template svg math select".split())
+_TO_END = RAW - {"noscript", "svg", "math", "select", "template"}  # their text is no markup, up to their end tag
 DROPPED = set("head nav footer aside form button fieldset menu dialog object canvas audio video".split()) | RAW
 BLOCKS = set(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html"
@@ -55,17 +57,26 @@ IMPLIED = (
     ({"head"}, {"body", *BLOCKS}, set()),
 )
 
+#: Names of parts that are never the article, whatever else the name says, but where it only says that something is (not) there.
+_NEVER = re.compile(
+    r"(?<![a-z])(banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|footer|gdpr|legal|login|masthead|menu\w*|modal|nav\w*|newsletter"
+    r"|notices?|notifications?|outbrain|pager|pagination|popup|replies|respond|search|signup|skip|subscribe|subscription|taboola|toolbar|topbar)(?![a-z])"
+)
+#: Names that a container of the whole layout can have too.
 _UNLIKELY = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|masthead|menu\w*|modal|nav\w*|newsletter"
-    r"|notices?|notifications?|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebars?|signup|skip|social|sponsor\w*"
-    r"|subscribe|subscription|tags?|toolbar|widgets?)(?![a-z])"
+    r"(?<![a-z])(ads?|advert\w*|promo\w*|recommend\w*|related|share|sharing|sidebars?|social|sponsor\w*|tags?|widgets?)(?![a-z])"
 )
 _LIKELY = re.compile(r"(?<![a-z])(article\w*|body|content|entry|main|page|post|story|text|blog)(?![a-z])")
+_HEADER = re.compile(r"(?<![a-z])header(?![a-z])")
+_ARTICLE_PART = re.compile(r"(?<![a-z])(article\w*|content|entry|post|story)(?![a-z])")
+_MODIFIER = re.compile(r"(?<![a-z])(has|no|with|without|show|hide|is)[-_]\w+(?:[-_]\w+)*")
+MOST = 0.5  # of a page's characters: what holds more of them is its layout
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "alertdialog", "dialog"}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+    r"((?:[^>=]++|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=(?!\s*[\"']))*)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
@@ -137,9 +148,9 @@ def parse(html: str) -> Node:
                     close(up)
         child = Node(tag, m[3] or "", node)
         node.children.append(child)
-        if tag in VOID or (m[3] and m[3].endswith("/") and tag not in BLOCKS):
+        if tag in VOID or (m[3] and m[3].endswith("/") and tag not in BLOCKS and tag not in _TO_END):
             continue
-        if tag in RAW and tag not in ("noscript", "svg", "math", "select", "template"):
+        if tag in _TO_END:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = pos = end.end() if end else len(html)
             continue
@@ -159,7 +170,8 @@ def _names(node: Node) -> tuple[str, dict[str, str]]:
     return names.lower(), a
 
 
-def _is_boilerplate(node: Node, in_article: bool) -> bool:
+def _is_boilerplate(node: Node, in_article: bool, most: float) -> bool:
+    """Whether an element is no part of an article; ``most`` characters make it the page's layout."""
     if node.tag in DROPPED:
         return True
     names, a = _names(node)
@@ -173,10 +185,20 @@ def _is_boilerplate(node: Node, in_article: bool) -> bool:
         return not in_article
     if node.tag in ("a", "b", "i", "em", "strong", "span", *HEADINGS) and not re.search(r"(?<![a-z])(ads?|advert\w*|share|social)(?![a-z])", names):
         return False
-    return bool(_UNLIKELY.search(names)) and not _LIKELY.search(names)
+    names = _MODIFIER.sub(" ", names)
+    if _NEVER.search(names):
+        return True
+    if _HEADER.search(names) and not in_article and not _ARTICLE_PART.search(names):
+        return node.chars <= most
+    return bool(_UNLIKELY.search(names)) and not (_LIKELY.search(names) and node.chars > most)
 
 
 def _prune(root: Node) -> None:
+    order = _walk(root)
+    for node in reversed(order):  # characters of each element, those of scripts and the like aside
+        if node.tag not in RAW:
+            node.chars = sum(len(_collapse(c)) if isinstance(c, str) else c.chars for c in node.children)
+    most = MOST * root.chars
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
@@ -184,13 +206,15 @@ def _prune(root: Node) -> None:
         kept = []
         for c in node.children:
             if isinstance(c, Node):
-                if _is_boilerplate(c, inside):
+                if _is_boilerplate(c, inside, most):
                     if c.tag in BLOCKS or c.tag in DROPPED - RAW:
                         kept.append(Node("hr", "", node))  # its place still parts the blocks around it
                     continue
                 stack.append((c, inside))
             kept.append(c)
         node.children = kept
+    for node in order:
+        node.chars = 0
 
 
 def _walk(root: Node) -> list[Node]:
@@ -243,7 +267,7 @@ def _base(node: Node) -> float:
         points -= 4.0
     names, _ = _names(node)
     if names:
-        points += 15.0 * bool(_LIKELY.search(names)) - 15.0 * bool(_UNLIKELY.search(names))
+        points += 15.0 * bool(_LIKELY.search(names)) - 15.0 * bool(_UNLIKELY.search(names) or _NEVER.search(names))
     return points
 
 

@@ -157,3 +157,38 @@ def test_license_odd_input(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(odd_docs).count() == 0 and licenses.scan_licenses(no_docs).count() == 0
     with pytest.raises(ValueError):
         licenses.scan_licenses(odd_docs, [("x", "one")])
+
+
+KEPT = ["The first paragraph of the article is long enough, with commas, to be found by its points.", "A second paragraph follows, and it goes on for a while, as they do.", "Short end."]
+ARTICLE = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in KEPT)
+NEVER_KEPT = (
+    "id='header'", "class='copyright'", "class='comment-body'", "class='comments-content'", "class='sidebar-content'", "class='cookie-text'", "class='main-menu'",
+    "class='blog-sidebar'", "class='page-footer'", "class='footer-content'", "class='main-nav'", "class='post-comments'", "class='content-ad'", "class='page-header'",
+    "class='site-header'", "class='header'", "class='topbar'", "class='legal'", "class='login'", "class='search'", "class='outbrain'", "class='recommended'", "class='ad-text'",
+)
+
+
+@pytest.mark.parametrize("named", NEVER_KEPT)
+@pytest.mark.parametrize("layout", ["<body>{part}<div class='content'>{article}</div>{part}</body>", "<body><div>{part}{article}</div>{part}</body>",
+                                    "<body><div class='page has-sidebar'><section>{article}</section>{part}</div></body>"])
+def test_named_boilerplate_goes_whatever_else_its_name_says(named, layout):
+    part = f"<div {named}><p>Some words of the site, no article at all.</p></div>"
+    text = html.main_text(layout.format(part=part, article=ARTICLE))
+    assert text == "\n".join(["Title", *KEPT])
+
+
+@pytest.mark.parametrize("opening", ["<div class='post-header'>", "<div class='entry-content no-comments'>", "<div class='main with-sidebar'>", "<div class='content-widget'>", "<div id=text>"])
+def test_article_containers_stay(opening):
+    page = f"<body><div class='nav'>Menu</div>{opening}{ARTICLE}</div></body>"
+    assert html.main_text(page) == "\n".join(["Title", *KEPT])
+
+
+def test_quotes_open_after_an_equals_sign_only():
+    for odd in ("<p title=Tom's>", "<p title=Tom's class=\"x\">", "<p data-x='a>b' \">", "<a href=x'y>link</a><p>"):
+        text = html.main_text(f"<body><article>{odd}Before it, all is well, and long enough.</p>{ARTICLE}</article></body>")
+        assert "Before it, all is well, and long enough." in text and text.endswith("Short end.")
+
+
+def test_raw_elements_do_not_close_themselves():
+    page = f"<body><script src='a.js'/>var x=1;</script><article>{ARTICLE}</article><style/>p {{}}</style></body>"
+    assert html.main_text(page) == "\n".join(["Title", *KEPT])
