@@ -59,12 +59,17 @@ def hash_sample(df: DataFrame, size: int, hashed: Column, *ties: str) -> DataFra
     """The ``size`` rows of the smallest hashes (all rows where there are no more).
 
     A cut at the hash value under which about twice as many rows are expected goes first, so that each
-    task hands on a few rows, however many tasks there are.
+    task hands on a few rows, however many tasks there are.  Where many rows share a hash too few may lie under the cut:
+    it is then widened until enough do.
     """
-    share = min(1.0, 2 * size / max(1, df.count()) + 1e-9)
-    cut = int(-(1 << 63) + share * ((1 << 64) - 1))
-    few = df.where(hashed <= F.lit(min(cut, (1 << 63) - 1)))
-    return few.orderBy(hashed, *ties).limit(size)
+    n = df.count()
+    share = min(1.0, 2 * size / max(1, n) + 1e-9)
+    while True:
+        cut = int(-(1 << 63) + share * ((1 << 64) - 1))
+        few = df.where(hashed <= F.lit(min(cut, (1 << 63) - 1)))
+        if share >= 1.0 or few.count() >= min(size, n):
+            return few.orderBy(hashed, *ties).limit(size)
+        share = min(1.0, 8 * share)
 
 
 def shared_filesystem(folder: str):

@@ -226,8 +226,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
     Of rows that share that id and fingerprint, one stays.
     """
-    docs_fp = materialize(add_fingerprints(docs, "__fp", shingle), "simhash-rows")
-    classes = fingerprint_components(docs_fp.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp")), radius, blocks, chunk_rows)
+    fp = "__fp"
+    while fp in docs.columns:  # no column of the table is touched
+        fp += "_"
+    docs_fp = materialize(add_fingerprints(docs, fp, shingle), "simhash-rows")
+    classes = fingerprint_components(docs_fp.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")), radius, blocks, chunk_rows)
     stay = classes.where(F.col("fp") == F.col("first_fp")).select(F.col("fp").alias("__stay_fp"), F.col("doc_id").alias("__stay_id"))
-    on = (docs_fp["__fp"] == stay["__stay_fp"]) & docs_fp["doc_id"].cast("long").eqNullSafe(stay["__stay_id"])
-    return docs_fp.join(stay, on, "left_semi").dropDuplicates(["doc_id", "__fp"]).drop("__fp")
+    on = (docs_fp[fp] == stay["__stay_fp"]) & docs_fp["doc_id"].cast("long").eqNullSafe(stay["__stay_id"])
+    return docs_fp.join(stay, on, "left_semi").dropDuplicates(["doc_id", fp]).drop(fp)

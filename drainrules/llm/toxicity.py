@@ -16,7 +16,7 @@ Scoring is one pass over the documents with the small model as a broadcast; a wh
 
 Nulls and odd input: a null text is empty; rows with null ids are scored but carry no
 label; null labels are left out; of several label rows of one id each category takes the
-largest value; a category without both values in the sample gets its constant rate; without any
+largest value; of several texts of one id one trains; a category without both values in the sample gets its constant rate; without any
 labelled row no text is toxic; an empty table gives no rows; other columns are left behind by
 ``score_toxicity`` and kept by ``keep_nontoxic``.
 """
@@ -166,7 +166,9 @@ def fit_toxicity(
             yield pa.RecordBatch.from_arrays([batch.column(0), keys, found, *batch.columns[2:]], names=["doc_id", "h", "words", *columns])
 
     schema = "doc_id long, h long, words array<string>, " + ", ".join(f"{c} int" for c in columns)
-    bags = materialize(map_arrow(sample, words, schema), "toxicity-bags")
+    # Of several texts of one id one trains (that of the smallest hash), so max_train bounds the rows, too.
+    one = F.min(F.struct("h", "words", *columns)).alias("r")
+    bags = materialize(map_arrow(sample, words, schema).groupBy("doc_id").agg(one).select("doc_id", "r.*"), "toxicity-bags")
     sums = bags.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns]).first()
     n, positive = sums["n"], [sums[c] or 0 for c in columns]
     counts = (

@@ -143,3 +143,31 @@ def test_toxicity_odd_input(spark, odd_docs, no_docs):
         assert toxicity.keep_nontoxic(odd_docs, chain).columns == odd_docs.columns
         assert toxicity.score_toxicity(no_docs, chain).count() == 0
     assert toxicity.score_toxicity(odd_docs, toxicity.fit_toxicity(no_docs, labels, queries.toxicity_categories(), "toxic")).count() == 10
+
+
+@pytest.mark.parametrize("one_id", ["1", "2", "3", "4", "7", "CAST(null AS long)", "CASE WHEN id % 3 = 0 THEN 5 ELSE id END"])
+def test_hash_sample_of_repeated_ids_is_full(spark, one_id):
+    from drainrules.llm.common import hash_sample
+
+    df = spark.range(3000).selectExpr(f"{one_id} AS doc_id", "id AS n")
+    assert hash_sample(df, 100, F.xxhash64("doc_id", F.lit(11)), "n").count() == 100
+    assert hash_sample(df, 5000, F.xxhash64("doc_id"), "n").count() == 3000
+    assert hash_sample(df.limit(0), 100, F.xxhash64("doc_id"), "n").count() == 0
+
+
+def test_quality_of_documents_that_share_an_id(spark):
+    texts = [" ".join(f"word{(i * j) % 97}" for j in range(1, 40)) for i in range(300)] + ["### $$$ *** " * 20 + " ".join(f"a{j}" for j in range(60))] * 3
+    docs = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")
+    rows = quality.judge_quality(docs, spark.createDataFrame([(7, 1)], "doc_id long, quality int"), trees=20, rows_per_tree=16).collect()
+    assert len(rows) == 303 and len({r["score"] for r in rows}) > 3
+
+
+def test_one_id_on_many_rows_trains_once(spark, monkeypatch):
+    seen = []
+    fit = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda x, y, fold, penalty: (seen.append(len(x)), fit(x, y, fold, penalty))[1])
+    rows = planted(400)
+    docs = spark.createDataFrame([(i if i < 200 else 5, t) for i, t, _, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in rows if i < 200], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_toxicity(docs, labels, queries.toxicity_categories(), "toxic", max_train=150)
+    assert seen == [150] and toxicity.score_toxicity(docs, chain).count() == 400

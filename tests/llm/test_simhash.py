@@ -116,3 +116,9 @@ def test_one_document_of_each_group_stays(spark, odd_docs, no_docs):
     assert left.columns == odd_docs.columns
     assert sorted((r["doc_id"] or -1) for r in left.collect()) == [-1, 1, 4, 6, 7]
     assert simhash.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "some text of a few words", 7, 8), (2, "some text of a few words", 9, 10)], "doc_id long, text string, __fp int, __fp_ int")
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, "some text of a few words", 7, 8)]
