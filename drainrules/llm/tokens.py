@@ -26,15 +26,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 450_000
-GROUP_BYTES = 4 << 20  # of text, worked on together (a longer text is a group of its own)
+CACHE_PIECES = 200_000
+GROUP_BYTES = 2 << 20  # of text, worked on together (a longer text is a group of its own)
 _ISOLATED = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?#$%&*|"
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class _Pieces:
-    """Piece -> ids, in two generations: when the young one is full it becomes the old one.
+    """The ids of pieces, by parts of them in a cache of two generations: when the young one is full it becomes the old one.
 
     Only a cache: what has dropped out is encoded again.  With ``spaced`` a space is put before a piece (but one that
     begins with a line end), and a piece that touches white space where it was cut off has no ids of its own: None.
@@ -42,8 +42,8 @@ class _Pieces:
 
     def __init__(self, encode_batch, spaced: bool, limit: int):
         self.encode_batch, self.spaced, self.before, self.limit = encode_batch, spaced, " " if spaced else "", limit
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _parts(self, piece: str) -> tuple[str, ...]:
         """What the piece is encoded as: marks after a lower-case letter are pre-tokens of their own.
@@ -68,26 +68,21 @@ class _Pieces:
         return not body or body[0].isspace() or body[-1].isspace()
 
     def ids(self, pieces: list[str]) -> list[bytes | None]:
-        """The ids of some different pieces; those that are not known are encoded in one call."""
+        """The ids of some different pieces; parts of them that are not known are encoded in one call."""
         if len(self.young) >= self.limit:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        missing = [p for p in pieces if p not in young]
+        parts = [None if self.spaced and self._touches(p) else self._parts(p) for p in pieces]
         unknown = []
-        for p in missing:
-            if p in old:
-                young[p] = old[p]
-            elif self.spaced and self._touches(p):
-                young[p] = None
-            else:
-                unknown.append(p)
+        for ts in parts:
+            for t in ts or ():
+                if t not in young:
+                    found = young[t] = old.get(t)
+                    if found is None:
+                        unknown.append(t)
         if unknown:
-            parts = {p: self._parts(p) for p in unknown}
-            texts = list(dict.fromkeys(t for ts in parts.values() for t in ts))
-            known = dict(zip(texts, self.encode_batch(texts), strict=True))
-            for p, ts in parts.items():
-                young[p] = b"".join(known[t] for t in ts)
-        return [young[p] for p in pieces]
+            young.update(zip(unknown, self.encode_batch(unknown), strict=True))
+        return [None if ts is None else young[ts[0]] if len(ts) == 1 else b"".join(map(young.__getitem__, ts)) for ts in parts]
 
 
 class PieceEncoder:
