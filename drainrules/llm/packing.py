@@ -127,7 +127,7 @@ def pack_documents(
 
         for batch in batches:
             for doc_id, tokens in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1)), strict=True):
-                ids = tokens.tobytes() + end
+                ids = tokens + end
                 block.append((doc_id, ids))
                 held += len(ids) // 4
                 if held >= block_tokens:

@@ -97,12 +97,13 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = E
                 ids = batch.column(0).to_pylist()
                 rows: tuple[list, ...] = ([], [], [], [])
                 for tokens in enc.encode_many(batch.column(1)):
-                    data = frame(tokens.astype(kind).tobytes() + end)
+                    n_tokens = len(tokens) // 4 + 1
+                    data = frame(np.frombuffer(tokens, dtype="<u4").astype(kind).tobytes() + end)
                     out.write(data)
-                    for column, value in zip(rows, (position, len(data), start, len(tokens) + 1), strict=True):
+                    for column, value in zip(rows, (position, len(data), start, n_tokens), strict=True):
                         column.append(value)
                     position += len(data)
-                    start += len(tokens) + 1
+                    start += n_tokens
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([file] * n),

@@ -2,9 +2,8 @@
 
 A tokenizer of this library splits a text into pre-tokens first and merges inside each of
 them.  Both vocabularies used here never build a pre-token across an isolated white-space
-character, so a text can be cut there.  Arrow cuts a group of texts and numbers its distinct
-pieces, those not in the worker's cache are encoded in one call, and numpy puts the ids of the texts together
-from them.  Texts that hold an added token (``<|endoftext|>``) go to the library whole.  The tests compare the
+character, so a text can be cut there, and each distinct piece is encoded only once per
+worker.  Texts that hold an added token (``<|endoftext|>``) go to the library whole.  The tests compare the
 ids with whole-text encoding by the library as it is, on odd texts.
 
 * byte-level vocabulary (GPT-2 pattern): a single space between two other characters starts
@@ -24,69 +23,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-CACHE_PIECES = 200_000
-GROUP_BYTES = 2 << 20  # of text, worked on together (a longer text is a group of its own)
+CACHE_PIECES = 400_000
 _ISOLATED = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?#$%&*|"
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-class _Pieces:
-    """The ids of pieces, by parts of them in a cache of two generations: when the young one is full it becomes the old one.
+class _Touching(Exception):
+    """A piece with white space at its edge: the space before or after it is not isolated."""
 
-    Only a cache: what has dropped out is encoded again.  With ``spaced`` a space is put before a piece (but one that
-    begins with a line end), and a piece that touches white space where it was cut off has no ids of its own: None.
+
+class _Cache(dict):
+    """Piece -> ids, in two generations: when the young one is full it becomes the old one.
+
+    Only a cache: what has dropped out is encoded again.  ``before`` is put before a piece.  With ``after_line`` (the cache
+    of pieces without anything before them) pieces are cut at single line ends.
     """
 
-    def __init__(self, encode_batch, spaced: bool, limit: int):
-        self.encode_batch, self.spaced, self.before, self.limit = encode_batch, spaced, " " if spaced else "", limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _parts(self, piece: str) -> tuple[str, ...]:
-        """What the piece is encoded as: marks after a lower-case letter are pre-tokens of their own.
-
-        Lower-casing leaves such a letter alone.  Circled letters and U+0345 are lower case too, but no letters: the word
-        pattern joins them with the marks.
-        """
-        if self.spaced and piece[0] == "\n":  # a line end between two other characters is a pre-token, and no space follows it
-            return ("\n", *self._marked("", piece[1:]))
-        return self._marked(self.before, piece)
-
-    @staticmethod
-    def _marked(before: str, piece: str) -> tuple[str, ...]:
-        word = piece.rstrip(_MARKS)
-        if len(word) < len(piece) and word[-1:].islower() and unicodedata.category(word[-1])[0] == "L":
-            return (before + word, piece[len(word) :])
-        return (before + piece,)
-
-    @staticmethod
-    def _touches(piece: str) -> bool:
-        body = piece[1:] if piece[:1] == "\n" else piece
-        return not body or body[0].isspace() or body[-1].isspace()
-
-    def ids(self, pieces: list[str]) -> list[bytes | None]:
-        """The ids of some different pieces; parts of them that are not known are encoded in one call."""
-        if len(self.young) >= self.limit:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        parts = [None if self.spaced and self._touches(p) else self._parts(p) for p in pieces]
-        unknown = []
-        for ts in parts:
-            for t in ts or ():
-                if t not in young:
-                    found = young[t] = old.get(t)
-                    if found is None:
-                        unknown.append(t)
-        if unknown:
-            young.update(zip(unknown, self.encode_batch(unknown), strict=True))
-        return [None if ts is None else young[ts[0]] if len(ts) == 1 else b"".join(map(young.__getitem__, ts)) for ts in parts]
+    def __init__(self, encode, before: str, limit: int, after_line: _Cache | None = None):
+        super().__init__()
+        self.encode, self.before, self.limit, self.old, self.after_line = encode, before, limit, {}, after_line
+        self.marks = functools.lru_cache(maxsize=1000)(encode)
+
+    def _lines(self, piece: str) -> bytes | None:
+        """The ids of a piece of several lines, which is not kept itself; None where a line end is not a single one."""
+        first, *rest = piece.split("\n")
+        if not first or first[0].isspace() or first[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in rest):
+            return None
+        line_end = self.marks("\n")
+        return b"".join((self[first], *(line_end + self.after_line[p] for p in rest)))
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.after_line is not None and "\n" in piece:
+            ids = self._lines(piece)
+            if ids is not None:
+                return ids
+        ids = self.old.get(piece)
+        if ids is None:
+            if self.before and (not piece or piece[0].isspace() or piece[-1].isspace()):
+                raise _Touching
+            word = piece.rstrip(_MARKS)
+            if len(word) < len(piece) and word[-1:].islower() and unicodedata.category(word[-1])[0] == "L":
+                # Marks after a lower-case letter (which lower-casing leaves alone) are pre-tokens of their own; circled
+                # letters and U+0345 are lower case too, but no letters: the word pattern joins them with the marks.
+                ids = self[word] + self.marks(piece[len(word) :])
+            else:
+                ids = self.encode(self.before + piece)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
-    """Texts to little-endian unsigned 32-bit ids."""
+    """Texts to little-endian unsigned 32-bit ids (as bytes)."""
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,92 +93,37 @@ class PieceEncoder:
             raise ValueError("pieces are only exact for a plain byte-level tokenizer")
         if not self._spaced and spec["model"].get("end_of_word_suffix") is None:
             raise ValueError("pieces are only exact where white space is dropped")
-        self._added = [t["content"] for t in spec["added_tokens"]]
         self.vocabulary = self._tokenizer.get_vocab_size()
-        self._first = _Pieces(self._direct, False, cache_pieces // 4)
-        self._rest = _Pieces(self._direct, self._spaced, cache_pieces)
+        self._added = [t["content"] for t in spec["added_tokens"]]
+        after_line = _Cache(self._direct, "", cache_pieces // 4) if self._spaced else None
+        self._cache = _Cache(self._direct, " " if self._spaced else "", cache_pieces, after_line)
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+    def _direct(self, text: str) -> bytes:
+        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids of one text, as little-endian unsigned 32-bit integers."""
-        return next(self.encode_many(pa.array([text], pa.string()))).tobytes()
-
-    def encode_many(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text, in order; some ``GROUP_BYTES`` of text are worked on at a time."""
-        start, held = 0, 0
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        for i, size in enumerate(sizes):
-            if held and held + size > GROUP_BYTES:
-                yield from self._group(texts.slice(start, i - start))
-                start, held = i, 0
-            held += size
-        if start < len(texts):
-            yield from self._group(texts.slice(start))
-
-    def _odd(self, texts: pa.Array) -> np.ndarray:
-        """Texts that are encoded whole: with an added token, or with white space of Python's that is not the tokenizer's."""
-        odd = np.zeros(len(texts), dtype=bool)
-        for mark in [*self._added, *(() if self._spaced else _CONTROLS)]:
-            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        return odd
-
-    def _group(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        n = len(texts)
-        whole = self._odd(texts)
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ") if self._spaced else pc.utf8_split_whitespace(texts)
-        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        values = split.flatten()
-        coded = values.dictionary_encode()
-        codes = coded.indices.to_numpy()
-        found = coded.dictionary.to_pylist()
-        if self._spaced:  # the first piece of a text has no space before it
-            opening, at = np.unique(codes[offsets[:-1]], return_inverse=True)
-            used = np.ones(len(codes), dtype=bool)
-            used[offsets[:-1]] = False
-            seen = np.unique(codes[used])
-            first = self._first.ids([found[c] for c in opening.tolist()])
-            later: list[bytes | None] = [b""] * len(found)
-            for c, ids in zip(seen.tolist(), self._rest.ids([found[c] for c in seen.tolist()]), strict=True):
-                later[c] = ids
-            ends = [not p or p[-1].isspace() for p in (found[c] for c in opening.tolist())]
-            codes = codes.copy()
-            codes[offsets[:-1]] = len(found) + at
-            ids = [*later, *first]
-            bad = np.fromiter((x is None for x in later), dtype=bool, count=len(later))
-            # A first piece may end in white space only where it is all of the text.
-            alone = np.diff(offsets) == 1
-            bad = np.concatenate((bad, np.zeros(len(first), dtype=bool)))
-            whole |= np.array(ends, dtype=bool)[at] & ~alone
-            whole |= np.logical_or.reduceat(bad[codes], offsets[:-1]) if n else whole
-            ids = [x or b"" for x in ids]
-        else:
-            ids = self._rest.ids(found)
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) >> 2
-        starts = np.cumsum(lengths) - lengths
-        each = lengths[codes]
-        upto = np.concatenate(([0], np.cumsum(each)))
-        small = np.int32 if max(upto[-1], len(flat)) < 1 << 31 else np.int64
-        at_flat = np.repeat((starts[codes] - upto[:-1]).astype(small), each)
-        at_flat += np.arange(upto[-1], dtype=small)
-        out = flat[at_flat]
-        bounds = upto[offsets]
-        for i in range(n):
-            yield self._whole(texts[i].as_py()) if whole[i] else out[bounds[i] : bounds[i + 1]]
-
-    def _whole(self, text: str) -> np.ndarray:
-        """A text that cannot be cut at every space: at isolated ones only, or not at all."""
-        if not self._spaced or any(t in text for t in self._added):
-            return np.frombuffer(self._direct([text])[0], dtype="<u4")
+        """The ids of a text, as little-endian unsigned 32-bit integers."""
+        known = self._cache.__getitem__
+        if any(t in text for t in self._added):
+            return self._direct(text)
+        if not self._spaced:
+            if any(c in text for c in _CONTROLS):  # Python's white space, not the tokenizer's
+                return self._direct(text)
+            return b"".join(map(known, text.split()))
+        first, space, rest = text.partition(" ")
+        if first and not first[-1].isspace():
+            try:
+                return self._direct(first) + b"".join(map(known, rest.split(" ") if space else ()))
+            except _Touching:
+                pass
         parts = _ISOLATED.split(text)
         if len(parts) == 1:
-            return np.frombuffer(self._direct(parts)[0], dtype="<u4")
-        texts = list(dict.fromkeys([parts[0], *(" " + p for p in parts[1:])]))
-        known = dict(zip(texts, self._direct(texts), strict=True))
-        return np.frombuffer(b"".join((known[parts[0]], *(known[" " + p] for p in parts[1:]))), dtype="<u4")
+            return self._direct(text)
+        return self._direct(parts[0]) + b"".join(map(known, parts[1:-1])) + self._direct(" " + parts[-1])
+
+    def encode_many(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        return map(self.encode, texts.to_pylist())
 
 
 @functools.lru_cache(maxsize=4)
