@@ -71,7 +71,7 @@ def main() -> None:
         "tsv_roundtrip": catalog.q_tsv_roundtrip,
     }
     # warm-up, not timed: JVM start and JIT of the hot paths, with a rule search
-    # for a different app (nothing of it is reused: memo cleared, new tables)
+    # for a different app (nothing of it is reused)
     _run(fx.device_samples(spark, sf_dir).limit(1))
     _run(mining.rule_rows(rs.mine_rules(io.read_rates(spark, rates_path), WARMUP_APP,
                                         catalog.MIN_SUPPORT, catalog.MIN_CONFIDENCE).ordered))

@@ -13,10 +13,15 @@ from drainrules.functions.format import is_fractional, js_number, to_precision2
 from drainrules.operators import mining
 
 
+# --- fixed values: forms of bucketed items, by which they are shown ------------
+RATE_ITEM = r"rate=q(\d)"
+BUCKET_ITEM = r"([^=]*)=q(\d)"
+
+
 def rate_bin_of(consequent_col) -> F.Column:
     """1-based rate bin of a rule from its ``rate=q<d>`` consequent (null if none)."""
     rate_item = F.element_at(F.filter(consequent_col, lambda x: x.startswith("rate")), 1)
-    digit = F.regexp_extract(rate_item, r"rate=q(\d)", 1)
+    digit = F.regexp_extract(rate_item, RATE_ITEM, 1)
     return F.when(digit != "", digit.cast("int"))
 
 
@@ -47,8 +52,8 @@ def item_labels(items: DataFrame, bins: DataFrame) -> DataFrame:
     printed as they are.  Bounds print as JavaScript numbers, or both with
     two significant digits when either is fractional.
     """
-    feature = F.regexp_extract("item", r"([^=]*)=q(\d)", 1)
-    qidx = F.regexp_extract("item", r"([^=]*)=q(\d)", 2)
+    feature = F.regexp_extract("item", BUCKET_ITEM, 1)
+    qidx = F.regexp_extract("item", BUCKET_ITEM, 2)
     parsed = items.select("*", F.when(qidx != "", feature).alias("__f"), F.when(qidx != "", qidx.cast("int")).alias("__q"))
     lo = F.broadcast(bins.select(F.col("feature").alias("__f"), (F.col("idx") + 1).alias("__q"), F.col("bound").alias("__lo")))
     hi = F.broadcast(bins.select(F.col("feature").alias("__f"), F.col("idx").alias("__q"), F.col("bound").alias("__hi")))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 D = T.DoubleType()
 S = T.StringType()
 
+# --- fixed values: names and order of fields, as the files have them -----------
 # Flat sample: column names and order of the TSV header.
 SAMPLE_COLUMNS = [
     "rate", "cpu", "distance", "temp", "voltage", "screen",
