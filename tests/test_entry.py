@@ -13,4 +13,4 @@ def test_entry_runs(spark):
 def test_every_query_of_the_inventory_has_an_oracle():
     q, o = se.queries(), se.oracle_sql()
     assert set(catalog.QUERIES) <= set(q) and set(catalog.QUERIES) <= set(o) <= set(q)
-    assert len(catalog.QUERIES) == 47
+    assert len(catalog.QUERIES) == 52
