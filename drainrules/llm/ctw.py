@@ -6,10 +6,13 @@ half and half with the product of its children (one per earlier byte), from the
 to the empty one.  The predictive probability weighs all depths on the path of a position by
 their share in that mixture.
 
-Contexts are expanded where they hold at least ``share`` of all counted bytes; so at most ``1 /
-share`` contexts stand at each depth whatever the input, which bounds the table (``1 + depth /
-share`` rows of 256 probabilities).  What falls into contexts that are not expanded is
-pooled in one leaf under their parent: every counted byte takes part at every depth.
+Two forms:
+
+* the whole tree, for any input: only nodes that some byte passes are held, as sorted keys (``leaf_nodes``, ``climb``,
+  ``descend``), and the levels below one context are weighed apart from all others.  Where a node was not
+  met in a context, its weight stays with the longest context that met it;
+* a table for one process (``weigh``): contexts with at least ``share`` of all counted bytes are expanded, what falls into
+  the others is pooled in one leaf under their parent.
 """
 
 from __future__ import annotations
@@ -196,3 +199,96 @@ def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
         starts.append(start)
         start += len(levels[d][0])
     return Tree(deepest, [c for c, _ in levels], starts, table)
+
+
+_SMALL = 1 << 12
+_SMALL_HALF, _SMALL_FACTORIAL = log_gamma_half(np.arange(_SMALL)), log_factorial(np.arange(_SMALL))
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log KT probability of some zeros and ones."""
+    total = zeros + ones
+    if (big := np.flatnonzero(total >= _SMALL)).size:
+        small = np.minimum(total, _SMALL - 1)
+        out = _SMALL_HALF[np.minimum(zeros, small)] + _SMALL_HALF[np.minimum(ones, small)] - _SMALL_FACTORIAL[small]
+        out[big] = log_gamma_half(zeros[big]) + log_gamma_half(ones[big]) - log_factorial(total[big])
+    else:
+        out = _SMALL_HALF[zeros] + _SMALL_HALF[ones] - _SMALL_FACTORIAL[total]
+    return out - np.log(np.pi)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of equal neighbours, and the group of each place."""
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+@dataclass
+class Level:
+    """Binary nodes of contexts of one depth; a key is a context's code with the node (from 1, breadth first) as lowest byte."""
+
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    share: np.ndarray  # of a node's own estimate in its mixture
+    parent: np.ndarray  # place of the same node in the next shorter context
+
+
+def leaf_nodes(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(keys, zeros, ones)`` of the nodes on the paths of bytes (sorted codes and counts), and ``(8, codes)`` places of each path."""
+    byte = codes & 255
+    parts, places, start = [], [], 0
+    for level in range(8):
+        keys = codes - byte + (1 << level) + (byte >> (8 - level))
+        first, group = _groups(keys)
+        total, ones = np.add.reduceat(n, first), np.add.reduceat(n * (byte >> (7 - level) & 1), first)
+        parts.append((keys[first], total - ones, ones))
+        places.append(group + start)
+        start += len(first)
+    return *(np.concatenate(p) for p in zip(*parts, strict=True)), np.stack(places)
+
+
+def climb(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, product: np.ndarray | None, deepest: int, shortest: int) -> tuple[list[Level], tuple[np.ndarray, ...]]:
+    """Levels from depth ``deepest`` to ``shortest``, and ``(keys, zeros, ones, product)`` of the depth before that.
+
+    ``product`` is the log of the product of the nodes' weighted children; None where contexts end.
+    """
+    levels = []
+    for d in range(deepest, shortest - 1, -1):
+        own = log_kt(zeros, ones)
+        weighted = own if product is None else _HALF + np.logaddexp(own, product)
+        share = np.exp(np.minimum(0, _HALF + own - weighted)) if product is not None else np.ones(len(own))
+        above = keys & ((1 << 8 * d) - 1) if d else keys
+        order = np.argsort(above, kind="stable")
+        first, group = _groups(above[order])
+        parent = np.empty(len(order), dtype=np.int64)
+        parent[order] = group
+        levels.append(Level(keys, zeros, ones, share, parent))
+        keys, zeros, ones, product = above[order[first]], *(np.add.reduceat(v[order], first) for v in (zeros, ones, weighted))
+    return levels, (keys, zeros, ones, product)
+
+
+def descend(levels: list[Level], fixed: np.ndarray, free: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixtures at the deepest of the levels, from those of the depth before the shortest.
+
+    A one has probability ``fixed + free * last``: what shorter contexts fixed, the weight they left, the estimate of the longest.
+    """
+    for level in reversed(levels):
+        fixed, free, last = fixed[level.parent], free[level.parent], last[level.parent]
+        total = level.zeros + level.ones
+        kt = (level.ones + 0.5) / (total + 1)
+        met = total > 0
+        fixed = np.where(met, fixed + free * level.share * kt, fixed)
+        free = np.where(met, free * (1 - level.share), free)
+        last = np.where(met, kt, last)
+    return fixed, free, last
+
+
+def path_log10(codes: np.ndarray, places: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the bytes of codes from their nodes' probabilities of a one."""
+    byte = codes & 255
+    out = np.zeros(len(codes))
+    for level in range(8):
+        p = one[places[level]]
+        out += np.log10(np.where(byte >> (7 - level) & 1, p, 1 - p))
+    return out

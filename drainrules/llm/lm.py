@@ -1,9 +1,14 @@
 """Scores of texts by a byte model with context-tree weighting, learnt from a part of the documents.
 
-**Training.**  Tasks count the bytes of whole lower-cased texts under the ``depth`` bytes before them; Spark
-sums the counts of all tasks, and level by level, from the longest contexts to the empty one, those that
-hold at least ``share`` of all bytes come to the driver, where ``ctw.weigh`` makes the
-table.  All training bytes are counted; the table's size is bounded by ``depth / share`` rows of 1 KiB.
+**Training.**  Tasks count the bytes of whole lower-cased texts under the ``depth`` bytes before them, and Spark
+sums the counts of all tasks.  Every context that was met is a node of the model, so it grows with the input.  The
+levels are weighed two at a time from the longest contexts to the empty one, and the mixtures passed down
+again: rows are dealt by the context all of them share, and a task weighs whole contexts, some at a
+time (``ctw.climb``, ``ctw.descend``).  Only contexts of at most two bytes meet in one task.  The result is
+the log probability of every byte after every ``depth`` bytes that stand in any text.
+
+**Score.**  The sum of these over a text.  The ``hot_grams`` most frequent ones are a shared file that each Python worker reads once, summed where the text is read;
+all others are joined by shuffle.  Both give the same sums.
 
 **Base score.**  Words ``[^\\x20\\x09-\\x0D]+`` and one end per text, each ``log10((c + 1) / (N + V + 1))`` from the training
 tokens.  Words with ``c >= N / HOT_WORDS`` (so at most ``HOT_WORDS`` of them) are a broadcast, summed where the
@@ -17,24 +22,29 @@ repeated rows each get their row; without training texts every token has probabi
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drainrules.llm.common import doc_columns, map_arrow
-from drainrules.llm.ctw import Tree, count_codes, gram_codes, weigh
-from drainrules.session import materialize
+from drainrules.llm.common import doc_columns, map_arrow, shared_filesystem, shuffle_partitions
+from drainrules.llm.ctw import Tree, climb, count_codes, descend, gram_codes, leaf_nodes, path_log10, weigh
+from drainrules.session import materialize, scratch_path
 
 DEPTH = 6
 SHARE = 1e-5
 HOT_WORDS = 1 << 18
+HOT_GRAMS = 1 << 21
 COUNT_BYTES = 8 << 20  # bytes of text that a task counts at once
+WEIGH_ROWS = 1 << 19  # rows that a task weighs at once, or one context's where it has more
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -64,35 +74,151 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
-    """``code long, n long``: all bytes of a column of texts under the ``depth`` bytes before them."""
+    """``code long, n long, seen long``: all bytes of the texts of ``(text, held_out)`` under the ``depth`` bytes before them.
+
+    ``seen`` counts all texts, ``n`` those that are learnt from.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        held: tuple[list[bytes], list[bytes]] = ([], [])
         size = 0
 
-        def rows() -> pa.RecordBatch:
-            codes, n = count_codes(gram_codes(held, depth))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            for texts, learnt in zip(held, (1, 0), strict=True):
+                if texts:
+                    codes, n = count_codes(gram_codes(texts, depth))
+                    texts.clear()
+                    columns = (codes.astype(np.int64), n * learnt, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["code", "n", "seen"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(text.encode("utf-8", "surrogatepass").lower())
-                size += len(held[-1]) + depth + 1
+            for text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = text.encode("utf-8", "surrogatepass").lower()
+                held[out].append(data)
+                size += len(data) + depth + 1
                 if size >= COUNT_BYTES:
-                    yield rows()
+                    yield from rows()
                     size = 0
-        if held:
-            yield rows()
+        yield from rows()
+
+    return map_arrow(texts, count, "code long, n long, seen long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
+
+NODES = "key long, zeros long, ones long, product double"
+MIXED = "key long, fixed double, free double, last double"
+
+
+def whole_contexts(batches: Iterator[pa.RecordBatch], rows: int = WEIGH_ROWS) -> Iterator[list[np.ndarray]]:
+    """The columns after the first of sorted batches, in runs of about ``rows`` rows that end where the first column changes."""
+    held: list[pa.RecordBatch] = []
+    n, limit = 0, rows
+
+    def columns(table: pa.Table) -> list[np.ndarray]:
+        return [c.to_numpy() for c in table.columns[1:]]
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= limit:
+            table = pa.Table.from_batches(held)
+            shared = table.column(0).to_numpy()
+            cut = int(np.searchsorted(shared, shared[-1]))
+            if cut:
+                yield columns(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            n -= cut
+            limit = max(rows, 2 * n)
+    if n:
+        yield columns(pa.Table.from_batches(held))
+
+
+def _dealt(rows: DataFrame, shared: int) -> DataFrame:
+    """Rows with ``key`` dealt and sorted by the last ``shared`` bytes of its context."""
+    context = F.shiftright("key", 8).bitwiseAND((1 << 8 * shared) - 1)
+    dealt = rows.select(context.alias("shared"), *rows.columns)
+    return (dealt.repartition(shuffle_partitions(rows.sparkSession), "shared") if shared else dealt.repartition(1)).sortWithinPartitions("shared")
+
+
+def _batch(columns: tuple[np.ndarray, ...], schema: str) -> pa.RecordBatch:
+    kinds = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.int64() if kind == "long" else pa.float64()) for c, (_, kind) in zip(columns, kinds, strict=True)], names=[name for name, _ in kinds]
+    )
+
 
-    return map_arrow(texts, count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
+    """``code long, seen long, log_p double``: log10 probability of the last byte of each code after the bytes before it."""
+    spans = [(min(depth, 2), 0), *((min(depth, low + 1), low) for low in (3, 5) if depth >= low)]
+    no_mixture = {name: F.lit(0.0) for name in ("fixed", "free", "last")}
+
+    def sort_leaves(codes: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(codes)
+        return [c[order] for c in (codes, *counts)]
+
+    def start(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = len(np.unique(keys))
+        return np.zeros(n), np.ones(n), np.full(n, 0.5)
+
+    def up(rows: DataFrame, deepest: int, shortest: int) -> DataFrame:
+        leaf = deepest == depth
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, zeros, ones, product in whole_contexts(batches):
+                if leaf:
+                    keys, zeros, ones, _ = leaf_nodes(*sort_leaves(keys, zeros))
+                yield _batch(climb(keys, zeros, ones, None if leaf else product, deepest, shortest)[1], NODES)
+
+        return map_arrow(_dealt(rows, shortest - 1), run, NODES)
+
+    def down(rows: DataFrame, mixed: DataFrame | None, deepest: int, shortest: int) -> DataFrame:
+        """Mixtures of the nodes of ``rows``; for the leaves, the scores of their codes."""
+        leaf, top_span = deepest == depth, mixed is None
+        out = "code long, seen long, log_p double" if leaf else MIXED
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, zeros, ones, product, fixed, free, last in whole_contexts(batches):
+                given = last == 0  # no estimate is
+                above = keys[~given]
+                codes, zeros, ones, product = keys[given], zeros[given], ones[given], product[given]
+                if leaf:
+                    codes, n, seen = sort_leaves(codes, zeros, ones)
+                    keys, zeros, ones, places = leaf_nodes(codes, n)
+                else:
+                    keys = codes
+                levels, (top, *_) = climb(keys, zeros, ones, None if leaf else product, deepest, shortest)
+                if top_span:
+                    before = start(top)
+                else:
+                    order = np.argsort(above)
+                    at = order[np.searchsorted(above, top, sorter=order)]
+                    before = tuple(v[~given][at] for v in (fixed, free, last))
+                fixed, free, last = descend(levels, *before)
+                if leaf:
+                    yield _batch((codes, seen, path_log10(codes, places, fixed + free * last)), out)
+                else:
+                    yield _batch((keys, fixed, free, last), out)
+
+        both = rows.withColumns(no_mixture)
+        if mixed is not None:
+            zero = F.lit(0).cast("long")
+            both = both.unionByName(mixed.select("key", zero.alias("zeros"), zero.alias("ones"), F.lit(0.0).alias("product"), "fixed", "free", "last"))
+        return map_arrow(_dealt(both, max(0, shortest - 1)), run, out)
+
+    # the leaves: n stands as zeros, seen as ones
+    rows = {spans[-1]: grams.select(F.col("code").alias("key"), F.col("n").alias("zeros"), F.col("seen").alias("ones"), F.lit(0.0).alias("product"))}
+    for span, above in zip(spans[:0:-1], spans[-2::-1], strict=True):
+        rows[above] = materialize(up(rows[span], *span), "lm-nodes")
+    mixed = None
+    for span in spans:
+        mixed = materialize(down(rows[span], mixed, *span), "lm-mixtures")
+    return mixed
 
 
 def fit_tree(texts: DataFrame, depth: int = DEPTH, share: float = SHARE) -> Tree:
-    """Learn the byte model from a column of texts."""
+    """A byte model for one process, from a column of texts: contexts under ``share`` of all bytes are pooled (``score_texts`` pools none)."""
     if not 0 <= depth <= 6:
         raise ValueError("a context and its byte must fit in a long: at most 6 bytes of context")
-    grams = materialize(gram_counts(texts, depth), "lm-grams")
+    grams = materialize(gram_counts(texts.select("text", F.lit(False).alias("held_out")), depth).select("code", "n"), "lm-grams")
     total = grams.agg(F.sum("n")).first()[0] or 0
     levels: list[tuple[np.ndarray, np.ndarray]] = []
     for d in range(depth, -1, -1):
@@ -116,12 +242,56 @@ def fit_tree(texts: DataFrame, depth: int = DEPTH, share: float = SHARE) -> Tree
     return weigh(levels)
 
 
-def score_texts(docs: DataFrame, is_held_out: Column | None = None, depth: int = DEPTH, share: float = SHARE, hot_words: int = HOT_WORDS) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
+def store_frequent(scored: DataFrame, at_most: int) -> tuple[int, str]:
+    """``(bar, folder)``: the codes seen at least ``bar`` times, at most ``at_most`` of them, are written to the shared folder."""
+    often = scored.groupBy(F.least("seen", F.lit(1 << 20)).alias("seen")).count().toPandas().sort_values("seen", ascending=False)
+    fit = often[often["count"].cumsum() <= at_most]
+    bar = int(fit["seen"].min()) if len(fit) else (1 << 63) - 1
+    folder = scratch_path(scored.sparkSession, "lm-hot")
+    scored.where(F.col("seen") >= bar).select("code", "log_p").write.parquet(folder)
+    return bar, folder
+
+
+@functools.lru_cache(maxsize=1)
+def frequent(folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes and their log probabilities, read once per Python worker."""
+    system, root = shared_filesystem(folder)
+    parts = [f.path for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")]
+    tables = [pq.read_table(p, filesystem=system, use_threads=False) for p in sorted(parts)]
+    codes = np.concatenate([np.zeros(0, dtype=np.int64), *(t.column("code").to_numpy() for t in tables)]).astype(np.uint64)
+    log_p = np.concatenate([np.zeros(0), *(t.column("log_p").to_numpy() for t in tables)])
+    order = np.argsort(codes)
+    return codes[order], log_p[order]
+
+
+def hot_sums(texts: list[bytes], depth: int, hot: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text, the sum of ``log_p`` of its hot codes; its other codes, and how many they are."""
+    codes, at = np.unique(gram_codes(texts, depth), return_inverse=True)
+    place = np.searchsorted(hot, codes)
+    known = np.zeros(len(codes), dtype=bool)
+    log = np.zeros(len(codes))
+    inside = place < len(hot)
+    known[inside] = hot[place[inside]] == codes[inside]
+    log[known] = log_p[place[known]]
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    other = ~known[at]
+    return np.add.reduceat(log[at], starts), codes[at[other]].astype(np.int64), np.add.reduceat(other.astype(np.int64), starts)
+
+
+def score_texts(
+    docs: DataFrame, is_held_out: Column | None = None, depth: int = DEPTH, share: float | None = None, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS
+) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
+
+    ``hot_grams`` and ``hot_words`` (and ``share``: then at most ``1 / share`` grams are hot) only say what is summed without a join.
+    """
+    if not 0 <= depth <= 6:
+        raise ValueError("a context and its byte must fit in a long: at most 6 bytes of context")
     out = held_out(F.col("doc_id")) if is_held_out is None else is_held_out
     texts = doc_columns(docs).select("doc_id", "text", out.alias("held_out"))
     training = texts.where(~F.col("held_out"))
-    tree = fit_tree(training.select("text"), depth, share)
+    grams = gram_scores(materialize(gram_counts(texts.select("text", "held_out"), depth), "lm-grams"), depth)
+    bar, folder = store_frequent(grams, hot_grams if share is None else min(hot_grams, int(1 / share)))
     words = materialize(word_counts(training.select("text")), "lm-words")
     ends = training.count()
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -130,17 +300,25 @@ def score_texts(docs: DataFrame, is_held_out: Column | None = None, depth: int =
     frequent_words = words.where(F.col("c") * hot_words >= n_train).toPandas()  # at most hot_words rows
     hot = dict(zip(map(bytes, frequent_words["word"]), frequent_words["c"].tolist(), strict=True))
     sc = docs.sparkSession.sparkContext
-    shared, shared_hot = sc.broadcast(tree), sc.broadcast(hot)
+    shared_hot = sc.broadcast(hot)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, model = shared_hot.value, shared.value
-        logs = {w: math.log10(c + 1) for w, c in frequent.items()}
+        hot_codes, hot_log = frequent(folder)
+        logs = {w: math.log10(c + 1) for w, c in shared_hot.value.items()}
         end_log = math.log10(ends + 1)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            columns: tuple[list, ...] = ([], [], [], [], [], [], [])
+            columns: tuple[list, ...] = ([], [], [], [], [], [])
+            held: list[bytes] = []
+            size = 0
+            sums = []
             for text in batch.column(1).to_pylist():
                 data = text.encode("utf-8", "surrogatepass").lower()
+                held.append(data)
+                size += len(data) + depth + 1
+                if size >= COUNT_BYTES:
+                    sums.append(hot_sums(held, depth, hot_codes, hot_log))
+                    held, size = [], 0
                 known, log_sum, rare, rare_n, n = (1, end_log, [], [], 1) if ends else (0, end_log, [], [], 1)
                 for w, k in Counter(data.split()).items():
                     n += k
@@ -151,27 +329,38 @@ def score_texts(docs: DataFrame, is_held_out: Column | None = None, depth: int =
                     else:
                         known += k
                         log_sum += k * log
-                for column, value in zip(columns, (row, n, known, log_sum, rare, rare_n, model.log10_probability(data)), strict=True):
+                for column, value in zip(columns, (row, n, known, log_sum, rare, rare_n), strict=True):
                     column.append(value)
                 row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64())
+            if held:
+                sums.append(hot_sums(held, depth, hot_codes, hot_log))
+            if not sums:
+                continue
+            score, others, n_others = (np.concatenate(c) for c in zip(*sums, strict=True))
+            rare_grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_others))), pa.int32()), pa.array(others))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["doc_id", "held_out", "row", "n_tokens", "known", "log_sum", "rare", "rare_n", "score"],
+                [batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(score), rare_grams],
+                names=["doc_id", "held_out", "row", "n_tokens", "known", "log_sum", "rare", "rare_n", "score", "rare_grams"],
             )
 
-    schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, log_sum double, rare array<binary>, rare_n array<long>, score double"
+    schema = (
+        "doc_id long, held_out boolean, row long, n_tokens long, known long, log_sum double, "
+        "rare array<binary>, rare_n array<long>, score double, rare_grams array<long>"
+    )
     scored = materialize(map_arrow(texts, read, schema), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("k"))
     seen = words.where(F.col("c") * hot_words < n_train)
     more = rare.join(seen, "word").groupBy("row").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_log"))
+    rare_codes = scored.select("row", F.explode("rare_grams").alias("code"))
+    more_score = rare_codes.join(grams.where(F.col("seen") < bar), "code").groupBy("row").agg(F.sum("log_p").alias("rare_score"))
     zero = F.lit(0)
-    return scored.drop("rare", "rare_n").join(more, "row", "left").select(
+    return scored.drop("rare", "rare_n", "rare_grams").join(more, "row", "left").join(more_score, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", zero)).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("log_sum") + F.coalesce("rare_log", zero) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", zero)).alias("score"),
     )

@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from drainrules.llm import chat, ctw, lm, queries
 
@@ -205,3 +207,37 @@ def test_chat_query_and_empty_table(spark):
         assert tuple(rows[c][k] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == slow_digest(turns)
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_conversations(empty)).count() == 0
+
+def test_scores_are_of_the_whole_tree(spark):
+    """No context is pooled, whatever its share, and the broadcast changes nothing."""
+    texts = ["abracadabra", "abrab é", "", "cab cad", "bra bra bra", "abrx cad"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = F.col("doc_id") == 5
+    for depth, ways in ((0, [{}]), (3, [{"share": 0.2}, {"hot_grams": 0}]), (6, [{"hot_grams": 9}])):
+        stream = stream_of([t.encode() for t in texts[:5]], depth)
+        expanded = {context[len(context) - d :] for context, _ in stream for d in range(depth + 1)}
+        slow = slow_tree(stream, depth, expanded)
+        for more in ways:
+            got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, out, depth, **more).collect()}
+            for i, t in enumerate(texts[:5]):
+                assert got[i] == pytest.approx(sum(slow(c, b) for c, b in stream_of([t.encode()], depth)), abs=1e-9)
+            assert math.isfinite(got[5])
+
+
+def test_held_out_texts_score_above_single_words(spark):
+    """On held-out texts of the words that were learnt the model is no worse than the base."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=80))) for i in range(300)], "doc_id long, text string")
+    rows = lm.score_texts(docs, share=0.01).where("held_out").collect()
+    assert rows and sum(r["score"] for r in rows) > 1.1 * sum(r["base_score"] for r in rows)
+
+
+def test_runs_end_where_the_context_changes():
+    keys = [0] * 3 + [1] * 7 + [2] + [4] * 2
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2]), pa.array(range(i, min(i + 2, len(keys))))], names=["shared", "x"]) for i in range(0, len(keys), 2)]
+    for rows in (1, 4, 100):
+        runs = [list(x) for (x,) in lm.whole_contexts(iter(batches), rows)]
+        assert sum(runs, []) == list(range(len(keys)))
+        assert all(keys[a[-1]] != keys[b[0]] for a, b in zip(runs, runs[1:]))
+        assert rows == 100 or len(runs) > 1
