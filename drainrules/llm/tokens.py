@@ -10,6 +10,9 @@ ids with whole-text encoding by the library as it is, on odd texts.
   the next pre-token, so all pieces but the first carry a leading space; a single line end
   between two other characters is a pre-token;
 * lower-casing word vocabulary: white space is dropped, so any white space separates pieces.
+
+In both a piece of Latin-1 letters (with the space before it) is one pre-token, which neither normal form nor
+pattern changes but for its case: it goes straight to the library's merges.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ import functools
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,9 @@ import pyarrow as pa
 
 CACHE_PIECES = 400_000
 _ISOLATED = re.compile(r"(?<=\S) (?=\S)")
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = ".,;:!?#$%&*|"
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -77,6 +84,22 @@ class _Cache(dict):
         return ids
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for a byte in a byte-level vocabulary, where it is not the Latin-1 one."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
+def _ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    if _NATIVE:
+        return array("I", ids).tobytes()
+    return np.asarray(ids, dtype="<u4").tobytes()
+
+
 class PieceEncoder:
     """Texts to little-endian unsigned 32-bit ids (as bytes)."""
 
@@ -95,11 +118,31 @@ class PieceEncoder:
             raise ValueError("pieces are only exact where white space is dropped")
         self.vocabulary = self._tokenizer.get_vocab_size()
         self._added = [t["content"] for t in spec["added_tokens"]]
-        after_line = _Cache(self._direct, "", cache_pieces // 4) if self._spaced else None
-        self._cache = _Cache(self._direct, " " if self._spaced else "", cache_pieces, after_line)
+        self._lower = not self._spaced
+        self._merge = self._merges(spec)
+        after_line = _Cache(self._piece, "", cache_pieces // 4) if self._spaced else None
+        self._cache = _Cache(self._piece, " " if self._spaced else "", cache_pieces, after_line)
+
+    def _merges(self, spec: dict):
+        """The library's merges inside a pre-token; None where letters may not be a pre-token as they are."""
+        model, pre = spec["model"], spec["pre_tokenizer"]
+        parts = pre.get("pretokenizers", [pre])
+        normal = {n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])}
+        if model["type"] != "BPE" or model["dropout"] or parts[-1]["type"] != "ByteLevel" or parts[-1]["add_prefix_space"]:
+            return None
+        if self._lower and (normal != {"NFC", "Replace", "Lowercase"} or len(parts) != 2 or r"|[\p{L}]+|" not in parts[0]["pattern"]["Regex"]):
+            return None
+        return self._tokenizer.model.tokenize
+
+    def _piece(self, text: str) -> bytes:
+        if self._merge is None or not _LETTERS.fullmatch(text):
+            return self._direct(text)
+        if self._lower:
+            text = text.lower().lstrip(" ")
+        return _ids([t.id for t in self._merge(text.encode().decode("latin-1").translate(_BYTE_CHARACTERS))])
 
     def _direct(self, text: str) -> bytes:
-        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _ids(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""

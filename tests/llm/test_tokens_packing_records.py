@@ -194,3 +194,21 @@ def test_line_ends_and_added_tokens(path):
         wrong = [t for t, a, b in zip(texts, found, want, strict=True) if a != b]
         assert not wrong, wrong[:5]
     assert list(enc.encode_many(pa.array([], pa.string()))) == []
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_of_letters_go_straight_to_the_merges(path):
+    """The ids of the library as it is, from its merges alone, for every pair of letters and for longer words."""
+    letters = [chr(c) for c in range(0x100) if chr(c).isalpha()]
+    rnd = random.Random(5)
+    words = [a + b for a in letters for b in letters] + ["".join(rnd.choices(letters, k=rnd.randint(1, 12))) for _ in range(3000)]
+    words += ["".join(rnd.choices("eationrsTHE", k=rnd.randint(1, 14))) for _ in range(3000)] + ["a" * 3000]
+    texts = [f"{a} {b} {c}\n{d}" for a, b, c, d in zip(words[::4], words[1::4], words[2::4], words[3::4])]
+    enc = PieceEncoder(path)
+    assert enc._merge is not None
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(enc.encode(x), "<u4").tolist() for x in texts] == want
+    whole_calls = []
+    enc._direct = lambda text: whole_calls.append(text) or b""
+    enc.encode("x quitenewword Straße élève")
+    assert whole_calls == (["x"] if path == BYTES else [])
