@@ -46,6 +46,23 @@ def test_marks_after_every_lower_case_character(path):
     assert not wrong
 
 
+def test_words_that_differ_by_case_are_one_piece():
+    enc = PieceEncoder(WORDS)
+    texts = ["Gr\u00f6\u00dfe gr\u00f6\u00dfe GR\u00d6\u00dfE", "Of OF of"]
+    assert [np.frombuffer(enc.encode(x), "<u4").tolist() for x in texts] == [whole(WORDS, x) for x in texts]
+    assert len(enc._cache) == 2
+
+
+def test_latin_1_texts_and_added_tokens_in_capitals():
+    rnd = random.Random(11)
+    parts = [*map(chr, range(0x100)), "<|ENDOFTEXT|>", "<|endoftext|>", "'S", "H\u0331", "\u212a", "\u03a3"]
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|> B"] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
+    texts += [f"{a}{chr(c)}{a} {chr(c)}{a}." for c in range(0x100) for a in ("A", "z")]
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    enc = PieceEncoder(WORDS)
+    assert [np.frombuffer(enc.encode(x), "<u4").tolist() for x in texts] == want
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_is_an_exact_partition_without_padding(seed):
     rnd = random.Random(seed)
