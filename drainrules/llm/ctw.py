@@ -28,26 +28,18 @@ _HALF = np.log(0.5)
 
 def gram_codes(texts: list[bytes], depth: int) -> np.ndarray:
     """Codes of all bytes (and ends) of some texts, each under its ``depth`` bytes before: the byte itself is lowest."""
-    joined = np.frombuffer(b"".join(START * depth + t + END for t in texts), dtype=np.uint8)
+    joined = b"".join(START * depth + t + END for t in texts)
     ends = np.cumsum([depth + len(t) + 1 for t in texts])
     counted = np.ones(len(joined), dtype=bool)
     starts = np.concatenate(([0], ends[:-1]))
     for j in range(depth):
         counted[starts + j] = False
-    codes = np.zeros(len(joined) - depth, dtype=np.uint64)
-    for j in range(depth + 1):
-        codes <<= np.uint64(8)
-        codes |= joined[j : len(joined) - depth + j]
+    eight = np.ndarray(len(joined) - depth, dtype=">u8", buffer=joined + bytes(7), strides=(1,))  # from each byte on
+    codes = eight.astype(np.uint64)
+    codes >>= np.uint64(8 * (7 - depth))
     return codes[counted[depth:]]
 
 
-def count_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different codes in order and how often each stands (the input is sorted in place)."""
-    codes.sort()
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[first], np.diff(np.append(first, len(codes)))
-
-
 def log_gamma_half(n: np.ndarray) -> np.ndarray:
     """log gamma(n + 1/2), by Stirling's series after a shift by 8."""
     x = n + 0.5

@@ -28,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drainrules.llm.common import doc_columns, map_arrow, shared_filesystem, shuffle_partitions
-from drainrules.llm.ctw import Tree, climb, count_codes, descend, gram_codes, leaf_nodes, path_log10, weigh
+from drainrules.llm.ctw import Tree, climb, descend, gram_codes, leaf_nodes, path_log10, weigh
 from drainrules.session import materialize, scratch_path
 
 DEPTH = 6
@@ -44,6 +45,8 @@ SHARE = 1e-5
 HOT_WORDS = 1 << 18
 HOT_GRAMS = 1 << 21
 COUNT_BYTES = 8 << 20  # bytes of text that a task counts at once
+COUNT_ROWS = 1 << 21  # counts that a task holds back
+SCORE_BYTES = 1 << 20  # bytes of text whose grams a task looks up at once
 WEIGH_ROWS = 1 << 19  # rows that a task weighs at once, or one context's where it has more
 
 
@@ -73,23 +76,57 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted codes, each once, and the sums of their counts."""
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], *(np.add.reduceat(c, first) for c in counts)
+
+
+def count_marked(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different codes, how often each stands unmarked, and at all; the lowest bit is the mark (the input is sorted in place)."""
+    marked.sort()
+    first = np.flatnonzero(np.concatenate(([True], (marked[1:] ^ marked[:-1]) > 1)))
+    codes = (marked[first] >> np.uint64(1)).view(np.int64)
+    marked &= np.uint64(1)
+    seen = np.diff(np.append(first, len(marked)))
+    return codes, seen - np.add.reduceat(marked, first).view(np.int64), seen
+
+
 def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
     """``code long, n long, seen long``: all bytes of the texts of ``(text, held_out)`` under the ``depth`` bytes before them.
 
-    ``seen`` counts all texts, ``n`` those that are learnt from.
+    ``seen`` counts all texts, ``n`` those that are learnt from.  A task adds up its counts while they are at most
+    ``COUNT_ROWS``, so they are dealt by code before Spark sums them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list[bytes], list[bytes]] = ([], [])
         size = 0
+        counts: list[tuple[np.ndarray, ...]] = []
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for texts, learnt in zip(held, (1, 0), strict=True):
+        def add() -> None:
+            marked = []
+            for texts, out in zip(held, (0, 1), strict=True):
                 if texts:
-                    codes, n = count_codes(gram_codes(texts, depth))
+                    codes = gram_codes(texts, depth)
+                    codes <<= np.uint64(1)
+                    codes |= np.uint64(out)
+                    marked.append(codes)
                     texts.clear()
-                    columns = (codes.astype(np.int64), n * learnt, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["code", "n", "seen"])
+            if not marked:
+                return
+            found = count_marked(marked[0] if len(marked) == 1 else np.concatenate(marked))
+            if counts:
+                found = tuple(map(np.concatenate, zip(counts.pop(), found, strict=True)))
+                order = np.argsort(found[0], kind="stable")
+                found = summed(*(c[order] for c in found))
+            counts.append(found)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for found in counts:
+                batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["code", "n", "seen"])
+                yield from (batch.slice(i, 1 << 18) for i in range(0, batch.num_rows, 1 << 18))
+            counts.clear()
 
         for batch in batches:
             for text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -97,11 +134,15 @@ def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
                 held[out].append(data)
                 size += len(data) + depth + 1
                 if size >= COUNT_BYTES:
-                    yield from rows()
+                    add()
                     size = 0
+                    if len(counts[0][0]) > COUNT_ROWS:
+                        yield from rows()
+        add()
         yield from rows()
 
-    return map_arrow(texts, count, "code long, n long, seen long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    counted = map_arrow(texts, count, "code long, n long, seen long")
+    return counted.repartition("code").groupBy("code").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 NODES = "key long, zeros long, ones long, product double"
@@ -253,29 +294,24 @@ def store_frequent(scored: DataFrame, at_most: int) -> tuple[int, str]:
 
 
 @functools.lru_cache(maxsize=1)
-def frequent(folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes and their log probabilities, read once per Python worker."""
+def frequent(folder: str) -> tuple[pd.Index, np.ndarray]:
+    """Codes (hashed by pandas) and their log probabilities, with a 0 for all others at the end, read once per Python worker."""
     system, root = shared_filesystem(folder)
     parts = [f.path for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")]
     tables = [pq.read_table(p, filesystem=system, use_threads=False) for p in sorted(parts)]
-    codes = np.concatenate([np.zeros(0, dtype=np.int64), *(t.column("code").to_numpy() for t in tables)]).astype(np.uint64)
-    log_p = np.concatenate([np.zeros(0), *(t.column("log_p").to_numpy() for t in tables)])
-    order = np.argsort(codes)
-    return codes[order], log_p[order]
+    codes = np.concatenate([np.zeros(0, dtype=np.int64), *(t.column("code").to_numpy() for t in tables)])
+    log_p = np.concatenate([*(t.column("log_p").to_numpy() for t in tables), np.zeros(1)])
+    return pd.Index(codes), log_p
 
 
-def hot_sums(texts: list[bytes], depth: int, hot: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hot_sums(texts: list[bytes], depth: int, hot: pd.Index, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By text, the sum of ``log_p`` of its hot codes; its other codes, and how many they are."""
-    codes, at = np.unique(gram_codes(texts, depth), return_inverse=True)
-    place = np.searchsorted(hot, codes)
-    known = np.zeros(len(codes), dtype=bool)
-    log = np.zeros(len(codes))
-    inside = place < len(hot)
-    known[inside] = hot[place[inside]] == codes[inside]
-    log[known] = log_p[place[known]]
+    codes = gram_codes(texts, depth).astype(np.int64)
+    place = hot.get_indexer(codes)
+    other = place < 0
+    log = log_p[place]  # -1, where a code is not hot, is the 0 at the end
     starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-    other = ~known[at]
-    return np.add.reduceat(log[at], starts), codes[at[other]].astype(np.int64), np.add.reduceat(other.astype(np.int64), starts)
+    return np.add.reduceat(log, starts), codes[other], np.add.reduceat(other.astype(np.int64), starts)
 
 
 def score_texts(
@@ -316,7 +352,7 @@ def score_texts(
                 data = text.encode("utf-8", "surrogatepass").lower()
                 held.append(data)
                 size += len(data) + depth + 1
-                if size >= COUNT_BYTES:
+                if size >= SCORE_BYTES:
                     sums.append(hot_sums(held, depth, hot_codes, hot_log))
                     held, size = [], 0
                 known, log_sum, rare, rare_n, n = (1, end_log, [], [], 1) if ends else (0, end_log, [], [], 1)

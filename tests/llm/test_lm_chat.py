@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +242,27 @@ def test_runs_end_where_the_context_changes():
         assert sum(runs, []) == list(range(len(keys)))
         assert all(keys[a[-1]] != keys[b[0]] for a, b in zip(runs, runs[1:]))
         assert rows == 100 or len(runs) > 1
+
+
+def test_grams_are_summed_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COUNT_BYTES", 20)
+    monkeypatch.setattr(lm, "COUNT_ROWS", 12)
+    texts = [("abcAb", False), ("abc", True), ("", False), ("zab" * 5, True), ("é", False)] * 4
+    got = lm.gram_counts(spark.createDataFrame(texts, "text string, held_out boolean").coalesce(1), 2).collect()
+    n, seen = Counter(), Counter()
+    for text, out in texts:
+        data = b"\xff\xff" + text.lower().encode() + b"\xff"
+        for i in range(len(data) - 2):
+            seen[int.from_bytes(data[i : i + 3], "big")] += 1
+            n[int.from_bytes(data[i : i + 3], "big")] += not out
+    assert {r["code"]: (r["n"], r["seen"]) for r in got} == {c: (n[c], k) for c, k in seen.items()} and len(got) == len(seen)
+
+
+def test_hot_grams_are_looked_up_unsorted():
+    texts = [b"abab", b"", b"ba"]
+    codes = [[int.from_bytes((b"\xff" + t + b"\xff")[i : i + 2], "big") for i in range(len(t) + 1)] for t in texts]
+    hot = {codes[0][1]: -0.5, codes[0][0]: -2.0}
+    score, others, n_others = lm.hot_sums(texts, 1, pd.Index(np.array(list(hot))), np.array([*hot.values(), 0.0]))
+    assert score.tolist() == [sum(hot.get(c, 0.0) for c in cs) for cs in codes]
+    assert others.tolist() == [c for cs in codes for c in cs if c not in hot]
+    assert n_others.tolist() == [sum(c not in hot for c in cs) for cs in codes]
