@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql.window import Window
 
 from drainrules.llm.common import doc_columns, lower_words, map_arrow
 from drainrules.llm.components import connected_components
-from drainrules.session import materialize
+from drainrules.session import few_files, materialize
 
 SHINGLE = 3
 RADIUS = 2
@@ -199,12 +200,14 @@ def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, ch
 
 
 def fingerprint_components(ids: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``(fp, doc_id, first_fp)`` per distinct fingerprint of ``ids (doc_id, fp)``.
+    """``(fp, doc_id, first_fp)`` per distinct fingerprint of ``ids (doc_id, fp)``, a written table (it is counted first).
 
     ``doc_id`` is the smallest id of its component, ``first_fp`` the fingerprint of that document.
     """
-    distinct = materialize(ids.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-prints")
-    links = materialize(near_links(distinct.select("fp"), radius, blocks, chunk_rows), "simhash-links")
+    distinct = materialize(few_files(ids.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), ids.count()), "simhash-prints")
+    # About one link for each row of a bucket; more of them only make larger files.
+    most = distinct.count() * comb(blocks, blocks - radius)
+    links = materialize(few_files(near_links(distinct.select("fp"), radius, blocks, chunk_rows), most), "simhash-links")
     roots = connected_components(links)
     # Only linked fingerprints have a root; the others are components of their own.
     linked = distinct.join(roots, distinct["fp"] == roots["id"]).select("fp", "doc_id", "root")
@@ -218,7 +221,7 @@ def simhash_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     """``doc_id, fp, component_id`` for every row of ``docs``."""
     prints = materialize(add_fingerprints(doc_columns(docs), "fp", shingle).select("doc_id", "fp"), "simhash-docs")
     classes = fingerprint_components(prints, radius, blocks, chunk_rows)
-    return prints.join(classes.select("fp", F.col("doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+    return few_files(prints.join(classes.select("fp", F.col("doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id"), prints.count())
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -89,6 +89,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
 
 
+#: Rows of a few numbers in one file of a small table.
+FILE_ROWS = 1 << 14
+
+
+def few_files(df, rows: int):
+    """``df`` of about ``rows`` narrow rows in no more partitions than it fills.
+
+    Small tables are dealt over all shuffle partitions where Spark does not merge these by itself.  Each
+    file costs a task and, on a local file system, processes that set its mode.  The number of
+    partitions only ever falls, so large tables stay as they are.
+    """
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def materialize(df, name: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 

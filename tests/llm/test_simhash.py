@@ -7,7 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from drainrules.llm import queries, simhash
+from drainrules import session
+from drainrules.llm import components, queries, simhash
 from drainrules.llm.components import connected_components
 
 SF001 = "/root/testdata/sf0.001"
@@ -122,3 +123,43 @@ def test_columns_of_any_name_stay(spark):
     docs = spark.createDataFrame([(1, "some text of a few words", 7, 8), (2, "some text of a few words", 9, 10)], "doc_id long, text string, __fp int, __fp_ int")
     left = simhash.drop_near_duplicates(docs)
     assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, "some text of a few words", 7, 8)]
+
+
+def test_small_tables_have_few_files(spark, monkeypatch):
+    files = {}
+
+    def written(module):
+        def keep(df, name, put=module.materialize):
+            table = put(df, name)
+            files.setdefault(name, []).append(len(table.inputFiles()))
+            return table
+
+        monkeypatch.setattr(module, "materialize", keep)
+
+    written(simhash)
+    written(components)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(150)]
+    docs = spark.createDataFrame([(2 * i + k, t + " end" * k) for i, t in enumerate(texts) for k in range(2)], "doc_id long, text string")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = simhash.simhash_duplicates(docs)
+        assert found.rdd.getNumPartitions() == 1
+        rows = {r["doc_id"]: (r["fp"], r["component_id"]) for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files["simhash-prints"] == files["simhash-links"] == [1] and set(files["labels"]) == {1}
+    prints = [rows[i][0] for i in range(300)]
+    roots, least = slow_components([unsigned(p) for p in prints]), {}
+    for i, r in enumerate(roots):
+        least.setdefault(r, i)
+    assert [rows[i][1] for i in range(300)] == [least[r] for r in roots] and len(least) < 300
+
+
+def test_large_tables_keep_their_partitions(spark):
+    assert session.few_files(spark.range(0, 100, 1, 10), 9 * session.FILE_ROWS + 1).rdd.getNumPartitions() == 10
+    assert session.few_files(spark.range(0, 100, 1, 10), 2 * session.FILE_ROWS).rdd.getNumPartitions() == 2
+    assert session.few_files(spark.range(0, 100, 1, 10), 0).rdd.getNumPartitions() == 1
