@@ -31,20 +31,28 @@ def doc_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def map_arrow(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, encodes: bool = False) -> DataFrame:
+def map_arrow(
+    df: DataFrame,
+    batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str | StructType,
+    encodes: bool = False,
+    looks_up: bool = False,
+) -> DataFrame:
     """``mapInArrow`` with bounded batches.
 
-    Python workers outlive a stage.  The caches of token encoders, which they keep for their next
-    task, are dropped where a stage does not encode (``encodes``).
+    Python workers outlive a stage.  The caches of token encoders and the byte model's frequent grams, which they keep
+    for their next task, are dropped where a stage does not encode (``encodes``) or look grams up (``looks_up``).
     """
     bounded_batches(df.sparkSession)
     workers_find_package(df.sparkSession)
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sys.modules.get("drainrules.llm.tokens")
-        if not encodes and tokens is not None and tokens.encoder.cache_info().currsize:
-            tokens.encoder.cache_clear()
-            gc.collect()
+        for module, name, used in (("tokens", "encoder", encodes), ("lm", "frequent", looks_up)):
+            cached = getattr(sys.modules.get(f"drainrules.llm.{module}"), name, None)
+            if not used and cached is not None and cached.cache_info().currsize:
+                cached.cache_clear()
+                gc.collect()
+                pa.default_memory_pool().release_unused()
         yield from batches(given)
 
     return df.mapInArrow(run, schema)

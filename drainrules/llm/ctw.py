@@ -34,10 +34,11 @@ def gram_codes(texts: list[bytes], depth: int) -> np.ndarray:
     starts = np.concatenate(([0], ends[:-1]))
     for j in range(depth):
         counted[starts + j] = False
-    eight = np.ndarray(len(joined) - depth, dtype=">u8", buffer=joined + bytes(7), strides=(1,))  # from each byte on
-    codes = eight.astype(np.uint64)
+    joined += bytes(7)
+    eight = np.ndarray(len(counted) - depth, dtype="<u8", buffer=joined, strides=(1,))  # from each byte on
+    codes = eight[counted[depth:]].byteswap(inplace=True)
     codes >>= np.uint64(8 * (7 - depth))
-    return codes[counted[depth:]]
+    return codes
 
 
 def log_gamma_half(n: np.ndarray) -> np.ndarray:

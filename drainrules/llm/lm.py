@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drainrules.llm.common import doc_columns, map_arrow, shared_filesystem, shuffle_partitions
+from drainrules.llm.common import blocks_of, doc_columns, map_arrow, shared_filesystem
 from drainrules.llm.ctw import Tree, climb, descend, gram_codes, leaf_nodes, path_log10, weigh
 from drainrules.session import materialize, scratch_path
 
@@ -45,9 +45,10 @@ SHARE = 1e-5
 HOT_WORDS = 1 << 18
 HOT_GRAMS = 1 << 21
 COUNT_BYTES = 8 << 20  # bytes of text that a task counts at once
-COUNT_ROWS = 1 << 21  # counts that a task holds back
+COUNT_ROWS = 5 << 19  # counts that a task holds back
 SCORE_BYTES = 1 << 20  # bytes of text whose grams a task looks up at once
-WEIGH_ROWS = 1 << 19  # rows that a task weighs at once, or one context's where it has more
+WEIGH_ROWS = 1 << 18  # rows that a task weighs at once, or one context's where it has more
+DEAL_ROWS = 1 << 17  # rows that a task weighs, about
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -76,20 +77,76 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted codes, each once, and the sums of their counts."""
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[first], *(np.add.reduceat(c, first) for c in counts)
-
-
-def count_marked(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def summed(held: list[np.ndarray], found: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of ``[sorted codes, counts...]``, each code once; a column at a time, ``held`` is emptied."""
+    place = np.searchsorted(held[0], found[0])
+    known = held[0][np.minimum(place, len(held[0]) - 1)] == found[0]
+    for mine, more in zip(held[1:], found[1:], strict=True):
+        mine[place[known]] += more[known]
+    new = ~known
+    at = place[new] + np.arange(np.count_nonzero(new))
+    old = np.ones(len(held[0]) + len(at), dtype=bool)
+    old[at] = False
+    out = []
+    for more in found:
+        column = np.empty(len(old), dtype=more.dtype)
+        column[old] = held.pop(0)
+        column[at] = more[new]
+        out.append(column)
+    return out
+
+
+def count_marked(marked: np.ndarray) -> list[np.ndarray]:
     """Different codes, how often each stands unmarked, and at all; the lowest bit is the mark (the input is sorted in place)."""
     marked.sort()
-    first = np.flatnonzero(np.concatenate(([True], (marked[1:] ^ marked[:-1]) > 1)))
+    new = np.ones(len(marked), dtype=bool)
+    for i in range(1, len(marked), 1 << 18):
+        part = marked[i - 1 : i + (1 << 18)]
+        np.greater(part[1:] ^ part[:-1], 1, out=new[i : i + (1 << 18)])
+    first = np.flatnonzero(new)
     codes = (marked[first] >> np.uint64(1)).view(np.int64)
     marked &= np.uint64(1)
     seen = np.diff(np.append(first, len(marked)))
-    return codes, seen - np.add.reduceat(marked, first).view(np.int64), seen
+    return [codes, seen - np.add.reduceat(marked, first).view(np.int64), seen]
+
+
+def count_grams(batches: Iterator[pa.RecordBatch], depth: int, count_bytes: int, count_rows: int) -> Iterator[pa.RecordBatch]:
+    """``code, n, seen`` of the bytes of ``(text, held_out)`` rows; ``count_bytes`` are counted at once, about ``count_rows`` counts held."""
+    texts: list[bytes] = []
+    marks: list[bool] = []
+    counts: list[list[np.ndarray]] = []
+    size = 0
+
+    def add() -> None:
+        codes = gram_codes(texts, depth)
+        codes <<= np.uint64(1)
+        codes |= np.repeat(np.array(marks, dtype=np.uint8), [len(t) + 1 for t in texts])
+        texts.clear()
+        marks.clear()
+        found = count_marked(codes)
+        del codes
+        counts.append(summed(counts.pop(), found) if counts else found)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for found in counts:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["code", "n", "seen"])
+            yield from (batch.slice(i, 1 << 16) for i in range(0, batch.num_rows, 1 << 16))
+        counts.clear()
+
+    for batch in batches:
+        for text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = text.encode("utf-8", "surrogatepass").lower()
+            texts.append(data)
+            marks.append(out)
+            size += len(data) + depth + 1
+            if size >= count_bytes:
+                add()
+                size = 0
+                if len(counts[0][0]) > count_rows:
+                    yield from rows()
+    if texts:
+        add()
+    yield from rows()
 
 
 def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
@@ -98,50 +155,7 @@ def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
     ``seen`` counts all texts, ``n`` those that are learnt from.  A task adds up its counts while they are at most
     ``COUNT_ROWS``, so they are dealt by code before Spark sums them.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list[bytes], list[bytes]] = ([], [])
-        size = 0
-        counts: list[tuple[np.ndarray, ...]] = []
-
-        def add() -> None:
-            marked = []
-            for texts, out in zip(held, (0, 1), strict=True):
-                if texts:
-                    codes = gram_codes(texts, depth)
-                    codes <<= np.uint64(1)
-                    codes |= np.uint64(out)
-                    marked.append(codes)
-                    texts.clear()
-            if not marked:
-                return
-            found = count_marked(marked[0] if len(marked) == 1 else np.concatenate(marked))
-            if counts:
-                found = tuple(map(np.concatenate, zip(counts.pop(), found, strict=True)))
-                order = np.argsort(found[0], kind="stable")
-                found = summed(*(c[order] for c in found))
-            counts.append(found)
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for found in counts:
-                batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["code", "n", "seen"])
-                yield from (batch.slice(i, 1 << 18) for i in range(0, batch.num_rows, 1 << 18))
-            counts.clear()
-
-        for batch in batches:
-            for text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass").lower()
-                held[out].append(data)
-                size += len(data) + depth + 1
-                if size >= COUNT_BYTES:
-                    add()
-                    size = 0
-                    if len(counts[0][0]) > COUNT_ROWS:
-                        yield from rows()
-        add()
-        yield from rows()
-
-    counted = map_arrow(texts, count, "code long, n long, seen long")
+    counted = map_arrow(texts, lambda batches: count_grams(batches, depth, COUNT_BYTES, COUNT_ROWS), "code long, n long, seen long")
     return counted.repartition("code").groupBy("code").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
@@ -174,10 +188,10 @@ def whole_contexts(batches: Iterator[pa.RecordBatch], rows: int = WEIGH_ROWS) ->
 
 
 def _dealt(rows: DataFrame, shared: int) -> DataFrame:
-    """Rows with ``key`` dealt and sorted by the last ``shared`` bytes of its context."""
+    """Rows with ``key`` dealt, ``DEAL_ROWS`` a task, and sorted by the last ``shared`` bytes of its context."""
     context = F.shiftright("key", 8).bitwiseAND((1 << 8 * shared) - 1)
     dealt = rows.select(context.alias("shared"), *rows.columns)
-    return (dealt.repartition(shuffle_partitions(rows.sparkSession), "shared") if shared else dealt.repartition(1)).sortWithinPartitions("shared")
+    return (dealt.repartition(blocks_of(rows.count(), DEAL_ROWS), "shared") if shared else dealt.repartition(1)).sortWithinPartitions("shared")
 
 
 def _batch(columns: tuple[np.ndarray, ...], schema: str) -> pa.RecordBatch:
@@ -384,7 +398,7 @@ def score_texts(
         "doc_id long, held_out boolean, row long, n_tokens long, known long, log_sum double, "
         "rare array<binary>, rare_n array<long>, score double, rare_grams array<long>"
     )
-    scored = materialize(map_arrow(texts, read, schema), "lm-scored")
+    scored = materialize(map_arrow(texts, read, schema, looks_up=True), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("k"))
     seen = words.where(F.col("c") * hot_words < n_train)
     more = rare.join(seen, "word").groupBy("row").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_log"))

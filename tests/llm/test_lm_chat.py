@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from drainrules.llm import chat, ctw, lm, queries
+from drainrules.llm import chat, common, ctw, lm, queries
 
 SF001 = "/root/testdata/sf0.001"
 
@@ -266,3 +268,37 @@ def test_hot_grams_are_looked_up_unsorted():
     assert score.tolist() == [sum(hot.get(c, 0.0) for c in cs) for cs in codes]
     assert others.tolist() == [c for cs in codes for c in cs if c not in hot]
     assert n_others.tolist() == [sum(c not in hot for c in cs) for cs in codes]
+
+
+def peak_bytes(run):
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_counting_holds_few_copies():
+    rng = random.Random(5)
+    words = [b"".join(rng.choices([b"a", b"b", b"c", b"d", b"e"], k=rng.randint(2, 6))) for _ in range(50)]
+    texts = [b" ".join(rng.choices(words, k=4000)) for _ in range(60)]
+    size = sum(map(len, texts))
+    assert peak_bytes(lambda: ctw.gram_codes(texts, 6)) < 14 * size
+    batch = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts]), pa.array([i % 7 == 2 for i in range(60)])], names=["text", "held_out"])
+    assert peak_bytes(lambda: list(lm.count_grams(iter([batch]), 6, 1 << 30, 1 << 30))) < 16 * size
+
+
+def test_frequent_grams_are_dropped_by_other_stages(spark, tmp_path):
+    docs = SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, schema: run)
+    spark.createDataFrame([(1, -0.5)], "code long, log_p double").write.parquet(f"{tmp_path}/hot")
+    for looks_up in (True, False):
+        lm.frequent(f"file://{tmp_path}/hot")
+        list(common.map_arrow(docs, iter, "x long", looks_up=looks_up)(iter([])))
+        assert lm.frequent.cache_info().currsize == looks_up
+
+
+def test_tasks_that_weigh_grow_with_the_rows(spark, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") * 256).alias("key"))
+    assert lm._dealt(rows, 2).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(lm, "DEAL_ROWS", 50)
+    assert lm._dealt(rows, 2).rdd.getNumPartitions() == 20
